@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noteloom.llm import common, exact_dedup, mixing, quality_rules, secret_scan
+from noteloom.llm import chat_format, common, exact_dedup, language_id, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.read_table(common.ready(spark), sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language_id.fold() == 2
+    model = language_id.train(language_id.bounded(docs.filter(~held & F.col("lang").isNotNull())))
+    return language_id.identify(docs, model).withColumn("held_out", held)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir)).drop("found")
 
@@ -19,6 +27,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(_documents(spark, sf_dir))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.read_table(common.ready(spark), sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
@@ -27,7 +43,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mixing, op6_quality_rules, op7_exact_dedup)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(common.read_table(common.ready(spark), sf_dir, "conversations"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_documents(spark, sf_dir), common.read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_secret_scan, op3_mixing, op4_sentencepiece, op5_url_filter, op6_quality_rules, op7_exact_dedup, op9_chat_format, op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -76,4 +101,21 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_chat_format": r"""
+        WITH turns AS (
+            SELECT row_number() OVER () AS rid, conv_id, coalesce(floor(turn / 256.0), 0)::BIGINT AS block, turn, coalesce(role, 'unknown') AS role,
+                replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
+        speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+        pieces AS (
+            SELECT t.*, perspective, role = perspective AS train, text || '<|im_end|>' || chr(10) AS body,
+                '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+            FROM turns t JOIN speakers USING (conv_id)),
+        placed AS (
+            SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block
+                ORDER BY turn NULLS FIRST, role, text, rid ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM pieces)
+        SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns,
+            string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text, rid) AS rendered,
+            coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop) FILTER (train), '') AS mask,
+            coalesce(sum(length(body)) FILTER (train), 0)::BIGINT AS n_trained
+        FROM placed GROUP BY conv_id, perspective, block""",
 }
