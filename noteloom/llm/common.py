@@ -40,15 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, scratch: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noteloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    if scratch:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """store(), for tables that drop_scratch() may delete."""
+    return store(df, name, scratch=True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what materialize() wrote so far; only for callers that have stored their results elsewhere."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -76,14 +82,13 @@ def word_count(text):
     return F.size(words(text)).cast("long")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per key. Keys that hold 1/HEAVY_SHARE of all rows or more, at most
-    HEAVY_SHARE of them whatever the input, are joined by broadcast, so no task gets all rows of one key."""
+def left_join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Left join of rows with one row per key. Keys that hold 1/HEAVY_SHARE of all rows or more, at most HEAVY_SHARE
+    of them whatever the input, are joined by broadcast, so no task gets all rows of one key."""
     heavy_at = max(2, -(-total // HEAVY_SHARE))
-    heavy = groups.filter(F.col(size) >= heavy_at)
-    flagged = rows.join(F.broadcast(heavy.select(*on, F.lit(True).alias("_heavy"))), on, "left")
-    light = flagged.filter("_heavy is null").drop("_heavy").join(groups.filter(F.col(size) < heavy_at), on)
-    return light.unionByName(flagged.filter("_heavy").drop("_heavy").join(F.broadcast(heavy), on))
+    heavy = F.broadcast(groups.filter(F.col(size) >= heavy_at))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(groups.filter(F.col(size) < heavy_at), on, "left")
+    return light.unionByName(rows.join(heavy, on))
 
 
 def small(ids: DataFrame) -> DataFrame:

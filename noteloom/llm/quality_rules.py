@@ -68,8 +68,8 @@ def repeated_words(words: Column, n: Column, width: int = WINDOW) -> Column:
     return F.when(n >= width, many).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements of every whole text."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or a struct of the columns `keep` in its place) and the measurements of every whole text."""
     text = common.whole_text(text_col)
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(f"[^{common.SPACE_CLASS}]"))
     line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
@@ -77,7 +77,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         repeated_words(w, F.size(w)).alias("n_repeat_words")))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")).select(
+    columns = [F.col(id_col).alias("doc_id")] if keep is None else [F.struct(*[F.col(c) for c in keep]).alias("doc_id")]
+    return docs.select(*columns, text.alias("_t")).select(
         "doc_id",
         repeats.alias("_r"),
         line_counts.alias("_l"),
@@ -85,13 +86,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ).select("doc_id", "_r.n_words", "_r.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_r.n_repeat_words")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Measurements and `failed`, a bit for each rule that the document fails."""
     bits = [F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)) for k, test in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measure(docs, id_col, text_col).withColumn("failed", total.cast("long"))
+    return measure(docs, id_col, text_col, keep).withColumn("failed", total.cast("long"))
 
 
 def apply_policy(book: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
@@ -114,3 +115,8 @@ def ablations(book: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFram
 def judge(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, measurements, failed, base_failed, kept: one row per document."""
     return apply_policy(ledger(docs, id_col, text_col), policy)
+
+
+def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with all their columns; no join, as the verdict is the row's own."""
+    return apply_policy(ledger(docs, text_col=text_col, keep=docs.columns), policy).filter("kept").select("doc_id.*")

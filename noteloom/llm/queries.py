@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_format, common, exact_dedup, language_id, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
+from noteloom.llm import chat_format, common, exact_dedup, jaccard_join, language_id, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_documents(spark, sf_dir))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(common.read_table(common.ready(spark), sf_dir, "conversations"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_secret_scan, op3_mixing, op4_sentencepiece, op5_url_filter, op6_quality_rules, op7_exact_dedup, op9_chat_format, op10_toxicity)}
+    op1_language_id, op2_secret_scan, op3_mixing, op4_sentencepiece, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_jaccard_join, op9_chat_format, op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

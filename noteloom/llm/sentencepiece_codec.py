@@ -107,8 +107,8 @@ def _slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and decoded again."""
+def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the string columns `keep`, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and decoded again."""
     path = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,15 +117,14 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
             texts = batch["text"].tolist()
             for s in _slices(texts):
                 ids = t.encode(texts[s])
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[s],
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids],
-                })
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                yield batch.drop(columns="text").iloc[s].assign(
+                    n_tokens=[len(x) // 4 for x in ids],
+                    ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
+                    decoded_sha256=[hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids])
+
+    kept = [F.col(c).cast("string").alias(c) for c in keep]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, ", ".join(["doc_id long", *[f"`{c}` string" for c in keep], "n_tokens long, ids_sha256 string, decoded_sha256 string"]))
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
