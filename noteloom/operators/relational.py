@@ -154,7 +154,7 @@ def directory_tree(docs: DataFrame) -> DataFrame:
     """(dir, parent, depth, n_files, n_below): every directory with the files in it and below it."""
     parts = F.split("path", "/")
     depth = F.size("parts") - 1
-    below = docs.select(parts.alias("parts")).select("parts", F.explode(F.sequence(F.lit(1), depth)).alias("d"))
+    below = docs.select(parts.alias("parts")).filter(F.size("parts") > 1).select("parts", F.explode(F.sequence(F.lit(1), depth)).alias("d"))
     at = below.select(F.array_join(F.slice("parts", F.lit(1), F.col("d")), "/").alias("dir"), F.col("d").alias("depth"), (F.col("d") == depth).alias("own"))
     grouped = at.groupBy("dir", "depth").agg(F.count_if("own").alias("n_files"), F.count(F.lit(1)).alias("n_below"))
     parent = F.when(F.col("depth") > 1, F.regexp_replace("dir", "/[^/]*$", ""))
