@@ -18,10 +18,13 @@ MIN_IDF = 1e-6
 NEAR_GAP = 10
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading)."""
+def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading); of some terms only, if given,
+    for a query on text that has no stored index."""
     columns = F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in WEIGHTS])
     places = chunks.select("chunk_id", F.explode(columns).alias("c")).select("chunk_id", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
+    if terms is not None:
+        places = places.filter(F.col("term").isin(terms))
     return places.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

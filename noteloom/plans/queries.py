@@ -288,7 +288,7 @@ def entity_profiles(spark, d):
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT t.term, coalesce(n, 0) AS n_docs FROM (VALUES ('with'), ('from'), ('idiot'), ('zzzz')) t(term) LEFT JOIN (SELECT term, count(DISTINCT document_id) AS n FROM tokens GROUP BY term) USING (term)")
 def term_doc_freq(spark, d):
     c = b.chunks(spark, d)
-    return fts.document_frequency(fts.postings(c), c, ["with", "from", "idiot", "zzzz"])
+    return fts.document_frequency(fts.postings(c, ["with", "from", "idiot", "zzzz"]), c, ["with", "from", "idiot", "zzzz"])
 
 
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT term, count(DISTINCT chunk_id) AS df FROM tokens WHERE starts_with(term, 'stu') GROUP BY term")
@@ -298,7 +298,8 @@ def prefix_terms(spark, d):
 
 def _bm25(spark, d, leaves, mode="or"):
     c = b.chunks(spark, d)
-    return fts.bm25(fts.postings(c), fts.lengths(c), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
+    terms = sorted({t for tokens in leaves.values() for t in tokens})
+    return fts.bm25(fts.postings(c, terms), fts.lengths(c), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
 
 
 _BOTH = {t: [t] for t in TERMS}
@@ -337,7 +338,7 @@ def bm25_near(spark, d):
 @query(f"WITH {_bm25_sql(_TERM_LEAVES)} SELECT chunk_id, round(CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 1.0 ELSE (max(raw) OVER () - raw) / (max(raw) OVER () - min(raw) OVER ()) END, 4) AS score FROM scored")
 def bm25_minmax(spark, d):
     c = b.chunks(spark, d)
-    raw = fts.bm25(fts.postings(c), fts.lengths(c), _BOTH)
+    raw = fts.bm25(fts.postings(c, TERMS), fts.lengths(c), _BOTH)
     return raw.select("chunk_id", F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
 
@@ -348,7 +349,7 @@ _HITS = f"""{_bm25_sql(_TERM_LEAVES)}, pool AS (SELECT * FROM scored ORDER BY ro
 def _hits(spark, d):
     """The 50 best chunks for the terms, with scaled scores."""
     c = b.chunks(spark, d)
-    top = fts.bm25(fts.postings(c), fts.lengths(c), _BOTH).orderBy(F.round("raw", 9), "chunk_id").limit(50)
+    top = fts.bm25(fts.postings(c, TERMS), fts.lengths(c), _BOTH).orderBy(F.round("raw", 9), "chunk_id").limit(50)
     return top.select("chunk_id", F.expr(f"chunk_id div {b.LINES}").alias("document_id"), F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
 
