@@ -39,6 +39,8 @@ ROUNDS, ALARM = 3, 3
 #: Characters of a window at most, and their step.
 WINDOW, STEP = 64, 48
 LEVEL = 9
+#: Bytes that a window which the toxic dictionary has as a whole costs more than an empty one, at most.
+WHOLE = 1
 FRAME = b"<|window-of-text|>"
 EDGES = ".,;:!?\"'()[]{}|#*$%&<>=-_/0123456789"
 #: Windows in a worker's table before it is begun anew.
@@ -63,7 +65,7 @@ class Distance:
 
     def __init__(self, toxic: list[str], ordinary: list[str], hard: list[str]):
         self.toxic, self.ordinary, self.hard = toxic, ordinary, hard
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, int]] = {}
         self._made = None
 
     def __reduce__(self):
@@ -82,23 +84,29 @@ class Distance:
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         return made
 
-    def __call__(self, window: str) -> int:
+    def __call__(self, window: str) -> tuple[int, int]:
+        """Length by the ordinary dictionary less that by the toxic one, and the toxic one's over an empty window."""
         found = self.known.get(window)
         if found is None:
             if self._made is None:
                 self._made = self._compressors()
+                self._empty = len(self._made[1](FRAME + b"  "))
             if len(self.known) > TABLE_WINDOWS:
                 self.known.clear()
             framed = FRAME + f" {window} ".encode()
-            found = self.known[window] = len(self._made[0](framed)) - len(self._made[1](framed))
+            toxic = len(self._made[1](framed))
+            found = self.known[window] = (len(self._made[0](framed)) - toxic, toxic - self._empty)
         return found
 
     def features(self, text: str | None) -> list[float]:
-        """The three largest distances over different windows, how many stand out, and how many windows there are."""
+        """The three largest distances over different windows, how many stand out, how many the toxic dictionary has
+        as a whole (they cost it about as little as nothing), and how many windows there are."""
         seen = set(windows(text))
-        far = sorted(map(self, seen), reverse=True)
+        lengths = list(map(self, seen))
+        far = sorted((d for d, _ in lengths), reverse=True)
         top = [float(max(x, 0)) for x in [*far[:3], 0, 0, 0][:3]]
-        return [*top, float(sum(x >= 5 for x in far[:8])), math.log1p(len(seen))]
+        whole = sum(d >= 2 and t <= WHOLE for d, t in lengths)
+        return [*top, float(sum(x >= 5 for x in far[:8])), float(min(whole, 3)), float(whole > 0), math.log1p(len(seen))]
 
 
 def _windows():
@@ -141,7 +149,7 @@ def train(sample: DataFrame) -> tuple[Distance, np.ndarray] | None:
     for _ in range(ROUNDS):
         alarms = counted.filter("o > 0").withColumn("far", _far(distance)(F.col("w"))).filter(F.col("far") >= ALARM)
         distance = Distance(distance.toxic, distance.ordinary, _within([*distance.hard, *first(alarms, "far", HARD_BYTES // ROUNDS)], HARD_BYTES))
-    rows = sample.select("toxic", _features(distance)(F.col("text")).alias("x")).toPandas()  # 2 * SAMPLE_DOCS rows of five numbers
+    rows = sample.select("toxic", _features(distance)(F.col("text")).alias("x")).toPandas()  # 2 * SAMPLE_DOCS rows of a few numbers
     return distance, _logistic(np.array(rows["x"].tolist()), rows["toxic"].to_numpy(float))
 
 
@@ -149,7 +157,7 @@ def _far(distance: Distance):
     @F.pandas_udf("int")
     def far(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(distance).astype("int32")
+            yield pd.Series([distance(w)[0] for w in batch], dtype="int32")
 
     return far
 
