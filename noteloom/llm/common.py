@@ -22,8 +22,15 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _scratch: list[str] = []
 
 
+#: Rows of an Arrow batch at most, as texts are long; a session that asks for fewer keeps its number.
+BATCH_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it isn't installed on the executors."""
+    """Lets Python workers import this package where it isn't installed on the executors, and bounds their batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -78,7 +85,7 @@ def words(text):
 
 
 def word_count(text):
-    """Number of words, counted without making them: word starts are what is left of a text reduced to marks."""
+    """Number of words."""
     return F.size(words(text)).cast("long")
 
 
