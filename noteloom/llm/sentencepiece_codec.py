@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks in a worker's table before it is begun anew; longer chunks than MAX_KEY are not kept.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 150_000
 MAX_KEY = 48
 #: Chunks that go to the library at once.
 GROUP = 200
@@ -95,7 +95,7 @@ def table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def _slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[slice]:
     """Slices of a batch with about `limit` characters each, or one text."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -121,6 +121,7 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
                     n_tokens=[len(x) // 4 for x in ids],
                     ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
                     decoded_sha256=[hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids])
+        t.table.clear()  # workers live on, for other operators
 
     kept = [F.col(c).cast("string").alias(c) for c in keep]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).alias("text"))
