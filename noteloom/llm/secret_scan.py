@@ -62,8 +62,8 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _xlog(n: Column) -> Column:
-    """n*log2(n) from a table, as counts in a window are small."""
-    return F.get(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WIDTH + 1)]), n)
+    """n*log2(n) from a table; counts reach WIDTH + 1 before the leaving character is taken off."""
+    return F.get(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WIDTH + 2)]), n)
 
 
 def window_entropies(candidate: Column) -> Column:

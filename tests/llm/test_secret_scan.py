@@ -66,3 +66,12 @@ def test_query_against_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
     for r in QUERIES["op2_secret_scan"](spark, f"/root/testdata/{sf}").collect():
         assert (r.base_sha256, r.spans) == brute(docs[r.doc_id])
+
+
+RUNS = [c * n + "9f8A7b6C5d4E3f2G1h0IjKlMnOpQr" for c in "=-_A" for n in (20, 21, 24, 60)] + ["k3Y" * 3 + "A" * 25 + "9f8A7b6C5d4E3f2G1h0IjKlMnOpQr" + "=" * 22 + "Zq1Wx2Ec3Rv4Tb5Yn6Um7"]
+
+
+def test_secrets_behind_a_run_of_one_character(spark):
+    got = {r.doc_id: r for r in ss.scan(spark.createDataFrame(list(enumerate(RUNS)), DOCS)).collect()}
+    for i, text in enumerate(RUNS):
+        assert got[i].n_entropy > 0 and (got[i].base_sha256, got[i].spans) == brute(text), text
