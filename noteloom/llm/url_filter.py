@@ -5,6 +5,10 @@ one on the blocked ones (Witten-Bell interpolation over contexts of up to ORDER
 one character). A URL's score is the difference of its log-likelihoods, divided by its length; the threshold is the
 one that best separates the examples kept apart for calibration.
 
+Every gram of the examples is kept. The counts are a table in the shared folder, as are the probabilities of the grams
+that any URL needs, which are made order by order; scores are sums over a join of places with that table. Logarithms
+are summed in steps of 1/STEPS, so that sums do not depend on the order of rows.
+
 Null URLs, and those without `://`, have empty host and path and no rule. A null or empty URL scores 0 and is blocked;
 without examples of both kinds all other URLs are allowed. Ties between rules of one length go to the first listed.
 Very long URLs are scored whole. Repeated rows get a row each, an empty table no rows; other columns are not read.
@@ -13,22 +17,22 @@ Very long URLs are scored whole. Repeated rows get a row each, an empty table no
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.llm import common
+
 #: Characters of context at most.
 ORDER = 5
-#: n-grams below this share of their order's count are pruned, so that a model has 1/PRUNE of each order at most.
-PRUNE = 1e-6
 #: One example in so many calibrates the threshold; the others fit the models.
 CALIBRATE = 5
 #: Characters that are possible anywhere, for the uniform end of the interpolation.
 ALPHABET = 256
 #: Width of the bins, in nats a character, in which calibration scores are counted.
 BIN = 0.005
+#: Steps in a nat, in which log-likelihoods are summed.
+STEPS = 1 << 32
 # Host, path and verdict of the rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -59,18 +63,22 @@ def normal(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), "[0-9]", "0")
 
 
-def ngrams(examples: DataFrame) -> DataFrame:
-    """(ruled, gram, n) of (ruled, text): grams of 1 to ORDER+1 characters, the last one predicted by the others.
-    Texts are padded in front, so that every place has a context of each length."""
-    padded = F.concat(F.lit("\x02" * ORDER), F.col("text"), F.lit("\x03"))
-    every = F.flatten(F.transform(
+def _grams(text: Column, least: int = 1) -> Column:
+    """Grams of `least` to ORDER+1 characters that end at each place of a text. Texts are padded in front, so that every
+    place has a context of each length."""
+    padded = F.concat(F.lit("\x02" * ORDER), text, F.lit("\x03"))
+    return F.flatten(F.transform(
         F.sequence(F.lit(ORDER + 1), F.length(padded)),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring(padded, i - k + 1, k))))
-    return examples.select("ruled", F.explode(every).alias("gram")).groupBy("ruled", "gram").agg(F.count(F.lit(1)).alias("n"))
+        lambda i: F.transform(F.sequence(F.lit(least), F.lit(ORDER + 1)), lambda k: F.substring(padded, i - k + 1, k))))
+
+
+def ngrams(examples: DataFrame) -> DataFrame:
+    """(ruled, gram, n) of (ruled, text): grams of 1 to ORDER+1 characters, the last one predicted by the others."""
+    return examples.select("ruled", F.explode(_grams(F.col("text"))).alias("gram")).groupBy("ruled", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Markov:
-    """Interpolated model of the grams of one class."""
+    """Interpolated model of the grams of one class, in memory: what ratios() computes by joins."""
 
     def __init__(self, grams: dict[str, int]):
         self.grams = grams
@@ -103,36 +111,48 @@ def difference(accepted: Markov, rejected: Markov, text: str) -> float:
     return (accepted.log_likelihood(text) - rejected.log_likelihood(text)) / (len(text) + 1) if text else 0.0
 
 
-def fit(examples: DataFrame) -> dict[str, Markov]:
-    """A model for each verdict among the examples (ruled, text)."""
-    grams = ngrams(examples).withColumn("order", F.length("gram"))
-    totals = grams.groupBy("ruled", "order").agg(F.sum("n").alias("total"))
-    kept = grams.join(F.broadcast(totals), ["ruled", "order"]).filter(F.col("n") >= F.col("total") * PRUNE)  # 2*(ORDER+1) rows
-    found: dict[str, dict[str, int]] = {}
-    for r in kept.select("ruled", "gram", "n").toLocalIterator():  # 1/PRUNE of each order at most
-        found.setdefault(r[0], {})[r[1]] = r[2]
-    return {k: Markov(v) for k, v in found.items()}
-
-
-def scored(rows: DataFrame, models: dict[str, Markov], text_col: str = "text") -> DataFrame:
-    """Adds score to the rows."""
-    if {"allow", "block"} - models.keys():
-        return rows.withColumn("score", F.lit(0.0))
-    shared = rows.sparkSession.sparkContext.broadcast((models["allow"].grams, models["block"].grams))
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        accepted, rejected = map(Markov, shared.value)
-        for batch in batches:
-            yield pd.Series([difference(accepted, rejected, t or "") for t in batch], dtype="float64")
-
-    return rows.withColumn("score", score(F.col(text_col)))
+def ratios(texts: DataFrame) -> DataFrame:
+    """(gram, places, ratio): for each gram of ORDER+1 characters in the texts, its places in them, and the difference of
+    its log-probabilities, in steps, by the models of all grams of the texts that count as allow and as block.
+    texts: (text, allow, block), the last two being how often a text is an example."""
+    counts = texts.select("allow", "block", F.explode(_grams(F.col("text"))).alias("gram")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("places"), F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    counts = counts.withColumns({"order": F.length("gram"), "context": F.expr("left(gram, length(gram) - 1)")})
+    same = Window.partitionBy("context")  # as many rows as there are characters, at most
+    for v in ("allow", "block"):
+        counts = counts.withColumns({f"{v}_seen": F.sum(v).over(same), f"{v}_kinds": F.count_if(F.col(v) > 0).over(same)})
+    counts = common.materialize(counts.drop("context"), "grams")
+
+    def probability(v: str, lower: Column) -> Column:
+        seen, kinds = F.col(f"{v}_seen"), F.col(f"{v}_kinds")
+        return F.when(seen > 0, (F.col(v) + kinds * lower) / (seen + kinds)).otherwise(lower).alias(f"{v}_p")
+
+    known = None
+    for k in range(1, ORDER + 2):
+        rows = counts.filter(F.col("order") == k)
+        if known is None:
+            lower = {v: F.lit(1.0 / ALPHABET) for v in ("allow", "block")}
+        else:
+            rows = rows.join(known.select(F.col("gram").alias("shorter"), F.col("allow_p").alias("allow_l"), F.col("block_p").alias("block_l")), F.expr("substring(gram, 2)") == F.col("shorter"))
+            lower = {v: F.col(f"{v}_l") for v in ("allow", "block")}
+        known = rows.select("gram", "places", *[probability(v, lower[v]) for v in ("allow", "block")])
+    return known.select("gram", "places", F.round((F.log("allow_p") - F.log("block_p")) * STEPS).cast("long").alias("ratio"))
+
+
+def scored(texts: DataFrame) -> DataFrame:
+    """Adds score to the distinct texts (id, text, allow, block), of which some are examples of allow, and of block."""
+    table = common.materialize(ratios(texts), "ratios")
+    places = texts.filter("text <> ''").select("id", F.explode(_grams(F.col("text"), ORDER + 1)).alias("gram"))
+    total = table.agg(F.sum("places")).first()[0]
+    sums = common.left_join_groups(places, table, ["gram"], "places", total).groupBy("id").agg(F.sum("ratio").alias("sum"))
+    score = F.coalesce(F.col("sum") / F.lit(float(STEPS)) / (F.length("text") + 1), F.lit(0.0))
+    return texts.join(sums, "id", "left").withColumn("score", score).drop("sum")
 
 
 def threshold(calibration: DataFrame) -> float:
     """The score from which to allow: where the share of allowed examples above and of blocked ones below is greatest.
-    The driver sees counts by bin and verdict."""
-    bins = calibration.groupBy(F.floor(F.col("score") / BIN).alias("bin"), "ruled").count().collect()
+    calibration: (score, ruled, n). The driver sees counts by bin and verdict."""
+    bins = calibration.groupBy(F.floor(F.col("score") / BIN).alias("bin"), "ruled").agg(F.sum("n").alias("count")).collect()
     total = {v: sum(r["count"] for r in bins if r["ruled"] == v) for v in ("allow", "block")}
     if not total["allow"] or not total["block"]:
         return 0.0
@@ -148,9 +168,14 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", id_col: str = "pa
     """page_id, host, path, rule, verdict, score: one row per page."""
     rows = with_rules(pages, rules, url_col, id_col).withColumn("text", normal(F.col("url")))
     apart = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("text")), F.lit(CALIBRATE)) == 0
-    examples = rows.filter("ruled is not null").select("ruled", "text", apart.alias("apart"))
-    models = fit(examples.filter("not apart").select("ruled", "text"))
-    both = not {"allow", "block"} - models.keys()
-    limit = threshold(scored(examples.filter("apart"), models)) if both else 0.0
+    by = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("ruled") == v).alias(v) for v in ("allow", "block")])
+    by = by.select("text", "n", *[F.when(apart, 0).otherwise(F.col(v)).alias(v) for v in ("allow", "block")], *[F.when(apart, F.col(v)).otherwise(0).alias(f"{v}_apart") for v in ("allow", "block")])
+    texts = common.materialize(by.withColumn("id", F.monotonically_increasing_id()), "urls")
+    count = texts.agg(F.sum("n"), F.sum("allow"), F.sum("block")).first()
+    both = bool(count[1] and count[2])
+    found = common.materialize(scored(texts), "scores") if both else texts.withColumn("score", F.lit(0.0))
+    held = [found.filter(F.col(f"{v}_apart") > 0).select("score", F.lit(v).alias("ruled"), F.col(f"{v}_apart").alias("n")) for v in ("allow", "block")]
+    limit = threshold(held[0].unionByName(held[1])) if both else 0.0
     method = F.when(F.col("text") == "", "block").when(F.col("score") >= limit, "allow").otherwise("block")
-    return scored(rows, models).select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
+    judged = common.left_join_groups(rows, found.select("text", "n", "score"), ["text"], "n", count[0] or 0)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
