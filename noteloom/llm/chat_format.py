@@ -2,10 +2,10 @@
 
 For each participant (each role but `system`) the dialogue is rendered with that speaker's turns as the assistant's,
 the others as named users, and system turns as they are; the mask lists the characters to train on, which are the
-assistant's texts with their end marks. A dialogue is rendered in blocks of BLOCK turn numbers, so that no task holds
-a dialogue of any length; dialogues of up to BLOCK turns are one block.
+assistant's texts with their end marks. A dialogue is rendered whole, whatever its turn numbers, so one row must be able
+to hold it; `block` is that of its first turn, in blocks of BLOCK turn numbers.
 
-Null roles count as `unknown`, null texts as empty, null turns come first, in block 0. Turns with one number are
+Null roles count as `unknown`, null texts as empty, null turns come first and count as block 0. Turns with one number are
 ordered by role, then text; repeated rows are rendered as often as they come. Marks inside a text are broken up by a
 backslash. Dialogues with only system turns, and an empty table, give no rows. Other columns are not read.
 """
@@ -46,9 +46,9 @@ def _pieces(dialogue: Column, speaker: Column) -> Column:
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, block, n_turns, rendered, mask (start:end of trained characters, comma-joined), n_trained."""
     rows = turns(conversations)
-    blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("dialogue"))
+    dialogues = rows.groupBy("conv_id").agg(F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("dialogue"))
     speakers = rows.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct()
-    pieces = blocks.join(speakers, "conv_id").withColumn("pieces", _pieces(F.col("dialogue"), F.col("perspective")))
+    pieces = dialogues.join(speakers, "conv_id").withColumn("pieces", _pieces(F.col("dialogue"), F.col("perspective")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
 
     def step(a, p):
