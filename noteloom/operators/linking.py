@@ -64,12 +64,12 @@ def match_tasks(tasks: DataFrame, projects: DataFrame, min_keyword_len: int = 4)
 
 
 def correction_scan(files: DataFrame, term: str, word_boundary: bool = False, ignore_case: bool = True, scope: str | None = None) -> DataFrame:
-    """(path, hits, lines): files that have a term, how often, and up to three lines with it. files: (path, text)."""
+    """(path, hits, lines): files that have a term, how often, and all lines with it. files: (path, text)."""
     if scope is not None:
         files = files.filter(F.col("path").ilike(T.glob_pattern(scope)))
     pattern = T.literal_pattern(term, word_boundary, ignore_case)
     hits = files.filter(F.col("text").rlike(pattern)).withColumn("hits", F.regexp_count("text", F.lit(pattern)))
-    return hits.select("path", "hits", F.slice(F.filter(F.split("text", "\n"), lambda line: line.rlike(pattern)), 1, 3).alias("lines"))
+    return hits.select("path", "hits", F.filter(F.split("text", "\n"), lambda line: line.rlike(pattern)).alias("lines"))
 
 
 def corrected(files: DataFrame, term: str, replacement: str, word_boundary: bool = False, ignore_case: bool = True) -> DataFrame:
