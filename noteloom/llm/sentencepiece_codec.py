@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm import common
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks in a worker's table before it is begun anew; longer chunks than MAX_KEY are not kept.
@@ -95,18 +97,6 @@ def table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def _slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[slice]:
-    """Slices of a batch with about `limit` characters each, or one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > limit:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the string columns `keep`, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and decoded again."""
     path = model or default_model()
@@ -115,13 +105,14 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
         t = table(path)
         for batch in batches:
             texts = batch["text"].tolist()
-            for s in _slices(texts):
+            for s in common.slices(texts):
                 ids = t.encode(texts[s])
                 yield batch.drop(columns="text").iloc[s].assign(
                     n_tokens=[len(x) // 4 for x in ids],
                     ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
                     decoded_sha256=[hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids])
         t.table.clear()  # workers live on, for other operators
+        common.release()
 
     kept = [F.col(c).cast("string").alias(c) for c in keep]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).alias("text"))
@@ -136,7 +127,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ou
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts, found = batch.tolist(), []
-            for s in _slices(texts):
+            for s in common.slices(texts):
                 found += [np.frombuffer(x, "<u4").astype("int32") for x in table(path).encode(texts[s])]
             yield pd.Series(found, dtype=object)
 

@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm import common
-from noteloom.llm.sentencepiece_codec import _slices
 
 #: Labelled rows of each label that training takes, about.
 SAMPLE_DOCS = 8000
@@ -167,7 +166,7 @@ def _features(distance: Distance):
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            yield pd.Series([x for s in _slices(texts) for x in map(distance.features, texts[s])], dtype=object)
+            yield pd.Series([x for s in common.slices(texts) for x in map(distance.features, texts[s])], dtype=object)
 
     return features
 
@@ -196,7 +195,7 @@ def score(docs: DataFrame, model: tuple[Distance, np.ndarray] | None, text_col:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            x = np.array([f for s in _slices(texts) for f in map(distance.features, texts[s])]).reshape(len(texts), -1)
+            x = np.array([f for s in common.slices(texts) for f in map(distance.features, texts[s])]).reshape(len(texts), -1)
             z = weights[0] + (x @ weights[1:] if len(texts) else np.zeros(0))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
