@@ -1,18 +1,24 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Every text gets a 64-bit key. Texts of one key are folded map-side before they move, so a text with very many
-copies costs one index entry per task. The index is a directory of 2**depth slots over the leading bits of the
-key; a bucket that holds more than its capacity is split by doubling the directory, and the entries are written
-to the shared folder in key order. Each owner task then takes a range of keys, chains the entries of a key, and
-compares the bytes of the texts where a key has more than one row; different texts of one key stay apart.
-
-Null text counts as empty; empty texts are equal to each other. Ties need no rule, as the largest doc_id stays;
-of rows that also share the doc_id each is returned, with the same verdict. An empty table gives no rows.
+Every text gets a 64-bit key. A directory of 2**depth slots over the leading bits of the key names the bucket of each
+slot; buckets that would hold more than their capacity of keys are split by doubling the directory. Texts whose key has
+several rows go to the owner task of their bucket, folded map-side first, so that a text with very many copies moves once
+from each task. The owner chains the different texts of a key, compared by their bytes, and writes each bucket's entries
+(key, place in the chain, digest, keep_id, group_size) to a folder of the bucket's own. Directory and buckets are files
+in the shared folder. Documents are looked up through them: their key's slot gives the bucket, and the digest the entry
+of the chain. A key with one row needs no entry.
+
+Null text counts as empty; empty texts are equal to each other. Very long texts are compared whole. Ties need no rule, as
+the largest doc_id stays; of rows that also share the doc_id each is returned, with the same verdict. Rows without an id
+are copies like others, and one of theirs stays only where no copy has an id (then each has the verdict of its null id).
+An empty table gives no rows. Other columns are not read, or passed on by keep_last(), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm import common
@@ -23,13 +29,23 @@ MAX_DEPTH = 14
 BUCKET_KEYS = 4096
 
 
-def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hashed(text: Column, bits: int = 64) -> Column:
+    """The key of a text: the leading bits of its hash, all of them but in tests of collisions."""
+    key = F.xxhash64(text)
+    return key if bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - bits), 64 - bits)
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, key, sha): one short row per document; the only pass that hashes every text."""
     text = common.whole_text(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    return docs.select(F.col(id_col).alias("doc_id"), hashed(text, bits).alias("key"), digest(text).alias("sha"))
 
 
-def slot(key, depth: int):
+def slot(key: Column, depth: int) -> Column:
     """The leading bits of a key: its slot in a directory of 2**depth."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
@@ -59,61 +75,79 @@ def directory(keys: DataFrame, capacity: int | None = None) -> tuple[int, list[t
     return depth, slots
 
 
-def build_index(rows: DataFrame, capacity: int | None = None) -> DataFrame:
-    """(bucket, local_depth, key, sha, keep_id, group_size) in the shared folder: entries folded to one per key
-    and digest, each owner task writing a range of buckets."""
-    spark = rows.sparkSession
-    folded = common.materialize(rows.groupBy("key", "sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "folded")
-    depth, slots = directory(folded, capacity)
-    table = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int, local_depth int"))  # 2**MAX_DEPTH rows at most
-    owned = folded.withColumn("slot", slot(F.col("key"), depth)).join(table, "slot").drop("slot")
-    return common.materialize(owned.repartitionByRange(F.col("bucket"), F.col("key")), "index")
-
-
-def compared(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, sha, keep_id, group_size) of the texts whose key has several rows, grouped by their bytes."""
-    repeated = common.materialize(index.groupBy("key").agg(F.sum("group_size").alias("n")).filter("n > 1").select("key"), "repeated")
-    texts = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    chained = texts.join(common.small(repeated), "key", "left_semi").groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return chained.select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The entries, the groups of equal texts with several rows, and the number of documents."""
-    rows = common.materialize(entries(docs, id_col, text_col), "entries")
-    index = build_index(rows, capacity)
-    return rows, common.materialize(compared(docs, index, id_col, text_col), "groups"), rows.count()
+class Index:
+    """Directory and buckets in the shared folder."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, capacity: int | None = None, bits: int = 64):
+        """rows: the entries of docs."""
+        spark = docs.sparkSession
+        self.id_type = dict(rows.dtypes)["doc_id"]
+        repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        repeated = common.materialize(repeated, "repeated", narrow=True)
+        self.depth, slots = directory(repeated, capacity)
+        self.directory = common.materialize(spark.createDataFrame(slots, "slot long, bucket int, local_depth int").coalesce(1), "directory")
+        texts = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("text")).withColumn("key", hashed(F.col("text"), bits))
+        if repeated.count() <= common.BROADCAST_IDS:  # else folding moves each text at most once, as a join by key would
+            texts = texts.join(F.broadcast(repeated), "key", "left_semi")
+        owned = self.located(texts).groupBy("bucket", "key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        owned = owned.select("bucket", "key", digest(F.col("text")).alias("sha"), "keep_id", "group_size")
+        # The owner of a bucket chains what its keys have.
+        chains = owned.groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("sha", "keep_id", "group_size"))).alias("chain"))
+        chained = chains.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", F.posexplode("chain").alias("place", "entry"))
+        self.path = f"{common.run_dir(spark)}/buckets-{uuid.uuid4().hex}"
+        common.collect(self.path)
+        chained.select("bucket", "key", "place", "entry.*").write.partitionBy("bucket").parquet(self.path)
+
+    def located(self, rows: DataFrame) -> DataFrame:
+        """rows with the bucket of their key: what the directory has in its slot."""
+        return rows.withColumn("slot", slot(F.col("key"), self.depth)).join(F.broadcast(self.directory.select("slot", "bucket")), "slot").drop("slot")  # 2**MAX_DEPTH rows at most
+
+    def buckets(self) -> DataFrame:
+        """(key, place, sha, keep_id, group_size, bucket) of all buckets."""
+        return self.directory.sparkSession.read.schema(f"key long, place int, sha binary, keep_id {self.id_type}, group_size long, bucket int").parquet(self.path)
+
+
+def looked_up(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, bits: int = 64) -> DataFrame:
+    """(doc_id, key, sha, keep_id, group_size) of every document, by way of the index. Entries with very many copies, a
+    thousand at most, are broadcast, so that no task gets all documents of one text."""
+    rows = common.materialize(entries(docs, id_col, text_col, bits), "entries")
+    index = Index(docs, rows, id_col, text_col, capacity, bits)
+    found = index.buckets().drop("place")
+    on = ["bucket", "key", "sha"]
+    heavy_at = max(2, -(-rows.count() // common.HEAVY_SHARE))
+    heavy = F.broadcast(found.filter(F.col("group_size") >= heavy_at).withColumnsRenamed({"keep_id": "h_id", "group_size": "h_size"}))  # HEAVY_SHARE rows at most
+    flagged = index.located(rows).join(heavy, on, "left")
+    light = flagged.filter("h_size is null").join(found.filter((F.col("group_size") > 1) & (F.col("group_size") < heavy_at)), on, "left")
+    done = light.unionByName(flagged.filter("h_size is not null").withColumns({"keep_id": F.col("h_id"), "group_size": F.col("h_size")}))
+    size = F.coalesce("group_size", F.lit(1)).cast("long")
+    return done.select("doc_id", "key", "sha", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    found = looked_up(docs, id_col, text_col, capacity, bits)
+    return found.select("doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, several, total = groups(docs, id_col, text_col, capacity)
-    several = several.filter("group_size > 1")
-    heavy_at = max(2, -(-total // common.HEAVY_SHARE))
-    heavy = F.broadcast(several.filter(F.col("group_size") >= heavy_at).withColumnsRenamed({"keep_id": "h_id", "group_size": "h_size"}))  # HEAVY_SHARE rows at most
-    flagged = rows.join(heavy, ["key", "sha"], "left")
-    light = flagged.filter("h_id is null").join(several.filter(F.col("group_size") < heavy_at), ["key", "sha"], "left")
-    done = light.unionByName(flagged.filter("h_id is not null").withColumns({"keep_id": F.col("h_id"), "group_size": F.col("h_size")}))
-    return done.select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-
-
-def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, bits: int = 64) -> DataFrame:
     """The documents without the dropped copies, all columns as they were. Of rows that agree in text and doc_id
     one stays."""
-    rows, several, _ = groups(docs, id_col, text_col)
-    several = several.filter("group_size > 1").select("key", "sha", "keep_id")
-    dropped = common.materialize(rows.join(several, ["key", "sha"]).filter("doc_id <> keep_id").select("doc_id", "key"), "dropped")
-    again = common.materialize(rows.groupBy("doc_id", "key", "sha").count().filter("count > 1").select("doc_id", "key"), "again")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(common.whole_text(text_col))})
-    dropped, again = (x.toDF("_id", "_key") for x in (dropped, again))
-    kept = keyed.join(common.small(dropped), ["_id", "_key"], "left_anti")
+    found = common.materialize(looked_up(docs, id_col, text_col, capacity, bits).filter("group_size > 1"), "found", narrow=True)
+    stays = F.col("keep_id").eqNullSafe(F.col("doc_id"))
+    _id, _key, _sha = common.fresh(docs, "_id", "_key", "_sha")
+    text = common.whole_text(text_col)
+
+    def within(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.toDF(_id, _key, _sha)
+        same = F.col(id_col).eqNullSafe(F.col(_id)) & (hashed(text, bits) == F.col(_key)) & (digest(text) == F.col(_sha))
+        return rows.join(common.small(which, common.BROADCAST_ROWS), same, how)
+
+    dropped = common.materialize(found.filter(~stays).select("doc_id", "key", "sha").distinct(), "dropped", narrow=True)
+    again = found.filter(stays).groupBy("doc_id", "key", "sha").count().filter("count > 1").drop("count")
+    again = common.materialize(again, "again", narrow=True)
+    kept = within(docs, dropped, "left_anti")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(common.small(again), ["_id", "_key"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(common.small(again), ["_id", "_key"], "left_anti").unionByName(once).select(*docs.columns)
+        return kept
+    plain = common.fresh(docs, "_plain")[0]  # null and empty are equal
+    once = within(kept, again, "left_semi").withColumn(plain, text).dropDuplicates([id_col, plain]).drop(plain)
+    return within(kept, again, "left_anti").unionByName(once)

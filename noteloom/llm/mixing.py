@@ -6,7 +6,8 @@ floor(rate) times, plus once more by a Bernoulli draw, seeded by a hash of its i
 so reruns agree, and a document's copies don't depend on other documents of its source.
 
 Null text has size 0, and so does a text without words; a source of size 0 has target 0. Null is a source of its
-own, last in order. Repeated rows draw alike. An empty table gives no rows; other columns pass unread.
+own, last in order. Repeated rows draw alike, sources of equal cap and weight go by name. Very long texts are counted
+whole. An empty table gives no rows; other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
     """(source, source_size, target): one row per source.
 
     Sources whose cap is small for their weight fill up first: in the order of cap/weight, the first source whose
-    cap is above its share of what is left, and all after it, share that by weight."""
+    cap is above its share of what is left, and all after it, share that by weight. One task orders the sources: a few
+    numbers each, summed before, so a million of them still are some dozens of MB."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = F.get(F.array(*[F.lit(x) for x in weights]), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
     weighted = by_source.withColumn("w", w).withColumn("cap", max_rate * F.col("source_size"))
@@ -57,7 +59,7 @@ def draw(id_col: str, seed: str = SEED) -> Column:
 def rated(sizes: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """Adds source_size, target, copies to (doc_id, source, size). Rates are small, but of no fixed number:
     their size is checked before they are broadcast."""
-    rates = common.small(common.materialize(rates, "rates")).withColumnRenamed("source", "_s")
+    rates = common.small(common.materialize(rates, "rates", narrow=True), common.BROADCAST_ROWS).withColumnRenamed("source", "_s")
     joined = sizes.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw("doc_id", seed) < rate - F.floor(rate), 1).otherwise(0)
@@ -75,8 +77,10 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     """The documents of the mix with all their columns, each as many times as it is taken. Only the few rows by
     source are joined to the texts."""
     sizes = common.materialize(sized(docs), "sizes")
-    rates = common.small(common.materialize(targets(sizes, weights, max_rate), "rates"))
-    rates = rates.select(F.col("source").alias("_s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
-    joined = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    copies = F.floor("_rate") + F.when(draw("doc_id", seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    _s, _rate, _copy = common.fresh(docs, "_s", "_rate", "_copy")
+    rates = targets(sizes, weights, max_rate)
+    rates = rates.select(F.col("source").alias(_s), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(_rate))
+    rates = common.small(common.materialize(rates, "rates", narrow=True), common.BROADCAST_ROWS)
+    joined = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col(_s)))
+    copies = F.floor(F.col(_rate)) + F.when(draw("doc_id", seed) < F.col(_rate) - F.floor(F.col(_rate)), 1).otherwise(0)
+    return joined.withColumn(_copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(_s, _rate, _copy)

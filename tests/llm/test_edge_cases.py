@@ -187,3 +187,68 @@ def test_forward_against_brute_force():
     for w in ("a", "abba", "aza", "zz"):
         assert np.allclose(m.words([w])[0], np.log(brute("▁" + w)))
     assert np.isfinite(m.words(["ab" * 5000])).all()
+
+
+def test_collisions_are_chained(spark):
+    rows = [(i, f"text {i % 7}") for i in range(60)] + [(100, None), (101, ""), (None, "text 1"), (None, "alone"), (None, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault(t or "", []).append(i)
+    for bits, capacity in ((64, None), (3, 1), (1, 2)):
+        got = sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in exact_dedup.dedup(d, capacity=capacity, bits=bits).collect())
+        most = {t: max((i for i in ids if i is not None), default=-1) for t, ids in want.items()}
+        assert got == sorted((-1 if i is None else i or -1, most[t or ""], len(want[t or ""])) for i, t in rows)
+        kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in exact_dedup.keep_last(d, capacity=capacity, bits=bits).collect())
+        assert kept == sorted((most[t], t) for t in want)
+
+
+CLASH = ["_id", "_key", "_sha", "_s", "_rate", "_copy", "_set", "_share", "_t", "_plain", "key", "sha", "print", "found", "slot", "bucket", "rep", "label", "n", "id", "w", "cap", "target", "copies", "failed", "words", "x", "u", "held", "rate", "block", "mask", "toxic", "score"]
+
+
+def test_columns_with_the_names_of_helpers(spark, docs):
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASH])
+    for keep in (quality_rules.keep, exact_dedup.keep_last, jaccard_join.keep_first, mixing.mix):
+        got = keep(wide)
+        assert got.columns == wide.columns
+        rows, plain = got.collect(), keep(docs).collect()
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASH)
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain)
+    for name, f in PER_DOC.items():
+        a, b = f(wide).collect(), f(docs).collect()
+        key = lambda r: str((r["doc_id"], r))
+        assert sorted(map(key, a)) == sorted(map(key, b)), name
+    assert language_id.bounded(wide.filter("lang is not null")).columns == wide.columns
+    urls = spark.createDataFrame([(1, "http://a.net/x", "h", "p", "r")], "page_id long, url string, host string, path string, gram string")
+    assert url_filter.judge(urls).collect()[0]["host"] == "a.net"
+    chat = spark.createDataFrame([(1, 0, "ann", "hi", "b", "d")], "conv_id long, turn long, role string, text string, block string, dialogue string")
+    assert chat_format.rotate(chat).count() == 1
+
+
+def test_expected_counts_against_brute_force():
+    import numpy as np
+
+    pieces = ["", "▁", "a", "b", "▁a", "ab", "▁ab", "ba"]
+    m = language_id.Model(["x", "y"], np.arange(16.0).reshape(2, 8), pieces)
+    at = {p: i for i, p in enumerate([p for p in pieces if p])}
+
+    def cuts(s):
+        if not s:
+            yield [], np.ones(2)
+        for k in range(1, len(s) + 1):
+            p = m.p[at[s[:k]]] if s[:k] in at else np.full(2, language_id.UNKNOWN if k == 1 else 0.0)
+            if p.any():
+                for rest, q in cuts(s[k:]):
+                    yield [s[:k], *rest], p * q
+
+    words, weights = ["a", "abba", "abzab", "b"], np.array([[1, 0], [2, 3], [0, 5], [4, 4.0]])
+    want = np.zeros((len(pieces), 2))
+    for w, n in zip(words, weights):
+        every = list(cuts("▁" + w))
+        total = sum(q for _, q in every)
+        for cut, q in every:
+            for x in cut:
+                if x in at:
+                    want[pieces.index(x)] += n * q / total
+    assert np.allclose(m.expected(words, weights), want)
+    assert np.isfinite(m.expected(["ab" * 400], np.ones((1, 2)))).all()
