@@ -12,10 +12,11 @@ def test_language(spark):
 
 
 def test_toxicity(spark):
-    rows = QUERIES["op10_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     bad, good = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
     above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
-    assert above > 0.65  # some thirty toxic documents to learn from; more labels do better, see README
+    assert above > 0.85  # some 250 toxic documents to learn from; more labels do better, see README
 
 
 def test_urls_without_a_rule(spark):
