@@ -2,65 +2,60 @@
 
 For each participant (each role but `system`) the dialogue is rendered with that speaker's turns as the assistant's,
 the others as named users, and system turns as they are; the mask lists the characters to train on, which are the
-assistant's texts with their end marks. A dialogue is rendered whole, whatever its turn numbers, so one row must be able
-to hold it; `block` is that of its first turn, in blocks of BLOCK turn numbers.
+assistant's texts with their end marks. A turn is trained on in one perspective only, so its place is found once: by the
+running length of the dialogue with all speakers named, less what the speaker's earlier heads are shorter by.
 
-Null roles count as `unknown`, null texts as empty, null turns come first and count as block 0. Turns with one number are
-ordered by role, then text; repeated rows are rendered as often as they come. Marks inside a text are broken up by a
-backslash. Dialogues with only system turns, and an empty table, give no rows. Other columns are not read.
+A dialogue is rendered whole, whatever its turn numbers, so one row must be able to hold it (2 GB), and one task its
+turns. Very long texts are rendered whole.
+
+Null roles count as `unknown`, null texts as empty; null turns come first. Turns with one number are ordered by role,
+then text; repeated rows are rendered as often as they come. In texts and roles the mark `<|` is broken up by a
+backslash, and line ends in roles are written as backslash and n, so neither can open a turn. Dialogues with only system
+turns, and an empty table, give no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, SYSTEM = "<|im_start|>", "<|im_end|>\n", "system"
-#: Turn numbers in a block.
-BLOCK = 256
+ASSISTANT, NAMED = "assistant", "user name="
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, role, text) with nulls and marks made plain."""
+    """(conv_id, turn, role, name, text) with nulls made plain; the name and the text without marks."""
+    role = F.coalesce("role", F.lit("unknown"))
     return conversations.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long").alias("block"),
-        "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("text"),
+        "conv_id", "turn", role.alias("role"),
+        F.replace(_unmarked(role), F.lit("\n"), F.lit("\\n")).alias("name"),
+        _unmarked(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
-def _pieces(dialogue: Column, speaker: Column) -> Column:
-    """For each turn its head, its text with the end mark, and whether it is trained on."""
-    def piece(t):
-        name = F.when(t["role"] == SYSTEM, F.lit(SYSTEM)).when(t["role"] == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), t["role"]))
-        return F.struct(
-            F.concat(F.lit(START), name, F.lit("\n")).alias("head"),
-            F.concat(t["text"], F.lit(END)).alias("body"),
-            ((t["role"] == speaker) & (t["role"] != SYSTEM)).alias("train"))
-
-    return F.transform(dialogue, piece)
-
-
 def rotate(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, block, n_turns, rendered, mask (start:end of trained characters, comma-joined), n_trained."""
+    """conv_id, perspective, n_turns, rendered, mask (start:end of trained characters, comma-joined), n_trained."""
     rows = turns(conversations)
-    dialogues = rows.groupBy("conv_id").agg(F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("dialogue"))
-    speakers = rows.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct()
-    pieces = dialogues.join(speakers, "conv_id").withColumn("pieces", _pieces(F.col("dialogue"), F.col("perspective")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-
-    def step(a, p):
-        start = a["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        return F.struct(end.alias("at"), F.when(p["train"], F.concat(a["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["mask"]).alias("mask"))
-
-    spans = pieces.withColumn("spans", F.aggregate("pieces", zero, step, lambda a: a["mask"]))
-    return spans.select(
-        "conv_id", "perspective", "block",
-        F.size("pieces").cast("long").alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("mask"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_trained"),
-    )
+    body = F.length("text") + len(END)
+    head = len(START) + 1 + F.when(F.col("role") == SYSTEM, F.length("name")).otherwise(len(NAMED) + F.length("name"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({"body": body.cast("long"), "stop": F.sum((head + body).cast("long")).over(order)})
+    # Every speaker's own turns: the k-th ends earlier by k heads that are shorter than with the name.
+    own = placed.filter(F.col("role") != SYSTEM).groupBy("conv_id", "role").agg(F.first("name").alias("name"), F.array_sort(F.collect_list(F.struct("stop", "body"))).alias("own"))
+    shorter = len(NAMED) + F.length("name") - len(ASSISTANT)
+    ends = F.transform("own", lambda t, k: F.struct(t["body"].alias("body"), (t["stop"] - (k + 1) * shorter).alias("end")))
+    masks = own.select("conv_id", F.col("role").alias("perspective"), F.col("name").alias("speaker"),
+                       F.array_join(F.transform(ends, lambda t: F.concat_ws(":", t["end"] - t["body"], t["end"])), ",").alias("mask"),
+                       F.aggregate("own", F.lit(0).cast("long"), lambda a, t: a + t["body"]).alias("n_trained"))
+    dialogues = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("stop", "role", "name", "text"))).alias("dialogue"))
+
+    def rendered(t: Column) -> Column:
+        name = F.when(t["role"] == SYSTEM, F.lit(SYSTEM)).when(t["role"] == F.col("perspective"), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(NAMED), t["name"]))
+        return F.concat(F.lit(START), name, F.lit("\n"), t["text"], F.lit(END))
+
+    both = dialogues.withColumnRenamed("conv_id", "c").join(masks, F.col("c").eqNullSafe(F.col("conv_id")))
+    return both.select("conv_id", "perspective", F.size("dialogue").cast("long").alias("n_turns"), F.array_join(F.transform("dialogue", rendered), "").alias("rendered"), "mask", "n_trained")

@@ -107,19 +107,20 @@ ORACLE = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op9_chat_format": r"""
         WITH turns AS (
-            SELECT row_number() OVER () AS rid, conv_id, coalesce(floor(turn / 256.0), 0)::BIGINT AS block, turn, coalesce(role, 'unknown') AS role,
+            SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role,
+                replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), chr(10), '\n') AS name,
                 replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
         speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
         pieces AS (
             SELECT t.*, perspective, role = perspective AS train, text || '<|im_end|>' || chr(10) AS body,
-                '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
-            FROM turns t JOIN speakers USING (conv_id)),
+                '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head
+            FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
         placed AS (
-            SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block
+            SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective
                 ORDER BY turn NULLS FIRST, role, text, rid ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM pieces)
-        SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns,
+        SELECT conv_id, perspective, count(*)::BIGINT AS n_turns,
             string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text, rid) AS rendered,
             coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop) FILTER (train), '') AS mask,
             coalesce(sum(length(body)) FILTER (train), 0)::BIGINT AS n_trained
-        FROM placed GROUP BY conv_id, perspective, block""",
+        FROM placed GROUP BY conv_id, perspective""",
 }
