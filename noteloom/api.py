@@ -54,13 +54,15 @@ class KnowledgeBase:
             F.xxhash64("name", "doc_type").bitwiseAND(F.lit((1 << 62) - 1)).alias("id"), "name", F.regexp_replace("doc_type", "memory_", "").alias("entity_type"), "aliases", "metadata", F.col("path").alias("source_path"))
         seeds = seeds.dropDuplicates(["id"])
         names = seeds.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("name"), F.filter("aliases", lambda a: F.length(a) > 3))).alias("name"))
-        found = linking.name_mentions(docs.select("id", "text"), names, 4).select("entity_id", "document_id", F.lit("content").alias("mention_type"))
+        found = linking.name_mentions(docs.select("id", "text"), names).select("entity_id", "document_id", F.lit("content").alias("mention_type"))
         hidden = self.store.read("suppressions").join(docs.select("path", F.col("id").alias("document_id")), "path").join(seeds.select(F.lower("name").alias("entity"), F.col("id").alias("entity_id")), "entity")
-        found = linking.without_suppressed(found, hidden.select("document_id", "entity_id")).distinct()
+        manual = self.store.read("mentions").filter("mention_type = 'manual'").select("entity_id", "document_id", "mention_type")
+        manual = manual.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*found.columns)
+        found = linking.without_suppressed(found, hidden.select("document_id", "entity_id")).unionByName(manual).distinct()
         last = relational.last_mentioned(found, docs)
         pins = self.store.read("entities").select("id", "pinned")
         facts = markdown.dated_facts(docs).join(seeds.select(F.col("source_path").alias("path"), F.col("id").alias("entity_id")), "path")
-        facts = relational.with_seq(facts.withColumn("id", F.xxhash64("entity_id", "fact_date", "fact_text").bitwiseAND(F.lit((1 << 62) - 1))))
+        facts = self._numbered(facts.withColumn("id", _fact_key()), seeds)
         self.store.write("glossary", markdown.glossary_terms(tree.filter("path = 'glossary.md'")))
         self.store.write("facts", facts)
         self.store.write("entities", seeds.join(pins, "id", "left").join(last.withColumnRenamed("entity_id", "id"), "id", "left"))
@@ -121,27 +123,63 @@ class KnowledgeBase:
         self.store.write("entities", self.store.read("entities").withColumn("pinned", pinned))
         return bool(self.store.read("entities").filter(F.col("id") == key).first()["pinned"])
 
+    def _numbered(self, found: DataFrame, seeds: DataFrame) -> DataFrame:
+        """Facts of the files with the numbers that they had, new ones numbered after those, and the stored facts of
+        entities without a file."""
+        old = self.store.read("facts")
+        had = old.groupBy(F.col("id")).agg(F.min("seq").alias("seq"), F.min("created_at").alias("created_at"))
+        known = found.dropDuplicates(["id"]).join(had, "id", "left")
+        new = relational.with_seq(known.filter("seq is null").drop("seq"), old)
+        alone = old.join(seeds.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+        columns = ["id", "entity_id", "fact_text", "fact_date", "created_at", "seq"]
+        every = known.filter("seq is not null").select(*columns).unionByName(new.select(*columns)).unionByName(alone.select(*columns))
+        return every.withColumn("seq", F.col("seq").cast(old.schema["seq"].dataType))
+
+    def _profile(self, key: int) -> str | None:
+        """The file of an entity, which is the truth about its facts."""
+        row = self.store.read("entities").filter(F.col("id") == key).first()
+        return row["source_path"] if row["source_path"] and self._file(row["source_path"]).exists() else None
+
+    def _rewrite_fact(self, key: int, old: str, new: str | None) -> None:
+        path = self._profile(key)
+        if path:
+            lines = self.read_memory_file(path).split("\n")
+            at = next((i for i, x in enumerate(lines) if x.strip() == old), None)
+            if at is not None:
+                lines[at : at + 1] = [] if new is None else [new]
+                self.write_memory_file(path, "\n".join(lines))
+
     def add_fact(self, entity: str, fact: str, date: str | None = None) -> int:
+        """Stores a fact, and writes it under `## Recent Facts` of the entity's file, from which index() reads it again."""
         key = self._entity_id(entity)
         facts = self.store.read("facts")
         seq = (facts.filter(F.col("entity_id") == key).agg(F.max("seq")).first()[0] or 0) + 1
-        top = (facts.agg(F.max("id")).first()[0] or 0) + 1
         day = dt.date.fromisoformat(date) if date else self.as_of
-        self.store.append("facts", [(top, key, fact, day, dt.datetime.combine(self.as_of, dt.time()), seq)], ["id", "entity_id", "fact_text", "fact_date", "created_at", "seq"])
+        one = self.spark.createDataFrame([(key, day, fact)], "entity_id long, fact_date date, fact_text string").select(_fact_key().alias("id")).first()["id"]
+        self.store.append("facts", [(one, key, fact, day, dt.datetime.combine(self.as_of, dt.time()), seq)], ["id", "entity_id", "fact_text", "fact_date", "created_at", "seq"])
+        if path := self._profile(key):
+            self.write_memory_file(path, inserted_under(self.read_memory_file(path), "## Recent Facts", f"- [{day}] {fact}"))
         return seq
 
     def edit_fact(self, entity: str, seq: int, fact: str | None = None, date: str | None = None) -> None:
-        hit = (F.col("entity_id") == self._entity_id(entity)) & (F.col("seq") == seq)
+        key = self._entity_id(entity)
+        hit = (F.col("entity_id") == key) & (F.col("seq") == seq)
         facts = self.store.read("facts")
-        if fact is not None:
-            facts = facts.withColumn("fact_text", F.when(hit, F.lit(fact)).otherwise(F.col("fact_text")))
-        if date is not None:
-            facts = facts.withColumn("fact_date", F.when(hit, F.lit(date).cast("date")).otherwise(F.col("fact_date")))
-        self.store.write("facts", facts)
+        old = facts.filter(hit).first()
+        if old is None:
+            return
+        text_, day = old["fact_text"] if fact is None else fact, old["fact_date"] if date is None else dt.date.fromisoformat(date)
+        facts = facts.withColumns({"fact_text": F.when(hit, F.lit(text_)).otherwise(F.col("fact_text")), "fact_date": F.when(hit, F.lit(day)).otherwise(F.col("fact_date"))})
+        self.store.write("facts", facts.withColumn("id", F.when(hit, _fact_key()).otherwise(F.col("id"))))
+        self._rewrite_fact(key, f"- [{old['fact_date']}] {old['fact_text']}", f"- [{day}] {text_}")
 
     def delete_fact(self, entity: str, seq: int) -> None:
-        hit = (F.col("entity_id") == self._entity_id(entity)) & (F.col("seq") == seq)
+        key = self._entity_id(entity)
+        hit = (F.col("entity_id") == key) & (F.col("seq") == seq)
+        old = self.store.read("facts").filter(hit).first()
         self.store.write("facts", self.store.read("facts").filter(~F.coalesce(hit, F.lit(False))))
+        if old is not None:
+            self._rewrite_fact(key, f"- [{old['fact_date']}] {old['fact_text']}", None)
 
     def list_facts(self, since: str | None = None, entity: str | None = None) -> DataFrame:
         first = str(dates.since(since, self.as_of)) if since else None
@@ -346,6 +384,11 @@ class KnowledgeBase:
         return ctx.rendered(blocks, human)
 
 
+def _fact_key():
+    """The id of a fact: of its entity, day and text."""
+    return F.xxhash64("entity_id", "fact_date", "fact_text").bitwiseAND(F.lit((1 << 62) - 1))
+
+
 def _body(content: str) -> str:
     """What follows the front matter."""
     m = re.match(r"---\n.*?\n---\n", content, re.DOTALL)
@@ -353,12 +396,15 @@ def _body(content: str) -> str:
 
 
 def inserted_under(body: str, heading: str, line: str) -> str:
-    """The body with a line under a heading, made at the end if it isn't there; a line that is there stays single."""
-    lines = body.rstrip("\n").split("\n")
-    if line in lines:
-        return body
-    for i, x in enumerate(lines):
-        if x.lstrip("#").strip() == heading and x.startswith("#"):
-            lines.insert(i + 1, line)
-            return "\n".join(lines) + "\n"
-    return "\n".join([*lines, "", f"## {heading}", line]) + "\n"
+    """The body with a line as the first under a heading line, as `## Log`, which is made at the end if it isn't there. A
+    line that already comes first there stays single."""
+    heading, line = heading.strip(), line.rstrip("\n")
+    lines = body.splitlines()
+    at = next((i for i, x in enumerate(lines) if x.strip() == heading), None)
+    if at is None:
+        before = body.rstrip("\n")
+        return (before + "\n\n" if before else "") + f"{heading}\n{line}\n"
+    first = next((x for x in lines[at + 1 :] if x.strip()), None)
+    if first != line:
+        lines.insert(at + 1, line)
+    return "\n".join(lines) + ("\n" if body.endswith("\n") else "")

@@ -60,8 +60,8 @@ def file_stem(title: Column, uid: Column) -> Column:
 
 
 def slug(name: Column, limit: int | None = None) -> Column:
-    """Lower case words joined by hyphens."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9\s-]", ""), r"[\s-]+", "-")
+    """Lower case words without accents, joined by hyphens."""
+    out = F.regexp_replace(F.regexp_replace(fold_column(name), r"[^a-z0-9\s-]", ""), r"[\s-]+", "-")
     out = F.regexp_replace(out, "^-+|-+$", "")
     return out if limit is None else F.regexp_replace(F.substring(out, 1, limit), "-+$", "")
 

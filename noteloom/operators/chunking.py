@@ -66,7 +66,7 @@ def note_chunks(title: str, body: str) -> list[tuple[str | None, str]]:
     """(heading, content) of a note: its sections, long ones split, each under the title."""
     body = re.sub(r"\A---\n.*?\n---\n?", "", body, flags=re.DOTALL)
     found = [(h, f"{title}\n{part}") for h, text in split_sections(body) if text not in TRIVIAL for part in packed(text)]
-    return found or ([(None, body.strip())] if body.strip() else [])
+    return found or ([(None, f"{title}\n{body.strip()}")] if body.strip() else [])
 
 
 def speaker_turns(body: str, strict: bool = False) -> list[tuple[str, str]]:
@@ -80,33 +80,47 @@ def speaker_turns(body: str, strict: bool = False) -> list[tuple[str, str]]:
     return [(a, b) for a, b in found if b]
 
 
-def named_system(turns: list[tuple[str, str]], participants: list[str]) -> list[tuple[str, str]]:
+def participants(title: str) -> list[str]:
+    """Who a title names: what stands between ` / `, ` x `, ` & ` or ` vs `, but `me`."""
+    names = [p.strip() for p in re.split(r"\s+(?:/|x|&|vs)\s+", title, flags=re.IGNORECASE)]
+    return [p for p in names if p and p.lower() != "me"]
+
+
+def named_system(turns: list[tuple[str, str]], others: list[str]) -> list[tuple[str, str]]:
     """`System` becomes the one participant, or `Other` if there are several."""
-    other = participants[0] if len(participants) == 1 else "Other"
-    return [(other if s.lower() == "system" and participants else s, t) for s, t in turns]
+    name = "System" if not others else others[0] if len(others) == 1 else "Other"
+    return [(name if s == "System" else s, t) for s, t in turns]
 
 
 def transcript_windows(turns: list[tuple[str, str]], size: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """Windows of whole turns of about `size` characters; each begins about `overlap` before the last one's end, but
-    always after its start."""
+    """Windows of whole turns, taken until `size` characters are reached; the next begins as many turns back as reach
+    `overlap`, or behind the window where that would be its start."""
     lines = [f"{s}: {t}" for s, t in turns]
     found, start = [], 0
     while start < len(lines):
         end, chars = start, 0
-        while end < len(lines) and (end == start or chars + len(lines[end]) <= size):
+        while end < len(lines) and chars < size:
             chars += len(lines[end]) + 1
             end += 1
         found.append("\n".join(lines[start:end]))
-        if end >= len(lines):
+        if end == len(lines):
             break
         back, shared = end, 0
-        while back > start + 1 and shared + len(lines[back - 1]) <= overlap:
+        while back > start and shared < overlap:
             back -= 1
             shared += len(lines[back]) + 1
-        start = back
+        start = back if back > start else end
     return found
 
 
+def transcript_chunks(title: str, body: str) -> list[tuple[str | None, str]]:
+    """(heading, content) of a transcript: its windows, or the whole text where it has no turns, under the title."""
+    body = re.sub(r"\A---\n.*?\n---\n?", "", body, flags=re.DOTALL)
+    turns = named_system(speaker_turns(body), participants(title))
+    parts = transcript_windows(turns) or ([body.strip()] if body.strip() else [])
+    return [(None, f"{title}\n{part}") for part in parts]
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """Chunks of documents (id, title, doc_type, text): transcripts by windows, others by sections."""
 
@@ -115,8 +129,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             rows = []
             for d in batch.itertuples(index=False):
                 title, body = d.title or "", d.text or ""
-                turns = speaker_turns(body) if d.doc_type == "transcript" else []
-                parts = [(None, w) for w in transcript_windows(turns)] if turns else note_chunks(title, body)
+                parts = (transcript_chunks if d.doc_type == "transcript" else note_chunks)(title, body)
                 rows += [(d.id, i, h, c) for i, (h, c) in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "heading", "content"])
 

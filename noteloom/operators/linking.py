@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from noteloom.functions import text as T
 
 
-def name_mentions(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """(entity_id, document_id, hits): names of up to `width` tokens that a document's text has.
+#: Bits of the hash of a first token by which places in a text are sifted.
+SIFT = 1 << 16
 
-    The text's token n-grams are joined to names on equality, so that names times documents is never formed.
+
+def name_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(entity_id, document_id, hits): names, of any number of tokens, that a document's text has.
+
+    The text's token n-grams, of the lengths that names have, are joined to names on equality, so that names times
+    documents is never formed. Only places whose token begins a name, by a table of SIFT bytes, are made into n-grams.
     docs: (id, text); names: (entity_id, name)."""
-    wanted = names.select("entity_id", T.tokens(F.col("name")).alias("t")).filter((F.size("t") > 0) & (F.size("t") <= width)).select("entity_id", F.array_join("t", " ").alias("gram"), F.size("t").alias("n"))
-    places = docs.select(F.col("id").alias("document_id"), T.tokens(F.col("text")).alias("t"))
-    sizes = F.sequence(F.lit(1), F.lit(width))
-    grams = F.flatten(F.transform(sizes, lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    exploded = places.select("document_id", F.explode(grams).alias("gram"))
-    return exploded.join(wanted.select("entity_id", "gram"), "gram").groupBy("entity_id", "document_id").agg(F.count(F.lit(1)).alias("hits"))
+    wanted = names.select("entity_id", T.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
+    sifted = lambda token: F.pmod(F.xxhash64(token), F.lit(SIFT))
+    told = wanted.select(F.size("t").alias("n"), sifted(F.get("t", F.lit(0))).alias("at"))
+    lengths = sorted(r["n"] for r in told.select("n").distinct().collect())  # lengths of names
+    begins = bytearray(SIFT)
+    for r in told.select("at").distinct().collect():  # SIFT at most
+        begins[r["at"]] = 1
+    if not lengths:
+        return wanted.select("entity_id", F.lit(None).cast(docs.schema["id"].dataType).alias("document_id"), F.lit(0).cast("long").alias("hits")).limit(0)
+    wanted = wanted.select("entity_id", F.array_join("t", " ").alias("gram"))
+    places = docs.select(F.col("id").alias("document_id"), T.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.substring(F.lit(begins), (sifted(F.get("t", i - 1)) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1])))
+    gram = lambda i, n: F.when(i + n - 1 <= F.size("t"), F.array_join(F.slice("t", i, n), " "))
+    grams = F.flatten(F.transform(starts, lambda i: F.array(*[gram(i, F.lit(n)) for n in lengths])))
+    exploded = places.select("document_id", F.explode(grams).alias("gram")).filter("gram is not null")
+    return exploded.join(wanted, "gram").groupBy("entity_id", "document_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def disambiguated(mentions: DataFrame, names: DataFrame) -> DataFrame:
@@ -49,17 +64,21 @@ def link_attendees(attendees: DataFrame, entities: DataFrame) -> DataFrame:
 def match_tasks(tasks: DataFrame, projects: DataFrame, min_keyword_len: int = 4) -> DataFrame:
     """(task_id, project_id, tier): by an explicit project line, else by names in the title.
 
-    A task with an explicit line, known or not, is not matched by title. tasks: (task_id, title, description);
-    projects: (project_id, name). The second tier compares tokens by an equality join; only names that are part of a
-    longer token need containment, against the distinct tokens."""
-    named = projects.select("project_id", F.lower("name").alias("pname"))
+    A task with an explicit line, known or not, is not matched by title. Names are sought in the whole title, whatever
+    its case; names shorter than min_keyword_len only as whole words. Titles are joined to names on the first characters
+    of a name, four at most, so that titles times names is never formed. tasks: (task_id, title, description); projects:
+    (project_id, name), a row for each name, alias or keyword."""
+    lead = 4
+    named = projects.select("project_id", F.lower("name").alias("pname")).filter("pname <> ''").distinct()
     explicit = tasks.withColumn("link", T.project_link(F.col("description")))
     tier1 = explicit.filter("link is not null").join(named, F.col("link") == F.col("pname")).select("task_id", "project_id", F.lit(1).alias("tier"))
-    words = explicit.filter("link is null").select("task_id", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("word"))
-    long = F.broadcast(named.filter(F.length("pname") >= min_keyword_len))  # projects are written by hand
-    inside = words.select("word").distinct().join(long, F.col("word").contains(F.col("pname"))).select("word", "project_id")
-    short = named.filter(F.length("pname") < min_keyword_len).select(F.col("pname").alias("word"), "project_id")
-    tier2 = words.join(inside.unionByName(short), "word").select("task_id", "project_id", F.lit(2).alias("tier")).distinct()
+    titles = explicit.filter("link is null").select("task_id", F.lower(F.coalesce("title", F.lit(""))).alias("title")).filter("title <> ''")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda n: F.substring(F.col("title"), i, n))))
+    cut = titles.select("task_id", "title", F.explode(F.array_distinct(pieces)).alias("key"))
+    keyed = named.withColumn("key", F.substring("pname", 1, lead))
+    quoted = F.concat(F.lit("\\b\\Q"), F.col("pname"), F.lit("\\E\\b"))
+    there = F.when(F.length("pname") < min_keyword_len, F.regexp_like("title", quoted)).otherwise(F.contains("title", F.col("pname")))
+    tier2 = cut.join(keyed, "key").filter(there).select("task_id", "project_id", F.lit(2).alias("tier")).distinct()
     return tier1.unionByName(tier2)
 
 

@@ -148,7 +148,7 @@ def path_and_entity_sets(spark, d):
     return relational.list_documents(docs, path="memory/en/").select("id").intersect(relational.list_documents(docs, tags=["q3"]).select("id"))
 
 
-@query(f"""WITH {DOCS} SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-') AS slug, floor(length(text) / 4)::INT AS n_tokens, substr(content_hash, 1, 16) AS profile_hash FROM docs""")
+@query(f"""WITH {DOCS} SELECT id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-') AS slug, floor(length(text) / 4)::INT AS n_tokens, substr(content_hash, 1, 16) AS profile_hash FROM docs""")
 def slugs_and_hashes(spark, d):
     return b.documents(spark, d).select("id", text.slug(F.col("title")).alias("slug"), text.estimate_tokens(F.col("text")).alias("n_tokens"), text.profile_hash(F.col("text")).alias("profile_hash"))
 
@@ -500,19 +500,19 @@ def search_stemmed(spark, d):
 # ---------------------------------------------------------------- linking
 
 
-_GRAMS = r"""names AS (SELECT item_id AS entity_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4], ' ') AS gram FROM benchmark),
+_GRAMS = r"""names AS (SELECT item_id AS entity_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2 + item_id % 5], ' ') AS gram FROM benchmark),
     t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
-    grams AS (SELECT doc_id, array_to_string(t[i:i + 3], ' ') AS gram FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 3)) AS i FROM t))"""
+    grams AS (SELECT doc_id, array_to_string(t[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, t, n, unnest(generate_series(1, len(t) - n + 1)) AS i FROM t, generate_series(2, 6) AS lengths(n)))"""
 
 
 def _names(spark, d):
     words = text.tokens(F.col("text"))
-    return b.table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.array_join(F.slice(words, 1, 4), " ").alias("name"))
+    return b.table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 5 + 2).cast("int")), " ").alias("name"))
 
 
 def _linked(spark, d):
     docs = b.documents(spark, d).select("id", "text")
-    return linking.name_mentions(docs, _names(spark, d), 4)
+    return linking.name_mentions(docs, _names(spark, d))
 
 
 @query(f"WITH {_GRAMS} SELECT entity_id, doc_id AS document_id, count(*) AS hits FROM grams JOIN names USING (gram) GROUP BY entity_id, doc_id")
@@ -550,16 +550,16 @@ def attendee_links(spark, d):
 
 
 @query("""WITH tasks AS (SELECT p_partkey AS task_id, p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN 'due soon' || chr(10) || 'Project: ' || upper(p_brand) WHEN p_partkey % 7 = 0 THEN 'project: none such' ELSE 'x' END AS description FROM part),
-    projects AS (SELECT row_number() OVER (ORDER BY name) AS project_id, name FROM (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part UNION SELECT 'idge')),
+    projects AS (SELECT row_number() OVER (ORDER BY name) AS project_id, name FROM (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] FROM part WHERE p_partkey % 9 = 0 UNION SELECT 'idge' UNION SELECT 'red')),
     x AS (SELECT *, nullif(lower(trim(regexp_extract(description, '(?im)^project:[ ]*(.+)$', 1))), '') AS link FROM tasks)
     SELECT task_id, name, 1::INT AS tier FROM x JOIN projects ON link = name
-    UNION SELECT task_id, name, 2::INT FROM x JOIN projects ON link IS NULL AND length(name) >= 4 AND len(list_filter(string_split(title, ' '), lambda w: contains(w, name))) > 0
-    UNION SELECT task_id, name, 2::INT FROM x JOIN projects ON link IS NULL AND length(name) < 4 AND list_contains(string_split(title, ' '), name)""")
+    UNION SELECT task_id, name, 2::INT FROM x JOIN projects ON link IS NULL AND length(name) >= 4 AND contains(lower(title), name)
+    UNION SELECT task_id, name, 2::INT FROM x JOIN projects ON link IS NULL AND length(name) < 4 AND regexp_matches(lower(title), '\\b' || name || '\\b')""")
 def task_matching(spark, d):
     p = b.table(spark, d, "part")
     body = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("due soon\nProject: "), F.upper("p_brand"))).when(F.col("p_partkey") % 7 == 0, F.lit("project: none such")).otherwise(F.lit("x"))
     tasks = p.select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("title"), body.alias("description"))
-    names = p.select(F.lower("p_brand").alias("name")).union(p.select(F.get(F.split("p_name", " "), F.lit(0)))).union(spark.createDataFrame([("idge",)], "name string")).distinct()
+    names = p.select(F.lower("p_brand").alias("name")).union(p.select(F.get(F.split("p_name", " "), F.lit(0)))).union(p.filter("p_partkey % 9 = 0").select(F.concat_ws(" ", F.slice(F.split("p_name", " "), 1, 2)))).union(spark.createDataFrame([("idge",), ("red",)], "name string")).distinct()
     projects = names.select(F.col("name").alias("project_id"), "name")
     return linking.match_tasks(tasks, projects).select("task_id", F.col("project_id").alias("name"), "tier")
 

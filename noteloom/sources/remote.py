@@ -1,10 +1,11 @@
-"""Remote notes: adapters from payloads to documents, and a paged reader as a Python data source.
+"""Remote notes: adapters from payloads to documents, and a paged reader.
 
 No network is used here; a client is any callable that gives a page for a cursor."""
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -14,16 +15,23 @@ SEGMENT = "struct<speaker:string,source:string,text:string,start_timestamp:strin
 
 
 def pages(fetch: Callable[[str | None], dict], since: str | None = None) -> Iterator[dict]:
-    """Notes from a cursor-paged client, until no more or the cursor stands still; older ones than `since` are left out."""
+    """Notes of a cursor-paged client, those updated at `since` or later. A page that doesn't say whether there are more,
+    or a cursor that stands still, raises, as what was read would pass for the whole; more without a cursor ends it with a
+    warning."""
     cursor = None
     while True:
         page = fetch(cursor)
-        for note in page.get("notes", []):
-            if since is None or (note.get("updated_at") or "") > since:
-                yield note
+        yield from (n for n in page.get("notes", []) if since is None or (n.get("updated_at") or "") >= since)
+        if "hasMore" not in page:
+            raise ValueError(f"a page without hasMore: {sorted(page)}")
         following = page.get("cursor")
-        if not page.get("hasMore") or following in (None, cursor):
+        if not page["hasMore"]:
             return
+        if not following:
+            warnings.warn("more notes were announced without a cursor; reading ends here", stacklevel=2)
+            return
+        if following == cursor:
+            raise ValueError(f"the cursor stands still at {cursor!r}")
         cursor = following
 
 

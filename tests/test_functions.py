@@ -59,7 +59,7 @@ def test_text_columns(spark):
     df = spark.createDataFrame([("See [[Atlas|the plan]] and **bold** [x](http://y). Then more text follows here.", "a.b-c@x.org", "Ünusual  Title!")], "t string, e string, n string")
     row = df.select(text.strip_markdown(F.col("t")).alias("plain"), text.name_from_email(F.col("e")).alias("name"), text.slug(F.col("n")).alias("slug"), text.first_sentence(F.col("t"), F.col("n")).alias("abstract")).first()
     assert row["plain"] == "See the plan and bold x. Then more text follows here."
-    assert row["name"] == "A B C" and row["slug"] == "nusual-title" and row["abstract"] == "See the plan and bold x."
+    assert row["name"] == "A B C" and row["slug"] == "unusual-title" and row["abstract"] == "See the plan and bold x."
     fields = spark.createDataFrame([("# T\n**Role:** Lead\n**Team:** A\n**Role:** B",)], "t string").select(text.fields(F.col("t")).alias("m")).first()["m"]
     assert fields == {"role": "Lead", "team": "A"}
 
@@ -69,8 +69,13 @@ def test_chunkers():
     turns = chunking.speaker_turns("**Me:** hello\nagain\n**System**: hi")
     assert turns == [("Me", "hello again"), ("System", "hi")]
     assert chunking.named_system(turns, ["Ann"])[1][0] == "Ann"
-    windows = chunking.transcript_windows([("a", "x" * 90)] * 100, 1000, 200)
-    assert all(len(w) <= 1100 for w in windows) and sum(w.count("a: ") for w in windows) >= 100
+    windows = chunking.transcript_windows([(str(i % 10), "x" * 90) for i in range(100)], 1000, 200)
+    assert [w.count("\n") + 1 for w in windows[:-1]] == [11] * (len(windows) - 1)  # 94 characters a turn: the eleventh reaches 1000
+    assert [w[0] for w in windows[:4]] == ["0", "8", "6", "4"]  # three turns reach 200
+    assert chunking.transcript_windows([("a", "y" * 5000), ("b", "z")]) == ["a: " + "y" * 5000, "b: z"]
+    assert chunking.transcript_chunks("Me / Ann", "**Me:** hi\n**System:** yes") == [(None, "Me / Ann\nMe: hi\nAnn: yes")]
+    assert chunking.transcript_chunks("A x B", "**System:** yes")[0][1].endswith("Other: yes") and chunking.transcript_chunks("T", "plain") == [(None, "T\nplain")]
+    assert chunking.note_chunks("T", "## A\n---\n") == [(None, "T\n## A\n---")]
 
 
 def test_fts_matches_sqlite(spark):

@@ -82,7 +82,7 @@ def test_notes_and_correction(kb):
     assert [r["path"] for r in kb.list_notes(tag="A").collect()] == [name]
     assert [h["path"] for h in kb.correct_term("Helx", "Helix$1", apply=True)] == [name]
     assert "Helix$1 thing" in kb.read_memory_file(name)
-    kb.edit_note(name, append="more", insert_under=("Log", "- x"))
+    kb.edit_note(name, append="more", insert_under=("## Log", "- x"))
     assert kb.read_memory_file(name).endswith("## Log\n- x\n")
     kb.delete_note(name)
     assert kb.list_notes(tag="a").count() == 0
@@ -95,5 +95,19 @@ def test_file_guard(kb):
 
 
 def test_inserted_under():
-    once = inserted_under("# T\n\n## Log\n- a\n", "Log", "- b")
-    assert once == "# T\n\n## Log\n- b\n- a\n" and inserted_under(once, "Log", "- b") == once
+    once = inserted_under("# T\n\n## Log\n- a\n", "## Log", "- b")
+    assert once == "# T\n\n## Log\n- b\n- a\n" and inserted_under(once, "## Log", "- b") == once
+    assert inserted_under(once, "## Log", "- a") == "# T\n\n## Log\n- a\n- b\n- a\n"  # only the first line counts
+    assert inserted_under("x", "## New", "- a") == "x\n\n## New\n- a\n" and inserted_under("", "## New", "- a") == "## New\n- a\n"
+
+
+def test_facts_outlive_a_build(kb):
+    seq = kb.add_fact("Linnea Holm", "Plays chess", "2026-02-03")
+    kb.add_fact("Linnea Holm", "Reads maps", "2026-02-04")
+    kb.edit_fact("Linnea Holm", seq, fact="Plays go")
+    before = {r["fact_text"]: r["seq"] for r in kb.get_entity("Linnea Holm")["facts"]}
+    kb.index(full=True)
+    assert {r["fact_text"]: r["seq"] for r in kb.get_entity("Linnea Holm")["facts"]} == before and before["Plays go"] == seq
+    kb.delete_fact("Linnea Holm", seq)
+    kb.index(full=True)
+    assert "Plays go" not in {r["fact_text"] for r in kb.get_entity("Linnea Holm")["facts"]} and "[2026-02-04] Reads maps" in kb.read_memory_file("people/linnea-holm.md")

@@ -6,3 +6,18 @@ def test_correction_scan_returns_every_line(spark):
     files = spark.createDataFrame([("a", "\n".join([*lines, "other"])), ("b", "none")], "path string, text string")
     rows = linking.correction_scan(files, "term").collect()
     assert [(r["path"], r["hits"], r["lines"]) for r in rows] == [("a", 7, lines)]
+
+
+def test_names_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "The Grand Unified Theory of Small Things, by ann lee. Ann Lee!"), (2, "grand unified"), (3, None)], "id long, text string")
+    names = spark.createDataFrame([(10, "Grand Unified Theory of Small Things"), (11, "Ann Lee"), (12, "Unified"), (13, "...")], "entity_id long, name string")
+    got = {(r["entity_id"], r["document_id"]): r["hits"] for r in linking.name_mentions(docs, names).collect()}
+    assert got == {(10, 1): 1, (11, 1): 2, (12, 1): 1, (12, 2): 1}
+    assert linking.name_mentions(docs, names.limit(0)).count() == 0
+
+
+def test_tasks_by_names_of_several_words(spark):
+    projects = spark.createDataFrame([(1, "Atlas Pipeline"), (2, "AI"), (3, "rail"), (4, "c++")], "project_id long, name string")
+    tasks = spark.createDataFrame([(1, "Fix the atlas pipeline", None), (2, "Railway map", None), (3, "Use AI, now", ""), (4, "Fix atlas pipeline", "Project: AI"), (5, "x", "Project: none"), (6, None, None)], "task_id long, title string, description string")
+    got = {(r["task_id"], r["project_id"], r["tier"]) for r in linking.match_tasks(tasks, projects).collect()}
+    assert got == {(1, 1, 2), (2, 3, 2), (3, 2, 2), (4, 2, 1)}

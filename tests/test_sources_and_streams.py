@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from noteloom.sources import markdown, remote
@@ -19,14 +20,19 @@ def test_glossary(spark):
     assert markdown.glossary_chunks(rows).first()["content"] == "API: interface. x"
 
 
-def test_pages_stop():
-    calls = []
+def test_pages():
+    def client(*pages):
+        left = list(pages)
+        return lambda cursor: left.pop(0)
 
-    def fetch(cursor):
-        calls.append(cursor)
-        return {"notes": [{"id": len(calls), "updated_at": f"2026-01-0{len(calls)}"}], "hasMore": True, "cursor": "same"}
-
-    assert [n["id"] for n in remote.pages(fetch, "2026-01-01")] == [2] and calls == [None, "same"]
+    note = lambda k: {"id": k, "updated_at": f"2026-03-0{k}"}
+    two = ({"notes": [note(1), note(2)], "hasMore": True, "cursor": "p2"}, {"notes": [note(3)], "hasMore": False})
+    assert [n["id"] for n in remote.pages(client(*two), "2026-03-02")] == [2, 3]
+    for bad in ([{"notes": [note(1)]}], [two[0], two[0]]):
+        with pytest.raises(ValueError):
+            list(remote.pages(client(*bad)))
+    with pytest.warns(UserWarning):
+        assert len(list(remote.pages(client({"notes": [note(1)], "hasMore": True, "cursor": None})))) == 1
 
 
 def test_transcript_and_attendees(spark):
