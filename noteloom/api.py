@@ -68,9 +68,19 @@ class KnowledgeBase:
         self.store.write("entities", seeds.join(pins, "id", "left").join(last.withColumnRenamed("entity_id", "id"), "id", "left"))
         self.store.write("mentions", found)
         self.store.write("chunks", chunks)
+        self._write_search_index()
         self.store.write("documents", docs.join(parts.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left"))
         return {"new": diff.get("new", 0), "changed": diff.get("changed", 0), "indexed": sum(diff.values())}
 
+    def _write_search_index(self) -> None:
+        """Postings in order of their terms, of words and of stems, lengths, and vectors, all of the stored chunks; a search
+        reads its terms' parts and embeds nothing but the query."""
+        chunks = self.store.read("chunks")
+        self.store.write("postings", fts.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+        self.store.write("stemmed", fts.stemmed(self.store.read("postings")).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+        self.store.write("lengths", fts.lengths(chunks).join(chunks.select("chunk_id", "document_id"), "chunk_id"))
+        self.store.write("vectors", chunks.select("chunk_id", "document_id", self.embed(F.col("content")).alias("embedding")))
+
     def stale_files(self) -> list[str]:
         docs = markdown.memory_documents(markdown.files(self.spark, str(self.root / "memory")))
         return sorted(r["path"] for r in incremental.stale_files(docs, self.store.read("documents")).collect())
@@ -287,7 +297,10 @@ class KnowledgeBase:
         doc = self.store.read("documents").filter(F.col("path") == path).first()
         self._file(path).unlink()
         if doc is not None:
-            for name, key in (("documents", "id"), ("chunks", "document_id"), ("mentions", "document_id"), ("attendees", "document_id")):
+            gone = self.store.read("lengths").filter(F.col("document_id") == doc["id"]).select("chunk_id")  # one document's
+            for name in ("postings", "stemmed"):
+                self.store.write(name, self.store.read(name).join(F.broadcast(gone), "chunk_id", "left_anti").repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+            for name, key in (("documents", "id"), ("chunks", "document_id"), ("lengths", "document_id"), ("vectors", "document_id"), ("mentions", "document_id"), ("attendees", "document_id")):
                 self.store.write(name, self.store.read(name).filter(F.col(key) != doc["id"]))
 
     # ------------------------------------------------------------ glossary, correction
@@ -339,20 +352,24 @@ class KnowledgeBase:
         query, first, last = dates.date_filters(query, self.as_of)
         from_date, to_date = from_date or first, to_date or last
         docs, chunks = self.store.read("documents"), self.store.read("chunks")
-        if path is not None:
-            chunks = chunks.join(relational.list_documents(docs, path=path).select(F.col("id").alias("document_id")), "document_id", "left_semi")
         words = set(re.findall(r"[^\W_]+", query.lower()))
-        extra = [r["expansion"] for r in self.store.read("glossary").collect() if r["term"].lower() in words]
-        index = fts.postings(chunks)
+        extra = [r["expansion"] for r in self.store.read("glossary").filter(F.lower("term").isin(sorted(words))).collect()]  # of the query's words
+        wanted = query
         if stem:
             from noteloom.functions.stem import stem as porter
 
-            index, query = fts.stemmed(index), " ".join(porter(w) for w in fts.clean_query(query).lower().split())
-        hits = fts.search(index, fts.lengths(chunks), query, 5 * limit, extra)
+            wanted = " ".join(porter(w) for w in fts.clean_query(query).lower().split())
+        index = self.store.read("stemmed" if stem else "postings").filter(F.col("term").isin(fts.query_terms(wanted, extra)))
+        sizes, known = self.store.read("lengths"), self.store.read("vectors")
+        if path is not None:
+            within = relational.list_documents(docs, path=path).select(F.col("id").alias("document_id"))
+            sizes, known = sizes.join(within, "document_id", "left_semi"), known.join(within, "document_id", "left_semi")
+            index = index.join(sizes.select("chunk_id"), "chunk_id", "left_semi")
+        hits = fts.search(index, sizes.select("chunk_id", "dl"), wanted, 5 * limit, extra)
         near = None
         if not fast and not ranking.strong_signal(hits).first()["strong"]:
-            q = self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"]
-            near = vectors.top_k(chunks.withColumn("embedding", self.embed(F.col("content"))), list(q), 5 * limit, "chunk_id").select("chunk_id", "score")
+            q = self.spark.range(1).select(self.embed(F.lit(wanted)).alias("q")).first()["q"]
+            near = vectors.top_k(known, list(q), 5 * limit, "chunk_id").select("chunk_id", "score")
         fused = ranking.hybrid(hits.select("chunk_id", "score"), near, fts_weight, vector_weight)
         meta = docs.select(F.col("id").alias("document_id"), "path", "title", "doc_type", "doc_date", "tags", "abstract")
         rows = fused.join(chunks.select("chunk_id", "document_id", "chunk_index", "heading", "content"), "chunk_id").join(meta, "document_id")
@@ -371,13 +388,13 @@ class KnowledgeBase:
         return top.orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id") if sort_by == "date" else top
 
     def memory_similar(self, query: str, threshold: float = 0.85, limit: int = 5, path: str | None = None) -> DataFrame:
-        chunks = self.store.read("chunks")
+        known = self.store.read("vectors")
         if path:
             ids = relational.find_document(self.store.read("documents"), path).select(F.col("id").alias("document_id"))
-            chunks = chunks.join(ids, "document_id", "left_semi")
+            known = known.join(ids, "document_id", "left_semi")
         q = self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"]
-        found = vectors.top_k(chunks.withColumn("embedding", self.embed(F.col("content"))), list(q), limit, "chunk_id", threshold)
-        return found.select("chunk_id", "document_id", "content", "score")
+        found = vectors.top_k(known, list(q), limit, "chunk_id", threshold).select("chunk_id", "score")
+        return found.join(self.store.read("chunks").select("chunk_id", "document_id", "content"), "chunk_id").select("chunk_id", "document_id", "content", "score").orderBy(F.desc("score"), "chunk_id")
 
     def context(self, topic: str | None = None, human: bool = False, mention_threshold: int = 1) -> str:
         blocks = ctx.build(self.store.read("entities"), self.store.read("mentions"), self.store.read("documents"), self.store.read("glossary"), str(self.as_of), topic, mention_threshold)

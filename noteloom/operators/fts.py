@@ -20,14 +20,24 @@ NEAR_GAP = 10
 
 def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading); of some terms only, if given,
-    for a query on text that has no stored index."""
+    for a query on text that has no stored index: these are sought in each text's tokens, and nothing is shuffled."""
     columns = F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in WEIGHTS])
-    places = chunks.select("chunk_id", F.explode(columns).alias("c")).select("chunk_id", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
+    texts = chunks.select("chunk_id", F.explode(columns).alias("c"))
     if terms is not None:
-        places = places.filter(F.col("term").isin(terms))
+        wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+        hits = F.filter(F.transform("c.tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda h: h["term"].isin(*terms))
+        found = texts.select("chunk_id", "c.col", hits.alias("hits")).filter(F.size("hits") > 0).withColumn("term", F.explode(wanted))
+        found = found.withColumn("positions", F.transform(F.filter("hits", lambda h: h["term"] == F.col("term")), lambda h: h["at"]))
+        return found.filter(F.size("positions") > 0).select("term", "chunk_id", "col", F.size("positions").alias("tf"), "positions")
+    places = texts.select("chunk_id", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
     return places.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def query_terms(query: str, expansions: list[str] = ()) -> list[str]:
+    """All tokens that the variants of a query look up."""
+    return sorted({w for _, leaves in variants(query, list(expansions)) for words in leaves.values() for w in words})
+
+
 def stemmed(index: DataFrame) -> DataFrame:
     """The index on stems and folded letters; each distinct term is stemmed once."""
     from noteloom.functions.stem import stem

@@ -111,3 +111,10 @@ def test_facts_outlive_a_build(kb):
     kb.delete_fact("Linnea Holm", seq)
     kb.index(full=True)
     assert "Plays go" not in {r["fact_text"] for r in kb.get_entity("Linnea Holm")["facts"]} and "[2026-02-04] Reads maps" in kb.read_memory_file("people/linnea-holm.md")
+
+
+def test_a_search_reads_the_terms_of_its_query(kb):
+    found = kb.search("token rotation", limit=3, fast=True)
+    plan = found._jdf.queryExecution().toString()
+    assert "stemmed" in plan and "postings" not in plan and "chunk_id" in plan and "In(term, [" in plan.replace("PushedFilters: [", "") and found.first()["path"] == "notes/mfa.md"
+    assert [r["path"] for r in kb.search("rotation", limit=3, fast=True, stem=False, path="notes/*").collect()] == ["notes/mfa.md"]
