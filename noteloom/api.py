@@ -10,14 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions import dates, text
-from noteloom.operators import chunking, fts, incremental, linking, ranking, relational, vectors
+from noteloom.functions import dates, snippets, text
+from noteloom.operators import chunking, fts, incremental, linking, mentions, ranking, relational, vectors, wikilinks
 from noteloom.plans import context as ctx
 from noteloom.plans.store import Store
 from noteloom.session import ready
 from noteloom.sources import markdown
 
 
+# Fields of profiles in the order of files, and those that refer to other entities.
+PROFILE_FIELDS = {"person": ("email", "role", "team", "reports_to", "company", "pcm_base", "pcm_phase"), "project": ("status", "started", "lead")}
+REFERENCES = ("team", "reports_to", "lead", "company")
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, project_root: str, data_dir: str | None = None, as_of: dt.date | None = None, embed=None, dim: int = 64):
         self.spark = ready(spark)
@@ -49,29 +54,75 @@ class KnowledgeBase:
         parts = chunking.chunked(docs)
         summary = chunking.summaries(docs).withColumn("chunk_index", F.lit(1_000_000))
         chunks = parts.unionByName(summary).withColumn("chunk_id", F.xxhash64("document_id", "chunk_index").bitwiseAND(F.lit((1 << 62) - 1)))
-        people = markdown.profiles(docs.filter(F.col("doc_type").isin("memory_person", "memory_project")))
-        seeds = people.join(docs.select("path", "doc_type"), "path").select(
-            F.xxhash64("name", "doc_type").bitwiseAND(F.lit((1 << 62) - 1)).alias("id"), "name", F.regexp_replace("doc_type", "memory_", "").alias("entity_type"), "aliases", "metadata", F.col("path").alias("source_path"))
-        seeds = seeds.dropDuplicates(["id"])
-        names = seeds.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("name"), F.filter("aliases", lambda a: F.length(a) > 3))).alias("name"))
-        found = linking.name_mentions(docs.select("id", "text"), names).select("entity_id", "document_id", F.lit("content").alias("mention_type"))
+        if "attendees" not in docs.columns:
+            docs = docs.withColumn("attendees", F.lit(None).cast("array<struct<name:string,email:string,company:string>>"))
+        self._write_entities(docs, tree)
+        seeds = self.store.read("entities")
         hidden = self.store.read("suppressions").join(docs.select("path", F.col("id").alias("document_id")), "path").join(seeds.select(F.lower("name").alias("entity"), F.col("id").alias("entity_id")), "entity")
         manual = self.store.read("mentions").filter("mention_type = 'manual'").select("entity_id", "document_id", "mention_type")
-        manual = manual.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*found.columns)
-        found = linking.without_suppressed(found, hidden.select("document_id", "entity_id")).unionByName(manual).distinct()
-        last = relational.last_mentioned(found, docs)
-        pins = self.store.read("entities").select("id", "pinned")
+        manual = manual.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("entity_id", "document_id", "mention_type")
+        sought = docs.select("id", "title", "tags", "text", F.transform("attendees", lambda p: p["name"]).alias("attendees"))
+        found = mentions.find(sought, seeds, hidden.select("document_id", "entity_id"))
+        came = self.store.read("attendees").filter("entity_id is not null").select("entity_id", "document_id", F.lit("attendee").alias("mention_type")).distinct()
+        came = linking.without_suppressed(came, hidden.select("document_id", "entity_id")).select(*found.columns)
+        self.store.write("mentions", found.unionByName(came).unionByName(manual).distinct())
+        last = relational.last_mentioned(self.store.read("mentions"), docs).withColumnRenamed("entity_id", "id")
+        self.store.write("entities", seeds.drop("last_mentioned_at").join(last, "id", "left"))
+        self._write_profiles()
         facts = markdown.dated_facts(docs).join(seeds.select(F.col("source_path").alias("path"), F.col("id").alias("entity_id")), "path")
         facts = self._numbered(facts.withColumn("id", _fact_key()), seeds)
         self.store.write("glossary", markdown.glossary_terms(tree.filter("path = 'glossary.md'")))
         self.store.write("facts", facts)
-        self.store.write("entities", seeds.join(pins, "id", "left").join(last.withColumnRenamed("entity_id", "id"), "id", "left"))
-        self.store.write("mentions", found)
         self.store.write("chunks", chunks)
         self._write_search_index()
         self.store.write("documents", docs.join(parts.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left"))
         return {"new": diff.get("new", 0), "changed": diff.get("changed", 0), "indexed": sum(diff.values())}
 
+    def _write_entities(self, docs: DataFrame, tree: DataFrame) -> None:
+        """Entities of profiles, of the list of teams, of the alias tables in the project's own files, and attendees that are
+        none of these; and who attended what."""
+        key = F.xxhash64("name", F.concat(F.lit("memory_"), "entity_type")).bitwiseAND(F.lit((1 << 62) - 1))
+        own = markdown.profiles(docs.filter(F.col("doc_type").isin("memory_person", "memory_project")))
+        own = own.join(docs.select("path", "doc_type"), "path").withColumn("entity_type", F.regexp_replace("doc_type", "memory_", "")).drop("doc_type")
+        if any(self.root.glob("*.md")):
+            table = markdown.alias_table(markdown.files(self.spark, str(self.root), below=False))
+            people = markdown.with_alias_table(own.filter("entity_type = 'person'"), table).withColumn("entity_type", F.lit("person"))
+            own = people.unionByName(own.filter("entity_type <> 'person'"))
+        groups = markdown.teams(tree).withColumn("entity_type", F.lit("team"))
+        pins = self.store.read("entities").select("id", F.col("pinned").alias("_pin"), F.col("updated_at").alias("updated_at"))
+        seeds = own.unionByName(groups, allowMissingColumns=True).withColumn("id", key).dropDuplicates(["id"]).join(pins, "id", "left")
+        seeds = seeds.withColumns({"pinned": F.coalesce("_pin", "pinned", F.lit(False)), "source_path": F.col("path")})
+        self.store.write("entities", seeds)
+        seeds = self.store.read("entities")
+        present = docs.select(F.col("id").alias("document_id"), F.explode("attendees").alias("p")).select("document_id", "p.name", "p.email").filter("name is not null or email is not null").distinct()
+        matched = linking.link_attendees(present, seeds.withColumn("email", F.element_at("metadata", F.lit("email"))))
+        unknown = matched.filter("matched_by = 'created' and name is not null and trim(name) <> ''").groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"), F.min("email").alias("email"))
+        first = F.when(F.col("name").contains(" "), F.get(F.split("name", r"\s+"), F.lit(0)))
+        told = F.when(F.col("email").isNotNull(), F.create_map(F.lit("email"), F.col("email"))).otherwise(F.create_map().cast("map<string,string>"))
+        new = unknown.select("low", "name", F.array_compact(F.array(first)).alias("aliases"), told.alias("metadata"), F.lit("person").alias("entity_type")).withColumn("id", key).join(pins, "id", "left")
+        ids = new.select(F.lower("name").alias("low"), F.col("id").alias("new_id"))
+        attended = matched.withColumn("low", F.lower("name")).join(ids, "low", "left").withColumn("entity_id", F.coalesce("entity_id", "new_id"))
+        self.store.write("attendees", attended)
+        self.store.write("entities", seeds.unionByName(new.withColumn("pinned", F.coalesce("_pin", F.lit(False))).drop("low", "_pin"), allowMissingColumns=True))
+
+    def _write_profiles(self) -> None:
+        """A text and a vector for each entity: its name, type, aliases, metadata and five newest facts."""
+        texts = relational.profile_texts(self.store.read("entities"), self.store.read("facts"))
+        self.store.write("profiles", texts.withColumn("embedding", self.embed(F.col("profile"))))
+
+    def search_entities(self, query: str, limit: int = 5, entity_type: str | None = None, threshold: float = 0.0) -> DataFrame:
+        """(id, name, entity_type, score, profile): entities whose profiles are most like a text."""
+        known = self.store.read("profiles")
+        if entity_type:
+            known = known.filter(F.col("entity_type") == entity_type)
+        q = self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"]
+        near = vectors.top_k(known, list(q), limit, "id")
+        return near.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).filter(F.col("score") >= threshold).select("id", "name", "entity_type", "score", "profile")
+
+    def suggest_entities(self, name: str, limit: int = 3) -> list[str]:
+        """Names and aliases most like a name that wasn't found."""
+        return [r["name"] for r in snippets.suggested(self.store.read("entities").select("name"), name, limit).collect()]
+
     def _write_search_index(self) -> None:
         """Postings in order of their terms, of words and of stems, lengths, and vectors, all of the stored chunks; a search
         reads its terms' parts and embeds nothing but the query."""
@@ -191,6 +242,71 @@ class KnowledgeBase:
         if old is not None:
             self._rewrite_fact(key, f"- [{old['fact_date']}] {old['fact_text']}", None)
 
+    # ------------------------------------------------------------ entities in files
+
+    def create_entity(self, name: str, kind: str = "person", aliases: list[str] = (), metadata: dict | None = None, pinned: bool = False, body: str = "") -> str:
+        """Writes a profile of a person or a project and indexes it; a name that is taken raises."""
+        folder = {"person": "people", "project": "projects"}[kind]
+        slug = re.sub(r"-+", "-", re.sub(r"[^a-z0-9]+", "-", text.fold(name))).strip("-")
+        path = f"{folder}/{slug}.md"
+        if not slug or self._file(path).exists():
+            raise ValueError(f"there is a file for {name!r} already" if slug else f"no file name in {name!r}")
+        self.write_memory_file(path, wikilinks.yaml_head(name, self._head(kind, list(aliases), metadata or {}, pinned)) + body)
+        self.index()
+        return path
+
+    @staticmethod
+    def _head(kind: str, aliases: list[str], metadata: dict, pinned: bool) -> dict:
+        """Fields of a profile in the order of files; references to other entities are links."""
+        order = PROFILE_FIELDS[kind]
+        shown = lambda k: f"[[{metadata[k]}]]" if k in REFERENCES and "[[" not in str(metadata[k]) else metadata[k]
+        given = {k: shown(k) for k in order if metadata.get(k)}
+        return {"aliases": aliases} | given | {"pinned": pinned} | {k: v for k, v in metadata.items() if k not in order}
+
+    def edit_entity(self, name: str, metadata: dict | None = None, aliases: list[str] | None = None, pinned: bool | None = None) -> None:
+        """Rewrites the head of an entity's file; what stands from the first `##` on stays. Values of None go."""
+        key = self._entity_id(name)
+        path = self._profile(key)
+        if path is None:
+            raise ValueError(f"{name!r} has no file")
+        row = self.store.read("entities").filter(F.col("id") == key).select("*", snippets.own_aliases(F.col("name"), F.col("aliases")).alias("own")).first()
+        old = self.read_memory_file(path)
+        raw = markdown.frontmatter(old)
+        # a value in the file is kept as it is there, lists and links too
+        fields = {k: raw.get(k, v) for k, v in (row["metadata"] or {}).items()} | (metadata or {})
+        head = self._head(row["entity_type"], row["own"] if aliases is None else aliases, {k: v for k, v in fields.items() if v is not None}, bool(row["pinned"]) if pinned is None else pinned)
+        rest = _body(old) if raw else old
+        rest = re.sub(r"\A\s*#[ \t]+[^\n]*\n*", "", rest)
+        if not raw:
+            rest = re.sub(r"(?m)\A(?:\s*\*\*[^*:\n]+:\*\*[^\n]*\n?)+", "", rest).lstrip("\n")
+        self.write_memory_file(path, wikilinks.yaml_head(row["name"], head) + rest)
+        if pinned is not None:
+            self.store.write("entities", self.store.read("entities").withColumn("pinned", F.when(F.col("id") == key, F.lit(pinned)).otherwise(F.col("pinned"))))
+        self.index()
+
+    def delete_entity(self, name: str) -> None:
+        """Removes an entity with its file, mentions and facts."""
+        key = self._entity_id(name)
+        path = self._profile(key)
+        if path is not None:
+            self._file(path).unlink()
+        for table, column in (("mentions", "entity_id"), ("facts", "entity_id"), ("attendees", "entity_id"), ("profiles", "id"), ("entities", "id")):
+            self.store.write(table, self.store.read(table).filter(F.coalesce(F.col(column) != key, F.lit(True))))
+        if path is not None:
+            self.index()
+
+    def add_wikilinks(self, apply: bool = False) -> list[str]:
+        """Files in which names of entities would be, or with `apply` are, linked."""
+        tree = markdown.files(self.spark, str(self.root / "memory"))
+        new = wikilinks.with_wikilinks(tree, self.store.read("entities")).select("path", F.col("text").alias("new"))
+        changed = new.join(tree, "path").filter("new <> text").select("path", "new").orderBy("path")
+        paths = []
+        for row in changed.toLocalIterator():  # files are on the driver's side
+            paths.append(row["path"])
+            if apply:
+                self.write_memory_file(row["path"], row["new"])
+        return paths
+
     def list_facts(self, since: str | None = None, entity: str | None = None) -> DataFrame:
         first = str(dates.since(since, self.as_of)) if since else None
         return relational.facts_with_entities(self.store.read("facts"), self.store.read("entities"), first, self._entity_id(entity) if entity else None)
@@ -211,7 +327,8 @@ class KnowledgeBase:
 
     def match_tasks_to_projects(self, tasks: DataFrame, min_keyword_len: int = 4) -> DataFrame:
         projects = self.store.read("entities").filter("entity_type = 'project'")
-        names = projects.select(F.col("id").alias("project_id"), F.explode(F.concat(F.array("name"), "aliases")).alias("name"))
+        asked = F.udf(snippets.keywords, "array<string>")(F.element_at("metadata", F.lit("task_keywords")))  # projects only
+        names = projects.select(F.col("id").alias("project_id"), F.explode(F.concat(F.array("name"), "aliases", asked)).alias("name"))
         return linking.match_tasks(tasks, names, min_keyword_len).distinct()
 
     # ------------------------------------------------------------ documents, notes, files
@@ -334,6 +451,10 @@ class KnowledgeBase:
                 for path, content in before.items():
                     self.write_memory_file(path, content)
                 raise
+            total = sum(f["hits"] for f in found)
+            line = f"[{dt.datetime.now(dt.timezone.utc).isoformat()}] '{term}' → '{replacement}' | {len(after)} files, {total} replacements | paths: {', '.join(sorted(after))}\n"
+            with open(self.root / "corrections.log", "a", encoding="utf-8") as log:
+                log.write(line)
             self.index()
         return found
 
@@ -385,8 +506,26 @@ class KnowledgeBase:
             rows = ranking.with_hotness(rows, seen, str(self.as_of))
         rows = rows.withColumn("score", F.round("score", 4))
         top = ranking.best_per_document(rows, limit) if dedupe else rows.orderBy(F.desc("score"), "chunk_id").limit(limit)
+        top = top.withColumn("snippet", snippets.snippet(F.col("content"), fts.clean_query(query).split()))
         return top.orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id") if sort_by == "date" else top
 
+    def diagnose(self, query: str, fast: bool = False, filtered: bool = False) -> dict:
+        """Why a search has no results: documents of each word, whatever the filters, the three nearest chunks' documents
+        (not for fast searches), and what to try."""
+        terms = fts.clean_query(query).split()
+        keys = [t.lower() for t in terms]
+        index = self.store.read("postings").filter(F.col("term").isin(keys))
+        counts = {r["term"]: r["n_docs"] for r in fts.document_frequency(index, self.store.read("chunks"), sorted(set(keys))).collect()} if keys else {}
+        hits = [{"term": t, "doc_count": counts[t.lower()]} for t in terms]
+        near = []
+        if not fast:
+            q = self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"]
+            closest = vectors.top_k(self.store.read("vectors"), list(q), 3, "chunk_id").select("document_id", "score", "chunk_id")
+            docs = self.store.read("documents").select(F.col("id").alias("document_id"), "title", "path")
+            rows = closest.join(docs, "document_id").orderBy(F.desc("score"), "chunk_id").collect()
+            near = [{"title": r["title"], "path": r["path"], "similarity": round(r["score"], 3)} for r in rows]
+        return {"term_hits": hits, "near_misses": near, "suggestions": _advice(query, hits, near, fast, filtered)}
+
     def memory_similar(self, query: str, threshold: float = 0.85, limit: int = 5, path: str | None = None) -> DataFrame:
         known = self.store.read("vectors")
         if path:
@@ -401,6 +540,25 @@ class KnowledgeBase:
         return ctx.rendered(blocks, human)
 
 
+def _advice(query: str, hits: list[dict], near: list[dict], fast: bool, filtered: bool) -> list[str]:
+    """What to try after a search without results."""
+    known, unknown = [h["term"] for h in hits if h["doc_count"]], [h["term"] for h in hits if not h["doc_count"]]
+    found = []
+    if known and filtered:
+        found.append(f"{' '.join(known)!r} is in indexed documents: loosen the filters")
+    if len(known) > 1:
+        found.append("try fewer words, or give vectors more weight")
+    if unknown and known:
+        found.append(f"leave out {', '.join(unknown)}")
+    elif unknown:
+        found.append(f"no document has {', '.join(unknown)}: check the spelling or try broader words")
+    if fast:
+        found.append("search by meaning as well, not fast")
+    elif near:
+        found.append("the nearest documents are listed, but are not near enough: say it in other words")
+    return found or ["broaden the query or remove filters"]
+
+
 def _fact_key():
     """The id of a fact: of its entity, day and text."""
     return F.xxhash64("entity_id", "fact_date", "fact_text").bitwiseAND(F.lit((1 << 62) - 1))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
@@ -22,20 +22,25 @@ SOURCE = "src:"
 
 WORD = r"[\p{L}\p{N}_]"
 PIECES = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
+# Where a name was found, beside the participants, that are numbered from 0.
+BODY, TITLE, TAG, REFERENCE, ATTENDEE = -1, -2, -3, -4, -5
 #: Most beginnings of source ids that a pattern holds; shorter beginnings are taken beyond it.
 BEGINNINGS = 4096
 
 
 def names_of(entities: DataFrame) -> DataFrame:
-    """(entity_id, place, name, words, bare, folded): names and aliases in order, with what the rules ask of them.
+    """(entity_id, place, name, words, bare, folded, shared): names and aliases in order, with what the rules ask of them.
 
-    entities: (id, name, aliases). `bare` is a single first name that can be ambiguous."""
+    entities: (id, name, aliases). `bare` is a single first name that can be ambiguous; `shared` is a folded name that two
+    or more entities have as a bare one."""
     every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = entities.select(F.col("id").alias("entity_id"), F.posexplode(every).alias("place", "name")).filter("name is not null and trim(name) <> ''")
     n = F.col("name")
     words = F.size(F.split(F.trim(n), r"\s+"))
     bare = (words == 1) & (F.length(n) >= 4) & ~is_stem(n) & ~(is_capital(n) & (F.length(n) <= 4)) & ~F.lower(n).isin(*COMMON_WORDS) & ~n.startswith(SOURCE)
-    return rows.withColumns({"words": words, "bare": bare, "folded": T.fold_column(n)})
+    rows = rows.withColumns({"words": words, "bare": bare, "folded": T.fold_column(n)})
+    w, owner = Window.partitionBy("folded"), F.when(F.col("bare"), F.col("entity_id"))
+    return rows.withColumn("shared", F.coalesce(F.min(owner).over(w) != F.max(owner).over(w), F.lit(False)))
 
 
 def is_stem(name: Column) -> Column:
@@ -47,29 +52,22 @@ def is_capital(name: Column) -> Column:
     return (F.upper(name) == name) & (F.lower(name) != name)
 
 
-def ambiguous_names(names: DataFrame) -> DataFrame:
-    """(folded): bare first names that two or more entities have, accents and case ignored."""
-    return names.filter("bare").groupBy("folded").agg(F.countDistinct("entity_id").alias("owners")).filter("owners >= 2").select("folded")
+def in_contents(name: Column, words: Column, as_written: Column) -> Column:
+    """Whether a name that a content has counts there.
 
-
-def patterns(names: DataFrame) -> DataFrame:
-    """Names that are sought in contents, with `exact`: only as they are written. Longest first are those of the largest
-    `priority`.
-
-    Left out are names of one character, file stems, and first names of up to three letters. Capitals of up to four
-    characters and common words count only as written; all else whatever its case."""
-    n = F.col("name")
-    capital = is_capital(n) & (F.length(n) <= 4)
-    short = (F.col("words") == 1) & (F.length(n) <= 3) & n.rlike(r"^\p{Lu}\p{Ll}{1,2}$")
-    kept = names.filter((F.length(n) >= 2) & ~is_stem(n) & (capital | ~short))
-    return kept.withColumns({"exact": capital | ((F.col("words") == 1) & F.lower(n).isin(*COMMON_WORDS)), "priority": F.length(n)})
+    Names of one character, file stems, and first names of up to three letters don't. Capitals of up to four characters
+    and common words count only as they are written; all else whatever its case."""
+    capital = is_capital(name) & (F.length(name) <= 4)
+    short = (words == 1) & (F.length(name) <= 3) & name.rlike(r"^\p{Lu}\p{Ll}{1,2}$")
+    exact = capital | ((words == 1) & F.lower(name).isin(*COMMON_WORDS))
+    return (F.length(name) >= 2) & ~is_stem(name) & (capital | ~short) & (~exact | as_written)
 
 
 def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
-    """`key` with the columns of names: whole names that a text has, once each.
+    """`key` with the columns of names and `as_written`: whole names that a text has, whatever their case, once each.
 
     A name that ends in a mark, as `Anna L.`, ends where no word character follows; one that begins with a mark is not
-    found. texts: (*key, text); names: (entity_id, name, exact, ...)."""
+    found. texts: (*key, text); names: (entity_id, name, ...)."""
     cut = F.regexp_extract_all("name", F.lit(PIECES), F.lit(0))
     starts = names.filter(F.col("name").rlike(f"^{WORD}")).withColumn("_p", cut)
     mark = ~F.element_at("_p", -1).rlike(WORD)
@@ -77,10 +75,10 @@ def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame
     starts = starts.withColumns({"_core": F.array_join(F.slice("_p", F.lit(1), F.col("_n")), ""), "_first": F.lower(F.get("_p", F.lit(0)))})
     starts = starts.withColumn("_gram", F.lower("_core"))
     sifted = lambda c: F.pmod(F.xxhash64(c), F.lit(linking.SIFT))
-    lengths = sorted(r["_n"] for r in starts.select("_n").distinct().collect())  # lengths of names
-    begins = bytearray(linking.SIFT)
-    for r in starts.select(sifted(F.col("_first")).alias("at")).distinct().collect():  # SIFT at most
-        begins[r["at"]] = 1
+    told = starts.agg(F.collect_set("_n").alias("n"), F.collect_set(sifted(F.col("_first"))).alias("at")).first()  # SIFT at most
+    lengths, begins = sorted(told["n"]), bytearray(linking.SIFT)
+    for slot in told["at"]:
+        begins[slot] = 1
     pieces = texts.select(*key, F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("_t")).filter(F.size("_t") > 0)
     at = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: F.substring(F.lit(begins), (sifted(F.lower(F.get("_t", i - 1))) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1])))
 
@@ -92,10 +90,11 @@ def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame
     every = F.flatten(F.transform(at, lambda i: F.array(*[gram(i, F.lit(n)) for n in lengths or [1]])))
     found = pieces.select(*key, F.explode(F.array_distinct(F.array_compact(every))).alias("_g"))
     found = found.select(*key, F.lower("_g.raw").alias("_gram"), F.col("_g.raw").alias("_raw"), F.col("_g.behind").alias("_behind"), F.col("_g.last").alias("_last"))
-    joined = found.join(starts, "_gram").filter(~F.col("exact") | (F.col("_raw") == F.col("_core")))
+    joined = found.join(starts, "_gram")
     longer = (F.length("_behind") > F.length("_tail")) | F.col("_last")
-    fits = (F.col("_tail") == "") | (F.lower("_behind").startswith(F.lower("_tail")) & (~F.col("exact") | F.col("_behind").startswith(F.col("_tail"))) & longer)
-    return joined.filter(fits).select(*key, *names.columns).distinct()
+    fits = (F.col("_tail") == "") | (F.lower("_behind").startswith(F.lower("_tail")) & longer)
+    written = (F.col("_raw") == F.col("_core")) & F.col("_behind").startswith(F.col("_tail"))
+    return joined.filter(fits).groupBy(*key, *names.columns).agg(F.max(written).alias("as_written"))
 
 
 def source_references(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -127,44 +126,44 @@ def find(docs: DataFrame, entities: DataFrame, suppressions: DataFrame | None =
     name of several words, as a whole participant, or among its attendees. docs: (id, title, tags, text, attendees);
     entities: (id, name, aliases); suppressions: (document_id, entity_id). Null parts of a document are empty."""
     names = names_of(entities)
-    shared = ambiguous_names(names).withColumn("shared", F.lit(True))
-    names = names.join(shared, "folded", "left").withColumn("doubtful", F.col("bare") & F.coalesce("shared", F.lit(False))).withColumn("exact", F.lit(False)).drop("shared")
-    title = docs.select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("")).alias("text"))
-    body = docs.select(F.col("id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doubtful = F.col("bare") & F.col("shared")
+    doc = F.col("id").alias("document_id")
+    full, title = F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))
     yes, no = F.lit(True), F.lit(False)
 
-    def mention(rows: DataFrame, kind: str, strong: Column, doubtful: Column) -> DataFrame:
-        return rows.select("entity_id", "document_id", F.lit(kind).alias("mention_type"), strong.alias("strong"), doubtful.alias("doubtful"))
-
-    low = names.select("entity_id", F.lower("name").alias("low")).distinct()
-    tags = docs.select(F.col("id").alias("document_id"), F.explode("tags").alias("tag")).select("document_id", F.lower(F.trim("tag")).alias("low")).filter("low <> ''").distinct()
-    tagged = mention(tags.join(low, "low"), "tagged", yes, no)
-    referred = mention(source_references(docs.select("id", F.coalesce("text", F.lit("")).alias("text")), names), "source_ref", yes, no)
-
-    # The first name, in order, that is not doubtful decides; doubtful ones wait for other evidence.
-    def decided(rows: DataFrame, key: list[str], kind: str) -> DataFrame:
-        first = F.min(F.when(~F.col("doubtful"), F.struct("place", "sure")))
-        chosen = rows.groupBy("entity_id", *key).agg(first.alias("f"))
-        return mention(chosen, kind, F.coalesce("f.sure", no), F.col("f").isNull())
-
-    parts = title.select("document_id", F.posexplode(F.transform(F.split("text", SEPARATORS), lambda p: F.trim(p))).alias("part", "text")).filter("text <> ''")
-    whole = parts.withColumn("low", F.lower("text")).join(names.withColumn("low", F.lower("name")), "low").withColumn("sure", yes)
-    inside = occurrences(parts, names.filter(F.length("name") >= 4), ["document_id", "part"]).withColumn("sure", F.col("words") >= 2)
-    columns = ["document_id", "part", "entity_id", "place", "doubtful", "sure"]
-    both = whole.select(*columns).unionByName(inside.select(*columns)).groupBy("document_id", "part", "entity_id", "place", "doubtful").agg(F.max("sure").alias("sure"))
-    participant = decided(both, ["document_id", "part"], "participant")
-    titled = occurrences(title, names.filter((F.length("name") > 3) & ~is_stem(F.col("name"))), ["document_id"]).withColumn("sure", F.col("words") >= 2)
-    titled = decided(titled, ["document_id"], "title")
-    sought = patterns(names.drop("exact")).join(ambiguous_names(names).withColumn("shared", F.lit(True)), "folded", "left")
-    said = occurrences(body, sought, ["document_id"])
-    waits = (F.col("words") == 1) & F.coalesce("shared", no)
-    discussed = mention(said, "discussed", F.col("words") >= 2, waits)
-
-    every = tagged.unionByName(referred).unionByName(participant).unionByName(titled).unionByName(discussed)
-    present = docs.select(F.col("id").alias("document_id"), F.explode("attendees").alias("who")).filter("who is not null").withColumn("folded", T.fold_column(F.col("who")))
-    there = present.filter("folded <> ''").join(names.select("folded", "entity_id"), "folded").select("entity_id", "document_id")
-    evidence = every.filter("strong and not doubtful").select("entity_id", "document_id").unionByName(there).distinct()
-    sure = every.filter("not doubtful").drop("strong", "doubtful")
-    rescued = every.filter("doubtful").join(evidence, ["entity_id", "document_id"], "left_semi").select(*sure.columns)
-    found = sure.unionByName(rescued).distinct()
+    def evidence(rows: DataFrame, scope: Column, kind: Column, doubt: Column, place: Column, weak: Column) -> DataFrame:
+        return rows.select("entity_id", "document_id", scope.cast("int").alias("scope"), kind.alias("kind"), doubt.alias("doubt"), place.cast("int").alias("place"), weak.alias("weak"))
+
+    # Names as a whole: tags and participants whatever their case, attendees whatever their accents.
+    parts = F.filter(F.transform(F.split(title, SEPARATORS), lambda p: F.trim(p)), lambda p: p != "")
+    asked = lambda c, scope: F.transform(c, lambda x, i: F.struct(scope(i).cast("int").alias("scope"), F.lower(F.trim(x)).alias("key")))
+    equal = docs.select(doc, F.inline(F.concat(asked(F.coalesce("tags", F.array().cast("array<string>")), lambda i: F.lit(TAG)), asked(parts, lambda i: i)))).filter("key <> ''").distinct()
+    present = docs.select(doc, F.explode("attendees").alias("who")).filter("who is not null").select("document_id", F.lit(ATTENDEE).alias("scope"), T.fold_column(F.col("who")).alias("key")).filter("key <> ''").distinct()
+    kinds = F.array(F.struct(no.alias("fold"), F.lower("name").alias("key")), F.struct(yes.alias("fold"), F.col("folded").alias("key")))
+    keyed = names.select("*", F.inline(kinds))
+    whole = equal.unionByName(present).withColumn("fold", F.col("scope") == ATTENDEE).join(keyed, ["fold", "key"])
+    part = F.col("scope") >= 0
+    kind = F.when(F.col("scope") == TAG, "tagged").when(part, "participant")
+    told = evidence(whole, F.col("scope"), kind, doubtful & part, F.when(part, F.col("place")).otherwise(0), no)
+
+    # Names inside participants, titles and contents, in one pass.
+    pieces = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("scope"), p.alias("text")))
+    rest = F.array(F.struct(F.lit(TITLE).alias("scope"), title.alias("text")), F.struct(F.lit(BODY).alias("scope"), full.alias("text")))
+    has = occurrences(docs.select(doc, F.inline(F.concat(pieces, rest))), names, ["document_id", "scope"])
+    n, scope, several = F.col("name"), F.col("scope"), F.col("words") >= 2
+    has = has.filter(F.when(scope == BODY, in_contents(n, F.col("words"), F.col("as_written"))).when(scope == TITLE, (F.length(n) > 3) & ~is_stem(n)).otherwise(F.length(n) >= 4))
+    # In a content any name of several words is evidence; elsewhere the first name, in order, that is not doubtful decides.
+    inside = evidence(
+        has, scope, F.when(scope == BODY, "discussed").when(scope == TITLE, "title").otherwise("participant"), F.when(scope == BODY, ~several & F.col("shared")).otherwise(doubtful),
+        F.when(scope == BODY, (~several).cast("int")).otherwise(F.col("place")), ~several)
+    referred = evidence(source_references(docs.select("id", full.alias("text")), names), F.lit(REFERENCE), F.lit("source_ref"), no, F.lit(0), no)
+
+    every = told.unionByName(inside).unionByName(referred)
+    first = F.min(F.when(~F.col("doubt"), F.struct("place", "weak")))
+    decided = every.groupBy("entity_id", "document_id", "scope", "kind").agg(first.alias("f"))
+    firm = F.col("f").isNotNull()
+    summed = decided.groupBy("entity_id", "document_id").agg(
+        F.collect_set(F.when(firm, F.col("kind"))).alias("sure"), F.collect_set(F.when(~firm, F.col("kind"))).alias("doubt"), F.max(firm & ~F.col("f.weak")).alias("proof"))
+    kept = F.when(F.coalesce("proof", no), F.array_union("sure", "doubt")).otherwise(F.col("sure"))
+    found = summed.select("entity_id", "document_id", F.explode(kept).alias("mention_type"))
     return found if suppressions is None else linking.without_suppressed(found, suppressions).select(*found.columns)

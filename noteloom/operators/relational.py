@@ -179,3 +179,13 @@ def find_document(docs: DataFrame, target: str, strict: bool = False) -> DataFra
     ranked = docs.withColumn("tier", tier).filter("tier is not null")
     best = ranked.crossJoin(F.broadcast(ranked.agg(F.min("tier").alias("best")))).filter("tier = best").drop("best")  # one row
     return best.orderBy("id") if strict else best.orderBy("id").limit(1)
+
+
+def profile_texts(entities: DataFrame, facts: DataFrame, newest: int = 5) -> DataFrame:
+    """(id, name, entity_type, profile): an entity in a line, with its newest facts."""
+    w = Window.partitionBy("entity_id").orderBy(F.col("fact_date").desc_nulls_last(), F.desc("id"), "fact_text")
+    top = facts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= newest)
+    texts = top.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact_text"))), lambda x: x["fact_text"]), "; ").alias("texts"))
+    told = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    line = F.concat_ws(" | ", "name", "entity_type", F.nullif(F.array_join("aliases", ", "), F.lit("")), F.nullif(F.array_join(told, ", "), F.lit("")), "texts")
+    return entities.join(texts, "id", "left").select("id", "name", "entity_type", line.alias("profile"))

@@ -16,11 +16,12 @@ GLOSSARY = "term string, expansion string, section string"
 POSTINGS = "term string, chunk_id long, col string, tf int, positions array<int>"
 VECTORS = "chunk_id long, document_id long, embedding array<float>"
 LENGTHS = "chunk_id long, document_id long, dl long"
+PROFILES = "id long, name string, entity_type string, profile string, embedding array<float>"
 ACCESS = "kind string, id long, at timestamp"
 SUPPRESSIONS = "path string, entity string"
 
 TABLES = {
     "documents": DOCUMENTS, "chunks": CHUNKS, "entities": ENTITIES, "mentions": MENTIONS, "facts": FACTS, "attendees": ATTENDEES,
-    "glossary": GLOSSARY, "access": ACCESS, "suppressions": SUPPRESSIONS,
+    "glossary": GLOSSARY, "access": ACCESS, "suppressions": SUPPRESSIONS, "profiles": PROFILES,
     "postings": POSTINGS, "stemmed": POSTINGS, "lengths": LENGTHS, "vectors": VECTORS,
 }

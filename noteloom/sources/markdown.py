@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.functions import snippets
 from noteloom.functions import text as T
 from noteloom.session import ready
 
@@ -22,9 +24,9 @@ FRONTMATTER = (
 )
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path below root, text, modified) of every markdown file."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+def files(spark: SparkSession, root: str, below: bool = True) -> DataFrame:
+    """(path below root, text, modified) of every markdown file, or of those right in root."""
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") if below else spark.read.text(root.rstrip("/") + "/*.md", wholetext=True)
     base = F.lit(root.rstrip("/") + "/")
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     return raw.select(F.regexp_replace(full, F.concat(F.lit("^.*?"), F.lit("\\Q"), base, F.lit("\\E")), "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
@@ -102,9 +104,12 @@ def meeting_documents(tree: DataFrame) -> DataFrame:
 
 def glossary_terms(tree: DataFrame) -> DataFrame:
     """(path, line_no, term, expansion, notes) of the rows of markdown tables, headers and rules left out."""
-    lines = tree.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").startswith("|"))
+    rule = r"^\|[\s:|-]+$"
+    text_lines = F.split("text", "\n")
+    numbered = F.transform(text_lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.coalesce(F.get(text_lines, i + 1).rlike(rule), F.lit(False)).alias("head")))
+    lines = tree.select("path", F.inline(numbered)).filter(F.col("line").startswith("|"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
-    rows = lines.withColumn("cells", cells).filter((F.size("cells") >= 2) & ~F.col("line").rlike(r"^\|[\s:|-]+$") & ~F.lower(F.get("cells", F.lit(0))).isin("term", "who", "codename", "acronym"))
+    rows = lines.withColumn("cells", cells).filter((F.size("cells") >= 2) & ~F.col("line").rlike(r"^\|[\s:|-]+$") & ~F.col("head"))
     return rows.select("path", "line_no", F.get("cells", F.lit(0)).alias("term"), F.get("cells", F.lit(1)).alias("expansion"), F.get("cells", F.lit(2)).alias("notes"))
 
 
@@ -113,15 +118,86 @@ def glossary_chunks(terms: DataFrame) -> DataFrame:
     return terms.select("path", "line_no", F.col("term").alias("heading"), content.alias("content"))
 
 
+PROFILE = "aliases array<string>, pinned boolean, metadata map<string,string>"
+# Keys of a profile that are no metadata, what its other names stand under, the heads of sections and tables.
+PROFILE_KEYS = ("aliases", "pinned", "also known as", "codename/also called")
+ALSO = {"memory_person": "also known as", "memory_project": "codename/also called"}
+TEAMS_MARK = "Teams (from Linear)"
+PEOPLE_HEAD = "| Who | Role |"
+
+
+def _yaml_profile(found: dict) -> tuple[list[str], bool, dict[str, str]]:
+    """Aliases, pin and metadata of a YAML head; lists and mappings are kept as JSON, and ids of sources are aliases."""
+    given = found.get("aliases") or []
+    aliases = [str(a).strip() for a in (given if isinstance(given, list) else [given])]
+    kept = {str(k): v for k, v in found.items() if k not in ("aliases", "pinned") and v is not None}
+    plain = {k: json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v).strip() for k, v in kept.items()}
+    ids = [f"src:{x}" for x in snippets.source_ids(found)]
+    return aliases + ids, bool(found.get("pinned", False)), {k: v for k, v in plain.items() if v}
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(name, aliases, metadata, path) of people and projects, from YAML or `**Key:** value` lines; the first name and
-    the file name are aliases."""
-    fields = T.fields(F.col("text"))
+    """(name, aliases, metadata, pinned, path) of people and projects, from a YAML head or, without one, from
+    `**Key:** value` lines. The file name is an alias, and so is a person's first name. docs: (path, title, doc_type, text)."""
+    ready(docs.sparkSession)
+
+    @F.pandas_udf(PROFILE)
+    def head(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [frontmatter(t) for t in batch]
+            yield pd.DataFrame([_yaml_profile(f) if f else (None, None, None) for f in found], columns=["aliases", "pinned", "metadata"])
+
+    lines = T.fields(F.col("text"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
-    known = F.transform(F.split(F.coalesce(F.element_at(fields, F.lit("also known as")), F.lit("")), ","), lambda a: F.trim(a))
-    first = F.when(F.col("title").contains(" "), F.get(F.split("title", " "), F.lit(0)))
-    aliases = F.array_distinct(F.array_compact(F.concat(F.filter(known, lambda a: a != ""), F.array(first, stem))))
-    return docs.select(F.col("title").alias("name"), F.array_remove(aliases, F.col("title")).alias("aliases"), fields.alias("metadata"), "path")
+    also = F.lit(None).cast("string")
+    for kind, key in ALSO.items():
+        also = F.when(F.col("doc_type") == kind, F.element_at(lines, F.lit(key))).otherwise(also)
+    listed = F.filter(F.transform(F.split(F.coalesce(also, F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
+    first = F.when((F.col("doc_type") == "memory_person") & F.col("name").contains(" "), F.get(F.split("name", r"\s+"), F.lit(0)))
+    heading = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^# +(.+)$", 1)), F.lit(""))
+    rows = docs.withColumns({"h": head(F.col("text")), "l": lines, "stem": stem, "listed": listed, "name": F.coalesce(heading, "title")})
+    aliases = F.array_distinct(F.array_compact(F.concat(F.coalesce("h.aliases", "listed"), F.array(first, F.col("stem")))))
+    old = F.map_filter("l", lambda k, v: ~k.isin(*PROFILE_KEYS))
+    pinned = F.coalesce("h.pinned", F.lower(F.element_at("l", F.lit("pinned"))).isin("true", "yes", "1"), F.lit(False))
+    return rows.select("name", F.array_remove(aliases, F.col("name")).alias("aliases"), F.coalesce("h.metadata", old).alias("metadata"), pinned.alias("pinned"), "path")
+
+
+def _lines(tree: DataFrame) -> DataFrame:
+    return tree.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def teams(tree: DataFrame, mark: str = TEAMS_MARK) -> DataFrame:
+    """(name, aliases, metadata, path) of `- **Name** (ABC) — what it does` lines, from a line with the mark to the next
+    heading of level two."""
+    within = F.regexp_extract("text", rf"(?s)(?:^|\n)[^\n]*\Q{mark}\E[^\n]*\n(.*?)(?=\n##|\z)", 1)
+    shape = r"^-\s+\*\*(.+?)\*\*(?:\s+\((\w+)\))?\s*—\s*(.+)"
+    rows = _lines(tree.filter(F.col("text").contains(mark)).select("path", within.alias("text"))).filter(F.col("line").rlike(shape) & ~F.col("line").startswith("##"))
+    part = lambda i: F.trim(T.strip_wikilinks(F.regexp_extract("line", shape, i)))
+    short = F.nullif(part(2), F.lit(""))
+    return rows.select(part(1).alias("name"), F.array_compact(F.array(short)).alias("aliases"), F.create_map(F.lit("description"), part(3)).alias("metadata"), "path")
+
+
+def alias_table(tree: DataFrame, head: str = PEOPLE_HEAD) -> DataFrame:
+    """(short, name, path): `| **Short** | Full Name, ... |` rows of the table below the head line. A full name is two or more
+    capitalised words at the front of the second cell."""
+    quoted = "".join("\\" + c if c in "|*.()[]" else c for c in head)
+    table = F.regexp_extract("text", rf"(?:^|\n)[^\n]*{quoted}[^\n]*\n((?:\|[^\n]*(?:\n|\z))*)", 1)
+    shape = r"^\|\s*\*\*(.+?)\*\*\s*\|\s*(.+?)\s*\|"
+    full = r"^(\p{Lu}[\p{L}\p{N}_'-]+(?:\s+\p{Lu}[\p{L}\p{N}_'-]+)+)"
+    rows = _lines(tree.select("path", table.alias("text"))).filter(F.col("line").rlike(shape))
+    named = rows.select(F.trim(F.regexp_extract("line", shape, 1)).alias("short"), F.regexp_extract(F.regexp_extract("line", shape, 2), full, 1).alias("name"), "path", "line_no")
+    return named.filter("name <> ''")
+
+
+def with_alias_table(people: DataFrame, table: DataFrame) -> DataFrame:
+    """People with the short names of a table among their aliases, and those of the table that aren't among them.
+
+    people: (name, aliases, ...); others' columns are null for the new ones."""
+    shorts = table.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "short"))), lambda x: x["short"]).alias("shorts"), F.min("path").alias("of"))
+    known = people.join(shorts.drop("of"), "name", "left").withColumn("aliases", F.array_distinct(F.concat("aliases", F.coalesce("shorts", F.array().cast("array<string>"))))).drop("shorts")
+    first = F.get(F.split("name", r"\s+"), F.lit(0))
+    extra = shorts.join(people.select("name"), "name", "left_anti").select("name", F.array_distinct(F.concat("shorts", F.array(first))).alias("aliases"), F.col("of").alias("path"))
+    return known.unionByName(extra, allowMissingColumns=True)
 
 
 def dated_facts(docs: DataFrame) -> DataFrame:

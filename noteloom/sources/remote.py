@@ -5,6 +5,7 @@ No network is used here; a client is any callable that gives a page for a cursor
 from __future__ import annotations
 
 import re
+import time
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,63 @@ def pages(fetch: Callable[[str | None], dict], since: str | None = None) -> Iter
         cursor = following
 
 
+def offset_pages(fetch: Callable[[int, int], list[dict]], since: str | None = None, size: int = 50, field: str = "updated_at") -> Iterator[dict]:
+    """Notes of a client that is paged by offset, newest first, those of `since` or later. A page whose last note is older
+    ends the read, as does one that isn't full."""
+    offset = 0
+    while True:
+        page = fetch(offset, size)
+        yield from (n for n in page if since is None or (n.get(field) or "") >= since)
+        older = since is not None and page and (page[-1].get(field) or "") < since
+        if len(page) < size or older:
+            return
+        offset += len(page)
+
+
+def token_pages(fetch: Callable[[str | None], dict], since: str | None = None, key: str = "id", field: str = "date") -> Iterator[dict]:
+    """Entries of a client that gives a token for the next page, each id once, those of `since` or later, without those that
+    are still being transcribed. A token that comes again raises."""
+    token, seen, tokens = None, set(), set()
+    while True:
+        page = fetch(token)
+        for entry in page.get("entries", []):
+            if entry.get(key) not in seen and entry.get("status") != "transcribing":
+                seen.add(entry.get(key))
+                if since is None or (entry.get(field) or "") >= since:
+                    yield entry
+        token = page.get("next")
+        if not token:
+            return
+        if token in tokens:
+            raise ValueError(f"the token {token!r} comes again")
+        tokens.add(token)
+
+
+class Refused(Exception):
+    """A client that asks to wait (`after` seconds, if it says how long)."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(f"retry after {after}")
+        self.after = after
+
+
+def with_retries(fetch: Callable, attempts: int = 4, first: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """A client that is asked again after it refused or lost the connection, each time after twice as long, or after what
+    it says; the last failure is raised."""
+
+    def asked(*args):
+        for n in range(attempts):
+            try:
+                return fetch(*args)
+            except (Refused, ConnectionError, TimeoutError) as e:
+                if n == attempts - 1:
+                    raise
+                after = getattr(e, "after", None)
+                sleep(first * 2**n if after is None else after)
+
+    return asked
+
+
 def high_water(notes: DataFrame) -> DataFrame:
     """One row: the newest updated_at, from which the next run starts."""
     return notes.agg(F.max("updated_at").alias("last_sync"), F.count(F.lit(1)).alias("n"))

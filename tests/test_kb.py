@@ -118,3 +118,55 @@ def test_a_search_reads_the_terms_of_its_query(kb):
     plan = found._jdf.queryExecution().toString()
     assert "stemmed" in plan and "postings" not in plan and "chunk_id" in plan and "In(term, [" in plan.replace("PushedFilters: [", "") and found.first()["path"] == "notes/mfa.md"
     assert [r["path"] for r in kb.search("rotation", limit=3, fast=True, stem=False, path="notes/*").collect()] == ["notes/mfa.md"]
+
+
+def test_entities_in_files(kb):
+    path = kb.create_entity("Omar Aziz", aliases=["OZ"], metadata={"team": "Platform", "role": "Lead", "email": "omar@x.org", "likes": "tea"}, body="## Notes\nx\n")
+    assert path == "people/omar-aziz.md" and "team: '[[Platform]]'" in kb.read_memory_file(path)
+    entity = kb.get_entity("omar aziz")
+    assert entity["metadata"] == {"team": "Platform", "role": "Lead", "email": "omar@x.org", "likes": "tea"} and entity["aliases"] == ["OZ", "Omar", "omar-aziz"]
+    with pytest.raises(ValueError):
+        kb.create_entity("Omar  Aziz")
+    kb.edit_entity("Omar Aziz", {"role": "Head", "likes": None}, pinned=True)
+    content = kb.read_memory_file(path)
+    assert "role: Head" in content and "likes" not in content and "aliases:\n- OZ\n" in content and content.endswith("# Omar Aziz\n\n## Notes\nx\n")
+    assert kb.get_entity("Omar Aziz")["pinned"] is True
+    assert kb.search_entities("Omar Aziz Platform Head", 1).first()["name"] == "Omar Aziz"
+    assert kb.search_entities("Omar Aziz", 3, "project").count() == 1 and kb.suggest_entities("omar azis")[0] == "Omar Aziz"
+    kb.delete_entity("Omar Aziz")
+    assert kb.find_entities("Omar Aziz").count() == 0 and kb.suggest_entities("omar azis") == []
+
+
+def test_mentions_snippets_and_diagnosis(kb):
+    kinds = {(r["entity_id"], r["mention_type"]) for r in kb.store.read("mentions").collect()}
+    assert {k for _, k in kinds} >= {"discussed"}
+    hit = kb.search("rotation", limit=1, fast=True).first()
+    assert "rotation" in hit["snippet"]
+    told = kb.diagnose("rotation zzzz")
+    assert told["term_hits"] == [{"term": "rotation", "doc_count": 1}, {"term": "zzzz", "doc_count": 0}] and told["near_misses"] and "leave out zzzz" in told["suggestions"]
+    assert "notes/mfa.md" in kb.add_wikilinks() and "[[" not in kb.read_memory_file("notes/mfa.md")
+
+
+def test_people_of_tables_and_meetings(spark, tmp_path):
+    files = {
+        "TEAM.md": "x\n| Who | Role |\n|---|---|\n| **Kit** | Kit Larsen, design |\n| **Tal** | Talia Ström |\n| **No** | someone |\n\n| **Out** | Out Side |\n",
+        "memory/people/kit-larsen.md": "---\naliases: [KL]\nteam: \"[[Core Team]]\"\nemail: kit@x.org\nsources:\n- {type: chat, channel: C777}\ntask_keywords: [logo]\n---\n# Kit Larsen\n",
+        "memory/projects/atlas.md": "# Atlas Move\n**Codename/Also called:** Bluebird\n**Pinned:** yes\n**Status:** active\n",
+        "memory/context/company.md": "# C\n## Teams (from Linear)\n- **Core Team** (CT) — the [[core]] of it\nother\n## Next\n- **Not** — one\n",
+        "meetings/a.notes.md": "---\ntitle: Kit x Ann\ndate: 2026-01-02\ntags: [bluebird]\nattendees:\n- {name: K. Larsen, email: KIT@x.org}\n- {name: New Person, email: new@x.org}\n---\nabout C777\n",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    kb = KnowledgeBase(spark, str(tmp_path), as_of=AS_OF)
+    kb.index()
+    rows = {r["name"]: r for r in kb.store.read("entities").collect()}
+    assert set(rows) == {"Kit Larsen", "Talia Ström", "Atlas Move", "Core Team", "New Person"}
+    assert rows["Kit Larsen"]["aliases"] == ["KL", "src:C777", "Kit", "kit-larsen"] and rows["Kit Larsen"]["metadata"]["team"] == "Core Team"
+    assert rows["Talia Ström"]["aliases"] == ["Tal", "Talia"] and rows["Core Team"]["aliases"] == ["CT"] and rows["Core Team"]["metadata"] == {"description": "the core of it"}
+    assert rows["Atlas Move"]["aliases"] == ["Bluebird", "atlas"] and rows["Atlas Move"]["pinned"] and rows["Atlas Move"]["metadata"] == {"status": "active"}
+    names = {r["id"]: n for n, r in rows.items()}
+    doc = kb.store.read("documents").filter("path like 'meetings/%'").first()["id"]
+    got = {(names[r["entity_id"]], r["mention_type"]) for r in kb.store.read("mentions").filter(f"document_id = {doc}").collect()}
+    assert got == {("Kit Larsen", "attendee"), ("Kit Larsen", "participant"), ("Kit Larsen", "source_ref"), ("New Person", "attendee"), ("Atlas Move", "tagged")}
+    assert {(r["name"], r["matched_by"]) for r in kb.store.read("attendees").collect()} == {("K. Larsen", "email"), ("New Person", "created")}
