@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions import scoring, text
-from noteloom.operators import chunking, fts, incremental, linking, ranking, relational, vectors
+from noteloom.functions import scoring, snippets, text
+from noteloom.operators import chunking, fts, incremental, linking, mentions, ranking, relational, vectors
 from noteloom.plans import bindings as b
 
 AS_OF = b.AS_OF
@@ -564,10 +564,9 @@ def task_matching(spark, d):
     return linking.match_tasks(tasks, projects).select("task_id", F.col("project_id").alias("name"), "tier")
 
 
-@query(f"WITH {DOCS} SELECT path, len(regexp_extract_all(text, '(?i)password')) ::INT AS hits, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)password'))[1:3] AS lines FROM docs WHERE regexp_matches(text, '(?i)password')")
+@query(f"WITH {DOCS} SELECT path, len(regexp_extract_all(text, '(?i)password')) ::INT AS hits, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)password')) AS lines FROM docs WHERE regexp_matches(text, '(?i)password')")
 def correction_scan(spark, d):
-    found = linking.correction_scan(b.documents(spark, d), "password")
-    return found.withColumn("lines", F.slice("lines", 1, 3))  # as the SQL shows them; the operator has all
+    return linking.correction_scan(b.documents(spark, d), "password")
 
 
 @query(f"WITH {DOCS} SELECT path, sha256(regexp_replace(text, '(?i)password', 'pass$1word', 'g')) AS digest FROM docs WHERE regexp_matches(text, '(?i)password')")
@@ -581,6 +580,42 @@ def denylist_scan(spark, d):
     return linking.denied(b.documents(spark, d), ["AKIA[A-Z0-9]{16}", "worthless"])
 
 
+# Entities named by what benchmark items begin with; a tag of documents and the first word, if it is long, are aliases.
+_CAST = r"""cast_ AS (SELECT item_id AS id, array_to_string(t[1:2 + item_id % 3], ' ') AS name, ['q' || (item_id % 40), t[1]] AS aliases FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM benchmark)),
+    names AS (SELECT id, place, CASE WHEN place = 0 THEN name ELSE aliases[place] END AS name FROM (SELECT *, unnest([0, 1, 2]) AS place FROM cast_)),
+    marked AS (SELECT *, NOT contains(name, ' ') AND length(name) >= 4 AND name NOT IN ('product', 'data', 'design', 'staff', 'security', 'core', 'sources', 'quality', 'applied', 'front', 'incidents', 'machine') AS bare FROM names WHERE trim(name) <> ''),
+    known AS (SELECT *, count(DISTINCT CASE WHEN bare THEN id END) OVER (PARTITION BY name) >= 2 AS shared FROM marked)"""
+
+
+@query(rf"""WITH {DOCS}, {_CAST},
+    fields AS (SELECT id AS doc, 'discussed' AS kind, -1 AS scope, text FROM docs UNION ALL SELECT id, 'title', -2, title FROM docs
+        UNION ALL SELECT id, 'participant', unnest(generate_series(1, len(parts))), trim(unnest(parts)) FROM (SELECT id, regexp_split_to_array(title, '(?i)\s+(?:/|x|&|vs)\s+') AS parts FROM docs)),
+    cut AS (SELECT doc, kind, scope, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM fields),
+    grams AS (SELECT DISTINCT doc, kind, scope, lower(array_to_string(p[i:i + n - 1], '')) AS gram, array_to_string(p[i:i + n - 1], '') AS raw FROM (SELECT *, unnest(generate_series(1, len(p) - n + 1)) AS i FROM cut, (VALUES (1), (3), (5), (7)) lengths(n))),
+    hits AS (SELECT doc, kind, scope, id, place, bare, shared, NOT contains(name, ' ') AS weak FROM grams JOIN known ON gram = name
+        WHERE CASE kind WHEN 'title' THEN length(name) > 3 WHEN 'participant' THEN length(name) >= 4 ELSE length(name) >= 2 AND (raw = name OR name NOT IN ('product', 'data', 'design', 'staff', 'security', 'core', 'sources', 'quality', 'applied', 'front', 'incidents', 'machine')) END
+        UNION ALL SELECT doc, kind, scope, id, place, bare, shared, false FROM fields JOIN known ON kind = 'participant' AND lower(text) = name),
+    placed AS (SELECT doc, id, kind, scope, min(CASE WHEN NOT (bare AND shared) THEN place * 2 + weak::INT END) AS f FROM hits WHERE kind <> 'discussed' GROUP BY doc, id, kind, scope),
+    said AS (SELECT doc, id, kind, scope, min(CASE WHEN NOT weak OR NOT shared THEN weak::INT END) AS f FROM hits WHERE kind = 'discussed' GROUP BY doc, id, kind, scope),
+    tagged AS (SELECT DISTINCT doc, known.id, 'tagged' AS kind, -3 AS scope, 0 AS f FROM (SELECT id AS doc, unnest(tags) AS tag FROM docs) t JOIN known ON lower(trim(tag)) = name),
+    every AS (SELECT * FROM placed UNION ALL SELECT * FROM said UNION ALL SELECT * FROM tagged),
+    proof AS (SELECT DISTINCT doc, id FROM every WHERE f IS NOT NULL AND f % 2 = 0)
+    SELECT DISTINCT id AS entity_id, doc AS document_id, kind AS mention_type FROM every LEFT JOIN proof USING (doc, id) WHERE f IS NOT NULL OR proof.doc IS NOT NULL""")
+def mention_finder(spark, d):
+    t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = b.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), t.alias("t"))
+    cast = rows.select("id", F.array_join(F.slice("t", F.lit(1), (F.col("id") % 3 + 2).cast("int")), " ").alias("name"), F.array(F.concat(F.lit("q"), (F.col("id") % 40).cast("string")), F.get("t", F.lit(0))).alias("aliases"))
+    docs = b.documents(spark, d).select("id", "title", "tags", "text", F.lit(None).cast("array<string>").alias("attendees"))
+    return mentions.find(docs, cast)
+
+
+@query("""SELECT p_partkey AS id, map_from_entries(list_transform(list_filter(string_split('name=' || p_name || '; brand = ' || p_brand || ';;x', ';'), lambda x: contains(x, '=')), lambda x: {'k': trim(split_part(x, '=', 1)), 'v': trim(split_part(x, '=', 2))}))['brand'] AS brand,
+    CASE WHEN length(p_name) > 20 THEN p_name[1:17] || '...' ELSE p_name END AS short FROM part""")
+def key_values(spark, d):
+    raw = F.concat(F.lit("name="), "p_name", F.lit("; brand = "), "p_brand", F.lit(";;x"))
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(snippets.key_values(raw), F.lit("brand")).alias("brand"), snippets.shortened(F.col("p_name")).alias("short"))
+
+
 # ---------------------------------------------------------------- incremental, chunking, transcripts
 
 

@@ -61,3 +61,54 @@ def test_upsert_stream(spark, tmp_path):
 def test_access_counts(spark):
     e = spark.createDataFrame([(1, "2026-01-01 01:00:00"), (1, "2026-01-01 02:00:00"), (2, "2026-01-02 00:00:00")], "document_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n_access"] for r in ingest.access_counts(e).collect()) == [1, 2]
+
+
+def test_offset_and_token_pages():
+    notes = [{"id": i, "updated_at": f"2026-01-{30 - i:02d}"} for i in range(12)]
+    asked = []
+
+    def by_offset(offset, size):
+        asked.append(offset)
+        return notes[offset : offset + size]
+
+    assert [n["id"] for n in remote.offset_pages(by_offset, size=5)] == list(range(12)) and asked == [0, 5, 10]
+    asked.clear()
+    assert [n["id"] for n in remote.offset_pages(by_offset, since="2026-01-27", size=5)] == [0, 1, 2, 3] and asked == [0]
+    page = {None: {"entries": [{"id": 1, "date": "b"}, {"id": 2, "date": "a"}], "next": "t"}, "t": {"entries": [{"id": 1, "date": "b"}, {"id": 3, "date": "c", "status": "transcribing"}, {"id": 4, "date": "c"}]}}
+    assert [e["id"] for e in remote.token_pages(page.__getitem__)] == [1, 2, 4] and [e["id"] for e in remote.token_pages(page.__getitem__, since="b")] == [1, 4]
+    with pytest.raises(ValueError):
+        list(remote.token_pages(lambda t: {"entries": [], "next": "same"}))
+
+
+def test_retries():
+    waits, left = [], [remote.Refused(7), ConnectionError(), None]
+
+    def fetch(x):
+        e = left.pop(0)
+        if e:
+            raise e
+        return x
+
+    assert remote.with_retries(fetch, sleep=waits.append)("page") == "page" and waits == [7, 2.0]
+    with pytest.raises(ConnectionError):
+        remote.with_retries(lambda: (_ for _ in ()).throw(ConnectionError()), attempts=2, sleep=waits.append)()
+
+
+def test_wikilinks(spark):
+    from noteloom.operators import wikilinks as W
+
+    names = ["Anna Lind", "Anna Lind Project", "C++ Guild +"]
+    text = "---\na: Anna Lind\n---\n# Anna Lind\nanna lind project, [[Anna Lind]] and Anna Lind.\n```\nAnna Lind\n```\nAnna Linden C++ guild +x c++ guild +"
+    out = "---\na: Anna Lind\n---\n# Anna Lind\n[[Anna Lind Project]], [[Anna Lind]] and [[Anna Lind]].\n```\nAnna Lind\n```\nAnna Linden C++ guild +x [[C++ Guild +]]"
+    assert W.wikilinked(text, names) == out and W.wikilinked(out, names) == out and W.wikilinked("x", []) == "x"
+    people = spark.createDataFrame([(1, "Anna Lind", ["Anna", "anna-lind x"]), (2, "ANNA LIND", [])], "id long, name string, aliases array<string>")
+    files = spark.createDataFrame([("a", "met anna lind"), ("b", "none"), ("c", None)], "path string, text string")
+    assert {r["path"]: r["text"] for r in W.with_wikilinks(files, people).collect()} == {"a": "met [[Anna Lind]]", "b": "none", "c": None}
+
+
+def test_migrated():
+    from noteloom.operators import wikilinks as W
+
+    old = "# Anna Lind\n\n**Role:** Lead\n**Also known as:** AL, Ann\n**Pinned:** yes\n\nintro\n\n## Notes\n**Not:** this\n"
+    new = W.migrated(old)
+    assert new == "---\nrole: Lead\naliases:\n- AL\n- Ann\npinned: true\n---\n# Anna Lind\n\nintro\n\n## Notes\n**Not:** this\n" and W.migrated(new) == new and W.migrated("plain") == "plain"
