@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from noteloom.plans.queries import ORACLE, QUERIES
+from noteloom.plans.queries import MENTION_FINDER_SQL, ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,7 @@ def test_same_rows_as_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_mentions_as_sql(spark, db):
+    assert plain(QUERIES["mention_finder"](spark, SF).toPandas()) == plain(db.execute(MENTION_FINDER_SQL).df())
