@@ -138,6 +138,11 @@ def words(text):
     return F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), "")
 
 
+def let(value, use):
+    """use(value), with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_count(text):
     """Number of words."""
     return F.size(words(text)).cast("long")

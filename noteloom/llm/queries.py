@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_format, common, exact_dedup, jaccard_join, language_id, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
+from noteloom.llm import (
+    byte_bpe, chat_format, common, exact_dedup, hard_negatives, jaccard_join, language_id, mixing, periodic_runs, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +57,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_documents(spark, sf_dir), common.read_table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read_table(common.ready(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0, label=label)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(_documents(spark, sf_dir))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_secret_scan, op3_mixing, op4_sentencepiece, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_jaccard_join, op9_chat_format, op10_toxicity)}
+    op1_language_id, op2_secret_scan, op3_mixing, op4_sentencepiece, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_jaccard_join, op9_chat_format, op10_toxicity,
+    op11_hard_negatives, op12_periodic_runs, op13_byte_bpe)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -123,4 +140,20 @@ ORACLE = {
             coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop) FILTER (train), '') AS mask,
             coalesce(sum(length(body)) FILTER (train), 0)::BIGINT AS n_trained
         FROM placed GROUP BY conv_id, perspective""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+        positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        pairs AS (SELECT row_number() OVER () AS pair, anchor, anchor_id, id AS positive_id, score AS positive_score FROM positives)
+        SELECT p.anchor_id, positive_id, (row_number() OVER best)::INT AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+        FROM pairs p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+            AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+        WINDOW best AS (PARTITION BY pair ORDER BY n.score DESC, n.id)
+        QUALIFY row_number() OVER best <= 10""",
 }
