@@ -123,8 +123,10 @@ def hot_spans(found: Column) -> Column:
         last = F.filter(F.transform(hot, lambda i, k: F.when(F.coalesce(F.get(hot, k + 1) - i > WIDTH, F.lit(True)), i)), lambda i: i.isNotNull())
         return _let(last, lambda ends: F.transform(first, lambda i, k: F.struct((found["start"] + i).alias("start"), (found["start"] + F.get(ends, k) + WIDTH).alias("end"))))
 
-    hot = F.filter(F.transform(window_entropies(found["value"]), lambda e, i: F.when(e >= limit - 1e-9, i)), lambda i: i.isNotNull())
-    return _let(hot, merged)
+    def hot(least):  # the class is told once for a candidate, not for each window
+        return F.filter(F.transform(window_entropies(found["value"]), lambda e, i: F.when(e >= least, i)), lambda i: i.isNotNull())
+
+    return _let(_let(limit - 1e-9, hot), merged)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
