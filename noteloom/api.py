@@ -33,82 +33,174 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------ index
 
-    def index(self, full: bool = False) -> dict:
-        """Reads the tree, keeps unchanged documents, rebuilds the others with chunks, entities and mentions."""
-        tree = markdown.files(self.spark, str(self.root / "memory"))
-        docs = markdown.memory_documents(tree)
-        if (self.root / "meetings").is_dir():
-            meetings = markdown.meeting_documents(markdown.files(self.spark, str(self.root / "meetings")).withColumn("path", F.concat(F.lit("meetings/"), "path")))
-            docs = docs.unionByName(meetings, allowMissingColumns=True)
-        old = self.store.read("documents")
-        diff = {r["status"]: r["count"] for r in incremental.changes(docs, old).groupBy("status").count().collect()}
-        if not full and not diff:
+    def _tree(self, paths: list[str] | None = None) -> DataFrame:
+        """(path, text) of all files, or of some; those of meetings/ have that in front."""
+        memory, meetings = str(self.root / "memory"), self.root / "meetings"
+        own = others = None
+        if paths is not None:
+            own = [p for p in paths if not p.startswith("meetings/") and (self.root / "memory" / p).is_file()]
+            others = [p.removeprefix("meetings/") for p in paths if p.startswith("meetings/") and (self.root / p).is_file()]
+        tree = markdown.files(self.spark, memory, only=own).filter(~F.col("path").startswith("meetings/"))
+        if meetings.is_dir():
+            tree = tree.unionByName(markdown.files(self.spark, str(meetings), only=others).withColumn("path", F.concat(F.lit("meetings/"), "path")))
+        return tree
+
+    def index(self, full: bool = False, paths: list[str] | None = None) -> dict:
+        """Brings the index up to date: with the files that changed or vanished, with some files, or (full) anew.
+
+        Only changed documents are parsed, cut into chunks, tokenised and embedded; their rows come as a batch beside those
+        of the others. Mentions are sought in changed documents, and in all where a name changed. What is found equals
+        what a full build finds."""
+        known = self.store.read("documents")
+        if paths is not None:
+            known = known.filter(F.col("path").isin(list(paths)))
+        tree = self._tree(paths).withColumn("content_hash", F.sha2("text", 256))
+        fresh = tree if full else tree.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+        dead = known if full else known.join(tree, ["path", "content_hash"], "left_anti")
+        dead = dead.select("id", "path", "doc_type", "pinned")
+        docs = self._parsed(fresh.drop("content_hash"), dead)
+        before = dead.select("path", F.lit(True).alias("_known"))
+        told = docs.select("path").join(before, "path", "full").join(docs.select("path", F.lit(True).alias("_here")), "path", "left").groupBy().agg(
+            F.count_if(F.col("_known").isNull()).alias("new"), F.count_if(F.col("_known") & F.col("_here")).alias("changed"), F.count_if(F.col("_here").isNull()).alias("gone")).first()
+        self.store.written.clear()
+        if not full and not (told["new"] or told["changed"] or told["gone"]):
             return {"new": 0, "changed": 0, "indexed": 0}
-        taken = old.select("path", F.col("id").alias("_id"), F.col("pinned").alias("_pin"))
-        ids = docs.join(taken, "path", "left").withColumn("id", F.coalesce("_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1))))
-        docs = ids.withColumns({
-            "pinned": F.coalesce("pinned", F.lit(False)) | F.coalesce("_pin", F.lit(False)),
-            "abstract": text.first_sentence(F.col("text"), F.col("title")), "overview": text.first_paragraph(F.col("text")),
-            "indexed_at": F.lit(dt.datetime.combine(self.as_of, dt.time())),
-        })
-        parts = chunking.chunked(docs)
-        summary = chunking.summaries(docs).withColumn("chunk_index", F.lit(1_000_000))
+        gone = dead.select("id")
+        new = self._put("texts", docs, gone, full)
+        parts = chunking.chunked(new)
+        summary = chunking.summaries(new).withColumn("chunk_index", F.lit(1_000_000))
         chunks = parts.unionByName(summary).withColumn("chunk_id", F.xxhash64("document_id", "chunk_index").bitwiseAND(F.lit((1 << 62) - 1)))
-        if "attendees" not in docs.columns:
-            docs = docs.withColumn("attendees", F.lit(None).cast("array<struct<name:string,email:string,company:string>>"))
-        self._write_entities(docs, tree)
-        seeds = self.store.read("entities")
-        hidden = self.store.read("suppressions").join(docs.select("path", F.col("id").alias("document_id")), "path").join(seeds.select(F.lower("name").alias("entity"), F.col("id").alias("entity_id")), "entity")
-        manual = self.store.read("mentions").filter("mention_type = 'manual'").select("entity_id", "document_id", "mention_type")
-        manual = manual.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("entity_id", "document_id", "mention_type")
-        sought = docs.select("id", "title", "tags", "text", F.transform("attendees", lambda p: p["name"]).alias("attendees"))
-        found = mentions.find(sought, seeds, hidden.select("document_id", "entity_id"))
-        came = self.store.read("attendees").filter("entity_id is not null").select("entity_id", "document_id", F.lit("attendee").alias("mention_type")).distinct()
-        came = linking.without_suppressed(came, hidden.select("document_id", "entity_id")).select(*found.columns)
-        self.store.write("mentions", found.unionByName(came).unionByName(manual).distinct())
-        last = relational.last_mentioned(self.store.read("mentions"), docs).withColumnRenamed("entity_id", "id")
-        self.store.write("entities", seeds.drop("last_mentioned_at").join(last, "id", "left"))
+        chunks = self._put("chunks", chunks, gone, full)
+        self._put_search_index(chunks, gone, full)
+        touched = new.select("path", "doc_type", (F.size(F.coalesce("attendees", F.array())) > 0).alias("met")).unionByName(dead.select("path", "doc_type", F.lit(False).alias("met")))
+        kind = touched.agg(
+            F.max(F.col("doc_type").isin("memory_person", "memory_project") | F.col("path").startswith("context/") | F.col("met") | F.col("path").startswith("meetings/")).alias("entities"),
+            F.max(F.col("path") == "glossary.md").alias("glossary")).first()
+        renamed = full
+        if full or kind["entities"] or any(self.root.glob("*.md")):
+            renamed = self._write_entities() or full
+            self._write_facts(touched.select("path"), full)
+        self._put_mentions(new, gone, renamed)
+        last = relational.last_mentioned(self.store.read("mentions"), self.store.read("texts")).withColumnRenamed("entity_id", "id")
+        self.store.write("entities", self.store.read("entities").drop("last_mentioned_at").join(last, "id", "left"))
         self._write_profiles()
-        facts = markdown.dated_facts(docs).join(seeds.select(F.col("source_path").alias("path"), F.col("id").alias("entity_id")), "path")
-        facts = self._numbered(facts.withColumn("id", _fact_key()), seeds)
-        self.store.write("glossary", markdown.glossary_terms(tree.filter("path = 'glossary.md'")))
-        self.store.write("facts", facts)
-        self.store.write("chunks", chunks)
-        self._write_search_index()
-        self.store.write("documents", docs.join(parts.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left"))
-        return {"new": diff.get("new", 0), "changed": diff.get("changed", 0), "indexed": sum(diff.values())}
-
-    def _write_entities(self, docs: DataFrame, tree: DataFrame) -> None:
+        if full or kind["glossary"]:
+            self.store.write("glossary", markdown.glossary_terms(self._tree(["glossary.md"])))
+        counts = chunks.filter(F.col("chunk_index") < 1_000_000).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count"))
+        listed = new.join(counts, "id", "left").withColumns({
+            "abstract": text.first_sentence(F.col("text"), F.col("title")), "overview": text.first_paragraph(F.col("text")),
+            "indexed_at": F.lit(dt.datetime.combine(self.as_of, dt.time()))})
+        self._put("documents", listed, gone, full)  # last, so that a build that broke off is done again
+        return {"new": told["new"], "changed": told["changed"], "indexed": told["new"] + told["changed"]}
+
+    def reindex_file(self, path: str) -> dict:
+        """Brings one file's document up to date, or removes it with its file."""
+        return self.index(paths=[path])
+
+    def reindex_stale(self) -> list[str]:
+        """Indexes the known files whose content changed; new files wait for index()."""
+        stale = self.stale_files()
+        if stale:
+            self.index(paths=stale)
+        return stale
+
+    def _put(self, name: str, df: DataFrame, gone: DataFrame, full: bool) -> DataFrame:
+        """Stores a batch's rows, in place of the documents that are gone or of all; returns them."""
+        return self.store.read(name, self.store.write(name, df) if full else self.store.replace(name, df, gone))
+
+    def _parsed(self, tree: DataFrame, before: DataFrame) -> DataFrame:
+        """Documents of files, pinned as their file says or as they were."""
+        docs = markdown.memory_documents(tree)
+        if (self.root / "meetings").is_dir():
+            docs = docs.unionByName(markdown.meeting_documents(tree.filter(F.col("path").startswith("meetings/"))), allowMissingColumns=True)
+        docs = docs.join(before.select("path", F.col("pinned").alias("_pin")), "path", "left")
+        return docs.withColumns({
+            "id": F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1)), "pinned": F.coalesce("pinned", F.lit(False)) | F.coalesce("_pin", F.lit(False)),
+        }).drop("_pin")
+
+    def _put_search_index(self, chunks: DataFrame, gone: DataFrame, full: bool) -> None:
+        """Postings of words and of stems, lengths, and vectors of chunks; a search embeds nothing but the query."""
+        owner = chunks.select("chunk_id", "document_id")
+        words = self._put("postings", fts.postings(chunks).join(owner, "chunk_id"), gone, full)
+        self._put("stemmed", fts.stemmed(words).join(owner, "chunk_id"), gone, full)
+        self._put("lengths", fts.lengths(chunks).join(owner, "chunk_id"), gone, full)
+        self._put("vectors", chunks.select("chunk_id", "document_id", self.embed(F.col("content")).alias("embedding")), gone, full)
+
+    def _put_mentions(self, new: DataFrame, gone: DataFrame, everywhere: bool) -> None:
+        """Mentions in the new documents, or in all; those set by hand stay."""
+        texts, seeds = self.store.read("texts"), self.store.read("entities")
+        docs = texts if everywhere else new
+        hidden = self.store.read("suppressions").join(docs.select("path", F.col("id").alias("document_id")), "path")
+        hidden = hidden.join(seeds.select(F.lower("name").alias("entity"), F.col("id").alias("entity_id")), "entity").select("document_id", "entity_id")
+        there = docs.select(F.col("id").alias("document_id"))
+        columns = ["entity_id", "document_id", "mention_type"]
+        manual = self.store.read("mentions").filter("mention_type = 'manual'").join(there, "document_id", "left_semi").select(*columns)
+        sought = docs.select("id", "title", "tags", "text", F.transform("attendees", lambda p: p["name"]).alias("attendees"))
+        found = mentions.find(sought, seeds, hidden).select(*columns)
+        came = self.store.read("attendees").filter("entity_id is not null").join(there, "document_id", "left_semi")
+        came = came.select("entity_id", "document_id", F.lit("attendee").alias("mention_type")).distinct()
+        came = linking.without_suppressed(came, hidden).select(*columns)
+        every = found.unionByName(came).unionByName(manual).distinct()
+        if everywhere:
+            self.store.write("mentions", every)
+        else:
+            self.store.replace("mentions", every, gone.unionByName(there.toDF("id")))
+
+    def _write_facts(self, touched: DataFrame, full: bool) -> None:
+        """Facts of touched files with the numbers that they had, new ones numbered after those; others stay."""
+        old, owners = self.store.read("facts"), self.store.read("entities").filter("source_path is not null")
+        owners = owners.select(F.col("source_path").alias("path"), F.col("id").alias("entity_id"))
+        if not full:
+            owners = owners.join(touched.distinct(), "path", "left_semi")
+        found = markdown.dated_facts(self.store.read("texts").join(owners.select("path"), "path", "left_semi")).join(owners, "path").withColumn("id", _fact_key())
+        had = old.groupBy("id").agg(F.min("seq").alias("seq"), F.min("created_at").alias("created_at"))
+        known = found.dropDuplicates(["id"]).join(had, "id", "left")
+        new = relational.with_seq(known.filter("seq is null").drop("seq"), old)
+        rest = old.join(owners.select("entity_id"), "entity_id", "left_anti")
+        columns = ["id", "entity_id", "fact_text", "fact_date", "created_at", "seq"]
+        self.store.write("facts", known.filter("seq is not null").select(*columns).unionByName(new.select(*columns)).unionByName(rest.select(*columns)))
+
+    def _write_entities(self) -> bool:
         """Entities of profiles, of the list of teams, of the alias tables in the project's own files, and attendees that are
-        none of these; and who attended what."""
+        none of these; and who attended what. Says whether a name, an alias or a source id changed."""
+        texts, old = self.store.read("texts"), self.store.read("entities")
         key = F.xxhash64("name", F.concat(F.lit("memory_"), "entity_type")).bitwiseAND(F.lit((1 << 62) - 1))
-        own = markdown.profiles(docs.filter(F.col("doc_type").isin("memory_person", "memory_project")))
-        own = own.join(docs.select("path", "doc_type"), "path").withColumn("entity_type", F.regexp_replace("doc_type", "memory_", "")).drop("doc_type")
+        own = markdown.profiles(texts.filter(F.col("doc_type").isin("memory_person", "memory_project")))
+        own = own.join(texts.select("path", "doc_type"), "path").withColumn("entity_type", F.regexp_replace("doc_type", "memory_", "")).drop("doc_type")
         if any(self.root.glob("*.md")):
             table = markdown.alias_table(markdown.files(self.spark, str(self.root), below=False))
             people = markdown.with_alias_table(own.filter("entity_type = 'person'"), table).withColumn("entity_type", F.lit("person"))
             own = people.unionByName(own.filter("entity_type <> 'person'"))
-        groups = markdown.teams(tree).withColumn("entity_type", F.lit("team"))
-        pins = self.store.read("entities").select("id", F.col("pinned").alias("_pin"), F.col("updated_at").alias("updated_at"))
+        told = [str(p.relative_to(self.root / "memory")) for p in sorted((self.root / "memory" / "context").glob("*.md"))]
+        groups = markdown.teams(markdown.files(self.spark, str(self.root / "memory"), only=told)).withColumn("entity_type", F.lit("team"))
+        pins = old.select("id", F.col("pinned").alias("_pin"), F.col("updated_at").alias("updated_at"))
         seeds = own.unionByName(groups, allowMissingColumns=True).withColumn("id", key).dropDuplicates(["id"]).join(pins, "id", "left")
         seeds = seeds.withColumns({"pinned": F.coalesce("_pin", "pinned", F.lit(False)), "source_path": F.col("path")})
         self.store.write("entities", seeds)
         seeds = self.store.read("entities")
-        present = docs.select(F.col("id").alias("document_id"), F.explode("attendees").alias("p")).select("document_id", "p.name", "p.email").filter("name is not null or email is not null").distinct()
+        present = texts.select(F.col("id").alias("document_id"), F.explode("attendees").alias("p")).select("document_id", "p.name", "p.email").filter("name is not null or email is not null").distinct()
         matched = linking.link_attendees(present, seeds.withColumn("email", F.element_at("metadata", F.lit("email"))))
         unknown = matched.filter("matched_by = 'created' and name is not null and trim(name) <> ''").groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"), F.min("email").alias("email"))
         first = F.when(F.col("name").contains(" "), F.get(F.split("name", r"\s+"), F.lit(0)))
-        told = F.when(F.col("email").isNotNull(), F.create_map(F.lit("email"), F.col("email"))).otherwise(F.create_map().cast("map<string,string>"))
-        new = unknown.select("low", "name", F.array_compact(F.array(first)).alias("aliases"), told.alias("metadata"), F.lit("person").alias("entity_type")).withColumn("id", key).join(pins, "id", "left")
+        known = F.when(F.col("email").isNotNull(), F.create_map(F.lit("email"), F.col("email"))).otherwise(F.create_map().cast("map<string,string>"))
+        new = unknown.select("low", "name", F.array_compact(F.array(first)).alias("aliases"), known.alias("metadata"), F.lit("person").alias("entity_type")).withColumn("id", key).join(pins, "id", "left")
         ids = new.select(F.lower("name").alias("low"), F.col("id").alias("new_id"))
         attended = matched.withColumn("low", F.lower("name")).join(ids, "low", "left").withColumn("entity_id", F.coalesce("entity_id", "new_id"))
         self.store.write("attendees", attended)
         self.store.write("entities", seeds.unionByName(new.withColumn("pinned", F.coalesce("_pin", F.lit(False))).drop("low", "_pin"), allowMissingColumns=True))
+        named = lambda e: e.select("id", "name", "entity_type", "aliases")
+        now = named(self.store.read("entities"))
+        return not (now.exceptAll(named(old)).isEmpty() and named(old).exceptAll(now).isEmpty())
 
     def _write_profiles(self) -> None:
-        """A text and a vector for each entity: its name, type, aliases, metadata and five newest facts."""
+        """A text and a vector for each entity: its name, type, aliases, metadata and five newest facts. A text that was
+        embedded before keeps its vector."""
         texts = relational.profile_texts(self.store.read("entities"), self.store.read("facts"))
-        self.store.write("profiles", texts.withColumn("embedding", self.embed(F.col("profile"))))
+        had = self.store.read("profiles").select("id", "profile", "embedding")
+        joined = texts.join(had, ["id", "profile"], "left")
+        kept = joined.filter("embedding is not null")
+        new = joined.filter("embedding is null").withColumn("embedding", self.embed(F.col("profile")))
+        self.store.write("profiles", kept.unionByName(new))
 
     def search_entities(self, query: str, limit: int = 5, entity_type: str | None = None, threshold: float = 0.0) -> DataFrame:
         """(id, name, entity_type, score, profile): entities whose profiles are most like a text."""
@@ -123,18 +215,10 @@ class KnowledgeBase:
         """Names and aliases most like a name that wasn't found."""
         return [r["name"] for r in snippets.suggested(self.store.read("entities").select("name"), name, limit).collect()]
 
-    def _write_search_index(self) -> None:
-        """Postings in order of their terms, of words and of stems, lengths, and vectors, all of the stored chunks; a search
-        reads its terms' parts and embeds nothing but the query."""
-        chunks = self.store.read("chunks")
-        self.store.write("postings", fts.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-        self.store.write("stemmed", fts.stemmed(self.store.read("postings")).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-        self.store.write("lengths", fts.lengths(chunks).join(chunks.select("chunk_id", "document_id"), "chunk_id"))
-        self.store.write("vectors", chunks.select("chunk_id", "document_id", self.embed(F.col("content")).alias("embedding")))
-
     def stale_files(self) -> list[str]:
-        docs = markdown.memory_documents(markdown.files(self.spark, str(self.root / "memory")))
-        return sorted(r["path"] for r in incremental.stale_files(docs, self.store.read("documents")).collect())
+        """Known files of the memory folder whose content differs from what is indexed."""
+        now = self._tree().filter(~F.col("path").startswith("meetings/")).withColumn("content_hash", F.sha2("text", 256))
+        return sorted(r["path"] for r in incremental.stale_files(now, self.store.read("documents")).collect())
 
     def get_index_stats(self) -> dict:
         row = relational.index_stats(*(self.store.read(t) for t in ("documents", "chunks", "entities", "mentions", "facts"))).first()
@@ -184,18 +268,6 @@ class KnowledgeBase:
         self.store.write("entities", self.store.read("entities").withColumn("pinned", pinned))
         return bool(self.store.read("entities").filter(F.col("id") == key).first()["pinned"])
 
-    def _numbered(self, found: DataFrame, seeds: DataFrame) -> DataFrame:
-        """Facts of the files with the numbers that they had, new ones numbered after those, and the stored facts of
-        entities without a file."""
-        old = self.store.read("facts")
-        had = old.groupBy(F.col("id")).agg(F.min("seq").alias("seq"), F.min("created_at").alias("created_at"))
-        known = found.dropDuplicates(["id"]).join(had, "id", "left")
-        new = relational.with_seq(known.filter("seq is null").drop("seq"), old)
-        alone = old.join(seeds.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
-        columns = ["id", "entity_id", "fact_text", "fact_date", "created_at", "seq"]
-        every = known.filter("seq is not null").select(*columns).unionByName(new.select(*columns)).unionByName(alone.select(*columns))
-        return every.withColumn("seq", F.col("seq").cast(old.schema["seq"].dataType))
-
     def _profile(self, key: int) -> str | None:
         """The file of an entity, which is the truth about its facts."""
         row = self.store.read("entities").filter(F.col("id") == key).first()
@@ -252,7 +324,7 @@ class KnowledgeBase:
         if not slug or self._file(path).exists():
             raise ValueError(f"there is a file for {name!r} already" if slug else f"no file name in {name!r}")
         self.write_memory_file(path, wikilinks.yaml_head(name, self._head(kind, list(aliases), metadata or {}, pinned)) + body)
-        self.index()
+        self.index(paths=[path])
         return path
 
     @staticmethod
@@ -282,7 +354,7 @@ class KnowledgeBase:
         self.write_memory_file(path, wikilinks.yaml_head(row["name"], head) + rest)
         if pinned is not None:
             self.store.write("entities", self.store.read("entities").withColumn("pinned", F.when(F.col("id") == key, F.lit(pinned)).otherwise(F.col("pinned"))))
-        self.index()
+        self.index(paths=[path])
 
     def delete_entity(self, name: str) -> None:
         """Removes an entity with its file, mentions and facts."""
@@ -293,7 +365,7 @@ class KnowledgeBase:
         for table, column in (("mentions", "entity_id"), ("facts", "entity_id"), ("attendees", "entity_id"), ("profiles", "id"), ("entities", "id")):
             self.store.write(table, self.store.read(table).filter(F.coalesce(F.col(column) != key, F.lit(True))))
         if path is not None:
-            self.index()
+            self.index(paths=[path])
 
     def add_wikilinks(self, apply: bool = False) -> list[str]:
         """Files in which names of entities would be, or with `apply` are, linked."""
@@ -395,7 +467,7 @@ class KnowledgeBase:
             name = f"notes/{slug}-{n}.md"
         head = ["---", f"title: {title}", f"date: {date or self.as_of}", f"tags: [{', '.join(tags)}]", *(["pinned: true"] if pin else []), "---", ""]
         self.write_memory_file(name, "\n".join(head) + body + "\n")
-        self.index()
+        self.index(paths=[name])
         return name
 
     def edit_note(self, target: str, body: str | None = None, append: str | None = None, insert_under: tuple[str, str] | None = None) -> None:
@@ -408,17 +480,11 @@ class KnowledgeBase:
         if insert_under:
             rest = inserted_under(rest, *insert_under)
         self.write_memory_file(target, head + rest)
-        self.index()
+        self.index(paths=[target])
 
     def delete_note(self, path: str) -> None:
-        doc = self.store.read("documents").filter(F.col("path") == path).first()
         self._file(path).unlink()
-        if doc is not None:
-            gone = self.store.read("lengths").filter(F.col("document_id") == doc["id"]).select("chunk_id")  # one document's
-            for name in ("postings", "stemmed"):
-                self.store.write(name, self.store.read(name).join(F.broadcast(gone), "chunk_id", "left_anti").repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-            for name, key in (("documents", "id"), ("chunks", "document_id"), ("lengths", "document_id"), ("vectors", "document_id"), ("mentions", "document_id"), ("attendees", "document_id")):
-                self.store.write(name, self.store.read(name).filter(F.col(key) != doc["id"]))
+        self.index(paths=[path])
 
     # ------------------------------------------------------------ glossary, correction
 
@@ -432,7 +498,7 @@ class KnowledgeBase:
         known = bool(row.search(old))
         new = row.sub(lambda m: f"| {term} | {expansion} |", old) if known else old.rstrip("\n") + f"\n| {term} | {expansion} |\n"
         self.write_memory_file("glossary.md", new)
-        self.index()
+        self.index(paths=["glossary.md"])
         return known
 
     def correct_term(self, term: str, replacement: str, apply: bool = False, scope: str | None = None, word_boundary: bool = False, ignore_case: bool = True) -> list[dict]:
@@ -455,7 +521,7 @@ class KnowledgeBase:
             line = f"[{dt.datetime.now(dt.timezone.utc).isoformat()}] '{term}' → '{replacement}' | {len(after)} files, {total} replacements | paths: {', '.join(sorted(after))}\n"
             with open(self.root / "corrections.log", "a", encoding="utf-8") as log:
                 log.write(line)
-            self.index()
+            self.index(paths=sorted(after))
         return found
 
     # ------------------------------------------------------------ search

@@ -124,7 +124,7 @@ def document_frequency(index: DataFrame, chunks: DataFrame, terms: list[str]) ->
     """(term, n_docs): documents with a term, 0 for terms that none has."""
     spark = index.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # the query's words
-    found = index.join(wanted, "term", "left_semi").join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy("term").agg(F.countDistinct("document_id").alias("n"))
+    found = index.select("term", "chunk_id").join(wanted, "term", "left_semi").join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy("term").agg(F.countDistinct("document_id").alias("n"))
     return wanted.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"))
 
 

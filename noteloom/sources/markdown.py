@@ -24,9 +24,14 @@ FRONTMATTER = (
 )
 
 
-def files(spark: SparkSession, root: str, below: bool = True) -> DataFrame:
-    """(path below root, text, modified) of every markdown file, or of those right in root."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") if below else spark.read.text(root.rstrip("/") + "/*.md", wholetext=True)
+def files(spark: SparkSession, root: str, below: bool = True, only: list[str] | None = None) -> DataFrame:
+    """(path below root, text, modified) of every markdown file, of those right in root, or of some by name (all there)."""
+    if only is not None:
+        if not only:
+            return spark.createDataFrame([], "path string, text string, modified timestamp")
+        raw = spark.read.text([f"{root.rstrip('/')}/{p}" for p in only], wholetext=True)
+    else:
+        raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") if below else spark.read.text(root.rstrip("/") + "/*.md", wholetext=True)
     base = F.lit(root.rstrip("/") + "/")
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     return raw.select(F.regexp_replace(full, F.concat(F.lit("^.*?"), F.lit("\\Q"), base, F.lit("\\E")), "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
