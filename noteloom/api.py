@@ -57,16 +57,16 @@ class KnowledgeBase:
         tree = self._tree(paths).withColumn("content_hash", F.sha2("text", 256))
         fresh = tree if full else tree.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
         dead = known if full else known.join(tree, ["path", "content_hash"], "left_anti")
-        dead = dead.select("id", "path", "doc_type", "pinned")
-        docs = self._parsed(fresh.drop("content_hash"), dead)
-        before = dead.select("path", F.lit(True).alias("_known"))
-        told = docs.select("path").join(before, "path", "full").join(docs.select("path", F.lit(True).alias("_here")), "path", "left").groupBy().agg(
-            F.count_if(F.col("_known").isNull()).alias("new"), F.count_if(F.col("_known") & F.col("_here")).alias("changed"), F.count_if(F.col("_here").isNull()).alias("gone")).first()
+        # The files are read twice: for what is gone, and for the texts; all else comes from these two tables.
         self.store.written.clear()
-        if not full and not (told["new"] or told["changed"] or told["gone"]):
+        self.store.write("removed", dead)
+        dead = self.store.read("removed")
+        gone, n_gone = dead.select("id"), self.store.written["removed"]
+        new = self._put("texts", self._parsed(fresh.drop("content_hash"), dead), gone, full)
+        n_texts = self.store.written["texts"]
+        if not full and not n_gone and not n_texts:
             return {"new": 0, "changed": 0, "indexed": 0}
-        gone = dead.select("id")
-        new = self._put("texts", docs, gone, full)
+        n_changed = new.join(dead, "path", "left_semi").count() if n_gone and n_texts else 0
         parts = chunking.chunked(new)
         summary = chunking.summaries(new).withColumn("chunk_index", F.lit(1_000_000))
         chunks = parts.unionByName(summary).withColumn("chunk_id", F.xxhash64("document_id", "chunk_index").bitwiseAND(F.lit((1 << 62) - 1)))
@@ -91,7 +91,7 @@ class KnowledgeBase:
             "abstract": text.first_sentence(F.col("text"), F.col("title")), "overview": text.first_paragraph(F.col("text")),
             "indexed_at": F.lit(dt.datetime.combine(self.as_of, dt.time()))})
         self._put("documents", listed, gone, full)  # last, so that a build that broke off is done again
-        return {"new": told["new"], "changed": told["changed"], "indexed": told["new"] + told["changed"]}
+        return {"new": n_texts - n_changed, "changed": n_changed, "indexed": n_texts}
 
     def reindex_file(self, path: str) -> dict:
         """Brings one file's document up to date, or removes it with its file."""
@@ -119,12 +119,28 @@ class KnowledgeBase:
         }).drop("_pin")
 
     def _put_search_index(self, chunks: DataFrame, gone: DataFrame, full: bool) -> None:
-        """Postings of words and of stems, lengths, and vectors of chunks; a search embeds nothing but the query."""
+        """Postings of words and of stems, lengths, bounds of blocks, and vectors of chunks; a search embeds nothing but the
+        query. Bounds of what is gone stay; its numbers are taken off."""
         owner = chunks.select("chunk_id", "document_id")
-        words = self._put("postings", fts.postings(chunks).join(owner, "chunk_id"), gone, full)
-        self._put("stemmed", fts.stemmed(words).join(owner, "chunk_id"), gone, full)
-        self._put("lengths", fts.lengths(chunks).join(owner, "chunk_id"), gone, full)
+        lost = [fts.impacts(self.store.read(t).join(gone.toDF("document_id"), "document_id", "left_semi")).withColumn("kind", F.lit(t)).withColumn("n", -F.col("n")) for t in ("postings", "stemmed")]
+        lost.append(_totals(self.store.read("lengths").join(gone.toDF("document_id"), "document_id", "left_semi"), -1))
+        sizes = self._put("lengths", fts.lengths(chunks).join(owner, "chunk_id"), gone, full)
+        words = self._put("postings", fts.blocked(fts.postings(chunks), sizes).join(owner, "chunk_id"), gone, full)
+        stems = self._put("stemmed", fts.blocked(fts.stemmed(words), sizes).join(owner, "chunk_id"), gone, full)
         self._put("vectors", chunks.select("chunk_id", "document_id", self.embed(F.col("content")).alias("embedding")), gone, full)
+        come = [fts.impacts(words).withColumn("kind", F.lit("postings")), fts.impacts(stems).withColumn("kind", F.lit("stemmed")), _totals(sizes, 1)]
+        change = come[0]
+        for part in come[1:] + ([] if full else lost):
+            change = change.unionByName(part, allowMissingColumns=True)
+        if full:
+            self.store.write("impacts", change)
+        else:
+            self.store.extend("impacts", change)
+
+    def _corpus(self) -> tuple[int, float]:
+        """The number of chunks and their average length."""
+        row = self.store.read("impacts").filter("kind = 'corpus'").agg(F.sum("n").alias("n"), F.sum("least").alias("total")).first()
+        return row["n"] or 0, (row["total"] or 0) / (row["n"] or 1)
 
     def _put_mentions(self, new: DataFrame, gone: DataFrame, everywhere: bool) -> None:
         """Mentions in the new documents, or in all; those set by hand stay."""
@@ -545,14 +561,17 @@ class KnowledgeBase:
         if stem:
             from noteloom.functions.stem import stem as porter
 
-            wanted = " ".join(porter(w) for w in fts.clean_query(query).lower().split())
-        index = self.store.read("stemmed" if stem else "postings").filter(F.col("term").isin(fts.query_terms(wanted, extra)))
+            wanted = " ".join(w if w.endswith("*") else porter(w) for w in fts.clean_query(query).lower().split())
+        kind = "stemmed" if stem else "postings"
+        index, bounds, corpus = self.store.read(kind), None, None
         sizes, known = self.store.read("lengths"), self.store.read("vectors")
         if path is not None:
             within = relational.list_documents(docs, path=path).select(F.col("id").alias("document_id"))
             sizes, known = sizes.join(within, "document_id", "left_semi"), known.join(within, "document_id", "left_semi")
             index = index.join(sizes.select("chunk_id"), "chunk_id", "left_semi")
-        hits = fts.search(index, sizes.select("chunk_id", "dl"), wanted, 5 * limit, extra)
+        else:
+            bounds, corpus = self.store.read("impacts").filter(F.col("kind") == kind), self._corpus()
+        hits = fts.search(index, sizes.select("chunk_id", "dl"), wanted, 5 * limit, extra, bounds, corpus)
         near = None
         if not fast and not ranking.strong_signal(hits).first()["strong"]:
             q = self.spark.range(1).select(self.embed(F.lit(wanted)).alias("q")).first()["q"]
@@ -625,6 +644,11 @@ def _advice(query: str, hits: list[dict], near: list[dict], fast: bool, filtered
     return found or ["broaden the query or remove filters"]
 
 
+def _totals(sizes: DataFrame, sign: int) -> DataFrame:
+    """One row of the corpus: its number of chunks, and their lengths together."""
+    return sizes.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("least")).withColumn("kind", F.lit("corpus"))
+
+
 def _fact_key():
     """The id of a fact: of its entity, day and text."""
     return F.xxhash64("entity_id", "fact_date", "fact_text").bitwiseAND(F.lit((1 << 62) - 1))

@@ -1,7 +1,10 @@
-"""Full-text search: a positional index, BM25 over two weighted columns, and the query variants."""
+"""Full-text search: a positional index, BM25 over two weighted columns, top hits by block bounds, and query variants.
+
+A term that ends with `*` stands for the range of the vocabulary that begins with it."""
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -18,23 +21,44 @@ MIN_IDF = 1e-6
 NEAR_GAP = 10
 
 
+def _any_of(term, wanted: list[str]):
+    """Whether a token is one of the terms, or in the range of one with a star."""
+    plain, stars = [t for t in wanted if not t.endswith("*")], [t[:-1] for t in wanted if t.endswith("*")]
+    fits = term.isin(*plain) if plain else F.lit(False)
+    for p in stars:
+        fits = fits | term.startswith(p)
+    return fits
+
+
+def looked_up(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The index's rows of a query's terms; those of a range come under the term with the star."""
+    plain, columns = [t for t in terms if not t.endswith("*")], ["term", "chunk_id", "col", "tf", "positions"]
+    found = index.filter(F.col("term").isin(*plain)).select(*columns) if plain or not terms else None
+    for t in dict.fromkeys(t for t in terms if t.endswith("*")):
+        one = index.filter(F.col("term").startswith(t[:-1])).groupBy("chunk_id", "col").agg(
+            F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        one = one.select(F.lit(t).alias("term"), *columns[1:])
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading); of some terms only, if given,
     for a query on text that has no stored index: these are sought in each text's tokens, and nothing is shuffled."""
     columns = F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in WEIGHTS])
     texts = chunks.select("chunk_id", F.explode(columns).alias("c"))
     if terms is not None:
-        wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-        hits = F.filter(F.transform("c.tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda h: h["term"].isin(*terms))
-        found = texts.select("chunk_id", "c.col", hits.alias("hits")).filter(F.size("hits") > 0).withColumn("term", F.explode(wanted))
+        hits = F.filter(F.transform("c.tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda h: _any_of(h["term"], terms))
+        found = texts.select("chunk_id", "c.col", hits.alias("hits")).filter(F.size("hits") > 0)
+        found = found.withColumn("term", F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))))
         found = found.withColumn("positions", F.transform(F.filter("hits", lambda h: h["term"] == F.col("term")), lambda h: h["at"]))
-        return found.filter(F.size("positions") > 0).select("term", "chunk_id", "col", F.size("positions").alias("tf"), "positions")
+        return found.select("term", "chunk_id", "col", F.size("positions").alias("tf"), "positions")
     places = texts.select("chunk_id", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
     return places.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def query_terms(query: str, expansions: list[str] = ()) -> list[str]:
-    """All tokens that the variants of a query look up."""
+    """All tokens that the variants of a query look up, those with a star as they are."""
     return sorted({w for _, leaves in variants(query, list(expansions)) for words in leaves.values() for w in words})
 
 
@@ -70,6 +94,7 @@ def leaf_frequencies(index: DataFrame, leaves: dict[str, list[str]]) -> DataFram
     spark = index.sparkSession
     rows = [(leaf, i, t, len(tokens)) for leaf, tokens in leaves.items() for i, t in enumerate(tokens)]
     wanted = F.broadcast(spark.createDataFrame(rows, "leaf string, at int, term string, n int"))  # the query's words
+    index = looked_up(index, sorted({r[2] for r in rows}))
     places = index.join(wanted, "term").select("leaf", "n", "chunk_id", "col", "at", F.explode("positions").alias("p"))
     starts = places.groupBy("leaf", "n", "chunk_id", "col", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("matched"))
     found = starts.filter("matched = n").groupBy("leaf", "chunk_id", "col").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("start")).alias("starts"))
@@ -103,20 +128,106 @@ def bm25(index: DataFrame, sizes: DataFrame, leaves: dict[str, list[str]], mode:
 
 
 def _near(per_column: DataFrame, leaves: dict[str, list[str]], gap: int) -> DataFrame:
-    """Keeps the occurrences in groups: for two or more leaves, those with every other leaf within the gap."""
-    long = {k: len(v) for k, v in leaves.items()}
-    size = F.create_map(*[F.lit(x) for kv in long.items() for x in kv])
+    """Keeps the occurrences in groups: for two or more leaves, those with every other leaf within the gap. One pass over
+    the occurrences of a column in order: the nearest of another leaf is the last before or the first behind."""
+    size = F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (k, len(v))])
     own = per_column.select("leaf", "chunk_id", "col", F.explode("starts").alias("s")).withColumn("e", F.col("s") + size[F.col("leaf")])
-    other = own.select(F.col("leaf").alias("leaf2"), "chunk_id", "col", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    between = F.greatest(F.col("s2") - F.col("e"), F.col("s") - F.col("e2"))
-    pairs = own.join(other, ["chunk_id", "col"]).filter((F.col("leaf") != F.col("leaf2")) & (between <= gap))
-    kept = pairs.groupBy("leaf", "chunk_id", "col", "s").agg(F.countDistinct("leaf2").alias("others")).filter(F.col("others") == len(leaves) - 1)
+    w = Window.partitionBy("chunk_id", "col").orderBy("s", "leaf")
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    together = F.lit(True)
+    for k, leaf in enumerate(leaves):
+        is_leaf = F.col("leaf") == leaf
+        own = own.withColumns({f"_b{k}": F.max(F.when(is_leaf, F.col("e"))).over(before), f"_a{k}": F.min(F.when(is_leaf, F.col("s"))).over(behind)})
+        within = (F.coalesce(F.col("s") - F.col(f"_b{k}"), F.lit(gap + 1)) <= gap) | (F.coalesce(F.col(f"_a{k}") - F.col("e"), F.lit(gap + 1)) <= gap)
+        together = together & (is_leaf | within)
     weight = F.when(F.col("col") == "heading", WEIGHTS["heading"]).otherwise(WEIGHTS["content"])
-    return kept.groupBy("leaf", "chunk_id", "col").agg((F.count(F.lit(1)) * F.first(weight)).alias("f"))
+    return own.filter(together).groupBy("leaf", "chunk_id", "col").agg((F.count(F.lit(1)) * F.first(weight)).alias("f"))
+
+
+# ---------------------------------------------------------------- top hits by block bounds
+
+#: Chunks of about one length are in blocks together, by their ids in so many for each length.
+SPREAD = 64
+
+
+def block_of(chunk_id, dl):
+    """The block of a chunk; lengths within a block differ by a fifth at most, so its bound is near its scores."""
+    return (F.floor(4 * F.log2(dl + 1)) * SPREAD + F.pmod(F.xxhash64(chunk_id), F.lit(SPREAD))).cast("int")
+
+
+def blocked(index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The index with the length and the block of each row's chunk."""
+    return index.join(sizes.select("chunk_id", "dl"), "chunk_id").withColumn("block", block_of(F.col("chunk_id"), F.col("dl")))
+
+
+def impacts(index: DataFrame) -> DataFrame:
+    """(term, block, n, most, least): for each term and block the number of chunks, the greatest weighted frequency and the
+    least length, from which no score in the block is greater than a bound."""
+    weight = F.when(F.col("col") == "heading", WEIGHTS["heading"]).otherwise(WEIGHTS["content"])
+    each = index.groupBy("term", "block", "chunk_id").agg(F.sum(F.col("tf") * weight).alias("f"), F.first("dl").alias("dl"))
+    return each.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("most"), F.min("dl").alias("least"))
+
+
+def _part(idf, f, dl, avg_dl):
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avg_dl))
+
+
+def top_k(index: DataFrame, bounds: DataFrame, corpus: tuple[int, float], leaves: list[str], k: int, mode: str = "or", gap: int = NEAR_GAP, told: dict | None = None) -> list[tuple[int, float]]:
+    """The k best (chunk_id, raw) for some terms, as bm25() gives them: blocks with the greatest bounds are scored first,
+    then those whose bound reaches the k-th score; others are never read.
+
+    index: with dl and block; bounds: (term, block, n, most, least), rows of one block add up; corpus: number of chunks and
+    average length. The bounds of a query, at most some thousand for a term, come to the driver. told: gets the numbers of
+    blocks that have the terms, and that were read."""
+    n_chunks, avg_dl = corpus
+    rows = bounds.filter(F.col("term").isin(*leaves)).groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).filter("n > 0").collect()
+    df = dict.fromkeys(leaves, 0)
+    for r in rows:
+        df[r["term"]] += r["n"]
+    idf = {t: max(math.log((n_chunks - n + 0.5) / (n + 0.5)), MIN_IDF) for t, n in df.items()}
+    best, chunks, terms = {}, {}, {}
+    for r in rows:
+        b = r["block"]
+        best[b] = best.get(b, 0.0) + _part(idf[r["term"]], r["most"], r["least"], avg_dl)
+        chunks[b] = chunks.get(b, 0) + r["n"]
+        terms[b] = terms.get(b, 0) + 1
+    if mode in ("and", "near"):
+        best = {b: x for b, x in best.items() if terms[b] == len(leaves)}
+    order, found, at, least = sorted(best, key=lambda b: (-best[b], b)), [], 0, 0.0
+    while at < len(order) and (len(found) < k or best[order[at]] >= least - 1e-6):
+        stop, seen = at, 0
+        if len(found) < k:
+            while stop < len(order) and seen < 4 * k:
+                seen += chunks[order[stop]]
+                stop += 1
+        else:
+            while stop < len(order) and best[order[stop]] >= least - 1e-6:
+                stop += 1
+        part = index.filter(F.col("term").isin(*leaves) & F.col("block").isin(order[at:stop]))
+        found += _scored_blocks(part, idf, avg_dl, leaves, k, mode, gap)
+        found = sorted(found, key=lambda h: (round(h[1], 9), h[0]))[:k]
+        at, least = stop, -found[-1][1] if len(found) == k else 0.0
+    if told is not None:
+        told["blocks"], told["read"] = told.get("blocks", 0) + len(order), told.get("read", 0) + at
+    return found
+
+
+def _scored_blocks(part: DataFrame, idf: dict[str, float], avg_dl: float, leaves: list[str], k: int, mode: str, gap: int) -> list[tuple[int, float]]:
+    weight = F.when(F.col("col") == "heading", WEIGHTS["heading"]).otherwise(WEIGHTS["content"])
+    per_column = part.select(F.col("term").alias("leaf"), "chunk_id", "col", F.col("positions").alias("starts"), (F.col("tf") * weight).alias("f"), "dl")
+    if mode == "near":
+        dls = per_column.select("chunk_id", "dl").distinct()
+        per_column = _near(per_column, {t: [t] for t in leaves}, gap).join(dls, "chunk_id")
+    each = per_column.groupBy("leaf", "chunk_id").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
+    of = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
+    scored = each.groupBy("chunk_id").agg((-F.sum(_part(of[F.col("leaf")], F.col("f"), F.col("dl"), F.lit(avg_dl)))).alias("raw"), F.count(F.lit(1)).alias("n"))
+    if mode in ("and", "near"):
+        scored = scored.filter(F.col("n") == len(leaves))
+    return [(r["chunk_id"], r["raw"]) for r in scored.orderBy(F.round("raw", 9), "chunk_id").limit(k).collect()]
 
 
 def expand_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    """(term, df) of the vocabulary that starts with a prefix."""
+    """(term, df) of the range of the vocabulary that starts with a prefix."""
     return index.filter(F.col("term").startswith(prefix)).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
 
 
@@ -137,35 +248,37 @@ def clean_query(query: str) -> str:
 
 
 def variants(query: str, expansions: list[str] = ()) -> list[tuple[str, dict[str, list[str]]]]:
-    """(mode, leaves) in the order in which they are tried: one word, or phrase, near, all, any; then any with expansions."""
-    words = [w for part in clean_query(query).split() for w in re.findall(r"[^\W_]+", part.lower())]
+    """(mode, leaves) in the order in which they are tried: one word, or phrase, near, all, any; then any with expansions.
+    A star at the end of a word stays, but not in the phrase, which is of whole words."""
+    words = []
+    for part in clean_query(query).split():
+        found = re.findall(r"[^\W_]+", part.lower())
+        words += [*found[:-1], found[-1] + "*" * part.endswith("*")] if found else []
     leaves = {w: [w] for w in dict.fromkeys(words)}
     if not words:
         return []
-    found = [("or", leaves)] if len(words) == 1 else [("or", {" ".join(words): words}), ("near", leaves), ("and", leaves), ("or", leaves)]
+    whole = [w.rstrip("*") for w in words]
+    found = [("or", leaves)] if len(words) == 1 else [("or", {" ".join(whole): whole}), ("near", leaves), ("and", leaves), ("or", leaves)]
     extra = [w for e in expansions for w in re.findall(r"[^\W_]+", e.lower())]
     return found + ([("or", leaves | {w: [w] for w in extra})] if extra else [])
 
 
-def search(index: DataFrame, sizes: DataFrame, query: str, limit: int = 50, expansions: list[str] = ()) -> DataFrame:
-    """(chunk_id, raw, score): the variants pooled, each chunk with its least raw score; a variant counts only while
-    those before it have found fewer than `limit` chunks. Scores are scaled over the pool."""
+def search(index: DataFrame, sizes: DataFrame, query: str, limit: int = 50, expansions: list[str] = (), bounds: DataFrame | None = None, corpus: tuple[int, float] | None = None, told: dict | None = None) -> DataFrame:
+    """(chunk_id, raw, score): the best hits of the variants, each chunk with its least raw score, scaled over the pool. A
+    variant runs only if those before it found fewer than `limit` chunks; the `limit` best of each come to the driver.
+    With bounds, variants of plain terms read only the blocks that they need (see top_k)."""
     from noteloom.functions.scoring import minmax_bm25
 
-    plans = variants(query, list(expansions))
-    if not plans:
-        return index.sparkSession.createDataFrame([], "chunk_id long, raw double, score double")
-    every = None
-    for k, (mode, leaves) in enumerate(plans):
-        hits = bm25(index, sizes, leaves, mode).withColumn("variant", F.lit(k))
-        every = hits if every is None else every.unionByName(hits)
-    first = every.groupBy("chunk_id").agg(F.min("variant").alias("variant"))
-    seen = first.groupBy("variant").count()
-    before = Window.orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)  # a row for each variant
-    open_ = seen.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col("before") < limit).select("variant")
-    last = open_.agg(F.max("variant").alias("last"))
-    pooled = every.crossJoin(F.broadcast(last)).filter("variant <= last").groupBy("chunk_id").agg(F.min("raw").alias("raw"))
-    top = pooled.orderBy("raw", "chunk_id").limit(limit)
-    return top.withColumn("score", minmax_bm25(F.col("raw")))
-
-
+    pool: dict[int, float] = {}
+    for mode, leaves in variants(query, list(expansions)):
+        if len(pool) >= limit:
+            break
+        if bounds is not None and all(len(w) == 1 and not w[0].endswith("*") for w in leaves.values()):
+            hits = top_k(index, bounds, corpus, list(leaves), limit, mode, told=told)
+        else:
+            rows = bm25(index, sizes, leaves, mode).orderBy(F.round("raw", 9), "chunk_id").limit(limit).collect()
+            hits = [(r["chunk_id"], r["raw"]) for r in rows]
+        for chunk, raw in hits:
+            pool[chunk] = min(raw, pool.get(chunk, 0.0))
+    top = sorted(pool.items(), key=lambda h: (round(h[1], 9), h[0]))[:limit]
+    return index.sparkSession.createDataFrame(top, "chunk_id long, raw double").withColumn("score", minmax_bm25(F.col("raw")))

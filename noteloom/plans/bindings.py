@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.session import ready
+from noteloom.operators import fts
+from noteloom.session import ready, stored
 
 AS_OF = "2024-12-31"
 LINES = 1_000_000
@@ -68,3 +69,45 @@ def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, n_access, last_access) from view and click events."""
     e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click"))
     return e.groupBy(F.col("user_id").alias("document_id")).agg(F.count(F.lit(1)).alias("n_access"), F.to_date(F.max("ts")).alias("last_access"))
+
+
+#: By application, folder and part: what was stored.
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, part: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _stored:
+        _stored[key] = stored(make(), part)
+    return _stored[key]
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, dl) of the chunks, stored at first use in an application, as a knowledge base stores its own."""
+    return _once(spark, sf_dir, "lengths", lambda: fts.lengths(chunks(spark, sf_dir)))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-text index of all chunks, in order of its terms and blocks, stored at first use in an application."""
+    def made():
+        return fts.blocked(fts.postings(chunks(spark, sf_dir)), lengths(spark, sf_dir)).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "chunk_id")
+
+    return _once(spark, sf_dir, "postings", made)
+
+
+def stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As postings(), of stems."""
+    def made():
+        return fts.blocked(fts.stemmed(postings(spark, sf_dir)), lengths(spark, sf_dir)).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "chunk_id")
+
+    return _once(spark, sf_dir, "stemmed", made)
+
+
+def bounds(spark: SparkSession, sf_dir: str, kind: str = "postings") -> DataFrame:
+    """Bounds of the blocks of an index."""
+    return _once(spark, sf_dir, f"bounds-{kind}", lambda: fts.impacts((postings if kind == "postings" else stemmed)(spark, sf_dir)))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
+    row = lengths(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
+    return row["n"], row["avg_dl"] or 0.0

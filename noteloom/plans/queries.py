@@ -288,18 +288,16 @@ def entity_profiles(spark, d):
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT t.term, coalesce(n, 0) AS n_docs FROM (VALUES ('with'), ('from'), ('idiot'), ('zzzz')) t(term) LEFT JOIN (SELECT term, count(DISTINCT document_id) AS n FROM tokens GROUP BY term) USING (term)")
 def term_doc_freq(spark, d):
     c = b.chunks(spark, d)
-    return fts.document_frequency(fts.postings(c, ["with", "from", "idiot", "zzzz"]), c, ["with", "from", "idiot", "zzzz"])
+    return fts.document_frequency(b.postings(spark, d), c, ["with", "from", "idiot", "zzzz"])
 
 
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT term, count(DISTINCT chunk_id) AS df FROM tokens WHERE starts_with(term, 'stu') GROUP BY term")
 def prefix_terms(spark, d):
-    return fts.expand_prefix(fts.postings(b.chunks(spark, d)), "stu")
+    return fts.expand_prefix(b.postings(spark, d), "stu")
 
 
 def _bm25(spark, d, leaves, mode="or"):
-    c = b.chunks(spark, d)
-    terms = sorted({t for tokens in leaves.values() for t in tokens})
-    return fts.bm25(fts.postings(c, terms), fts.lengths(c), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
+    return fts.bm25(b.postings(spark, d), b.lengths(spark, d), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
 
 
 _BOTH = {t: [t] for t in TERMS}
@@ -337,8 +335,7 @@ def bm25_near(spark, d):
 
 @query(f"WITH {_bm25_sql(_TERM_LEAVES)} SELECT chunk_id, round(CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 1.0 ELSE (max(raw) OVER () - raw) / (max(raw) OVER () - min(raw) OVER ()) END, 4) AS score FROM scored")
 def bm25_minmax(spark, d):
-    c = b.chunks(spark, d)
-    raw = fts.bm25(fts.postings(c, TERMS), fts.lengths(c), _BOTH)
+    raw = fts.bm25(b.postings(spark, d), b.lengths(spark, d), _BOTH)
     return raw.select("chunk_id", F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
 
@@ -348,8 +345,8 @@ _HITS = f"""{_bm25_sql(_TERM_LEAVES)}, pool AS (SELECT * FROM scored ORDER BY ro
 
 def _hits(spark, d):
     """The 50 best chunks for the terms, with scaled scores."""
-    c = b.chunks(spark, d)
-    top = fts.bm25(fts.postings(c, TERMS), fts.lengths(c), _BOTH).orderBy(F.round("raw", 9), "chunk_id").limit(50)
+    found = fts.top_k(b.postings(spark, d), b.bounds(spark, d), b.corpus(spark, d), TERMS, 50)
+    top = spark.createDataFrame(found, "chunk_id long, raw double")
     return top.select("chunk_id", F.expr(f"chunk_id div {b.LINES}").alias("document_id"), F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
 
@@ -485,16 +482,54 @@ def explain_components(spark, d):
     return parts.select("chunk_id", *[F.round(c, 4).alias(c) for c in ("fts", "recency", "heat")], F.round(total, 4).alias("score"))
 
 
-@query()
+_PREFIX = """SELECT leaf, chunk_id, f, count(*) OVER (PARTITION BY leaf) AS df FROM (
+    SELECT CASE WHEN term = 'with' THEN 'with' ELSE 'stu*' END AS leaf, chunk_id, count(*) AS f FROM tokens WHERE term = 'with' OR starts_with(term, 'stu') GROUP BY ALL)"""
+
+
+@query(f"WITH {_bm25_sql(_PREFIX)} SELECT chunk_id, round(raw, 6) AS raw FROM scored")
+def bm25_prefix(spark, d):
+    return _bm25(spark, d, {"stu*": ["stu*"], "with": ["with"]})
+
+
+@query(f"WITH {_bm25_sql(_TERM_LEAVES, 'count(*) = 2')} SELECT chunk_id, round(raw, 6) AS raw FROM scored ORDER BY round(scored.raw, 9), chunk_id LIMIT 30")
+def bm25_top_blocks(spark, d):
+    """The best chunks that have both terms, without reading the blocks that cannot have them."""
+    found = fts.top_k(b.postings(spark, d), b.bounds(spark, d), b.corpus(spark, d), TERMS, 30, "and")
+    return spark.createDataFrame(found, "chunk_id long, raw double").withColumn("raw", F.round("raw", 6))
+
+
+def _variants_sql(words: list[str], limit: int) -> str:
+    """The variants of words in SQL: a phrase, all near each other, all, any; a later one counts while the earlier have fewer chunks."""
+    idf = "CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END"
+
+    def scored(name: str, leaves: str, having: str = "true") -> str:
+        return f"""{name} AS (SELECT chunk_id, -sum({idf} * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))) AS raw
+            FROM ({leaves}) JOIN sizes USING (chunk_id), corpus GROUP BY chunk_id HAVING {having})"""
+
+    k, listed = len(words), ", ".join(f"'{w}'" for w in words)
+    joins = " ".join(f"JOIN own t{i} ON t{i}.chunk_id = t0.chunk_id AND t{i}.term = '{w}' AND t{i}.pos = t0.pos + {i}" for i, w in enumerate(words) if i)
+    phrase = f"SELECT chunk_id, f, count(*) OVER () AS df FROM (SELECT t0.chunk_id, count(*) AS f FROM own t0 {joins} WHERE t0.term = '{words[0]}' GROUP BY t0.chunk_id)"
+    near = f"""SELECT term, chunk_id, f, df FROM (SELECT term, chunk_id, count(*) AS f FROM (
+            SELECT a.term, a.chunk_id, a.pos FROM own a JOIN own z ON a.chunk_id = z.chunk_id AND a.term <> z.term AND abs(a.pos - z.pos) - 1 <= 10
+            GROUP BY a.term, a.chunk_id, a.pos HAVING count(DISTINCT z.term) = {k - 1}) GROUP BY term, chunk_id) JOIN dfs USING (term)"""
+    any_ = "SELECT term, chunk_id, count(*) AS f, any_value(df) AS df FROM own JOIN dfs USING (term) GROUP BY term, chunk_id"
+    return f"""WITH {CHUNKS}, {TOKENS}, own AS (SELECT * FROM tokens WHERE term IN ({listed})), dfs AS (SELECT term, count(DISTINCT chunk_id) AS df FROM own GROUP BY term),
+    {scored("v0", phrase)}, {scored("v1", near, f"count(*) = {k}")}, {scored("v2", any_, f"count(*) = {k}")}, {scored("v3", any_)},
+    every AS (SELECT 0 AS v, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3),
+    firsts AS (SELECT chunk_id, min(v) AS v FROM every GROUP BY chunk_id),
+    pool AS (SELECT chunk_id, min(raw) AS raw FROM every WHERE (SELECT count(*) FROM firsts f WHERE f.v < every.v) < {limit} GROUP BY chunk_id ORDER BY round(min(raw), 9), chunk_id LIMIT {limit})
+    SELECT chunk_id, round(raw, 6) AS raw, round(CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 1.0 ELSE (max(raw) OVER () - raw) / (max(raw) OVER () - min(raw) OVER ()) END, 4) AS score FROM pool"""
+
+
+@query(_variants_sql(["from", "the", "with"], 50))
 def search_variants(spark, d):
-    c = b.chunks(spark, d)
-    return fts.search(fts.postings(c), fts.lengths(c), "from the with", 50)
+    found = fts.search(b.postings(spark, d), b.lengths(spark, d), "from the with", 50, bounds=b.bounds(spark, d), corpus=b.corpus(spark, d))
+    return found.select("chunk_id", F.round("raw", 6).alias("raw"), F.round("score", 4).alias("score"))
 
 
 @query()
 def search_stemmed(spark, d):
-    c = b.chunks(spark, d)
-    return fts.search(fts.stemmed(fts.postings(c)), fts.lengths(c), "thing", 50)
+    return fts.search(b.stemmed(spark, d), b.lengths(spark, d), "thing", 50, bounds=b.bounds(spark, d, "stemmed"), corpus=b.corpus(spark, d))
 
 
 # ---------------------------------------------------------------- linking

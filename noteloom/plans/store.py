@@ -12,10 +12,12 @@ import json
 import math
 import uuid
 from collections import defaultdict
+from functools import cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from noteloom import schemas
 
@@ -34,7 +36,7 @@ class Conflict(Exception):
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        #: Rows of the last part written to each table.
+        #: Rows that the last batch wrote to each table, without those that were merged.
         self.written: dict[str, int] = {}
 
     # ------------------------------------------------------------ lists of parts
@@ -89,19 +91,18 @@ class Store:
     def _save(self, name: str, df: DataFrame, gone: bool = False) -> dict:
         seen, path = Observation(), f"{'gone' if gone else 'part'}-{uuid.uuid4().hex}"
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.root}/{name}/{path}")
-        rows = seen.get["rows"]
-        if not gone:
-            self.written[name] = rows
-        return {"path": path, "rows": rows, "gone": gone}
+        return {"path": path, "rows": seen.get["rows"], "gone": gone}
 
     # ------------------------------------------------------------ rows
 
-    def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], schemas.TABLES[name])
+    @staticmethod
+    @cache
+    def schema(name: str) -> StructType:
+        return StructType.fromDDL(schemas.TABLES[name])
 
     def _rows(self, name: str, parts: list[dict]) -> DataFrame:
         """Rows of the parts that no later batch removed, with the number of their batch."""
-        schema = self._empty(name).schema.add("_batch", "integer")
+        schema = StructType([*self.schema(name), StructField("_batch", IntegerType())])
         paths = [f"{self.root}/{name}/{p['path']}" for p in parts if not p["gone"]]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         gone = [p for p in parts if p["gone"]]
@@ -116,7 +117,7 @@ class Store:
     def _typed(self, name: str, df: DataFrame) -> DataFrame:
         """The columns of the table's schema, in its types; those that aren't there are null."""
         present = set(df.columns)
-        return df.select(*[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._empty(name).schema])
+        return df.select(*[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(name)])
 
     def _sorted(self, name: str, df: DataFrame) -> DataFrame:
         by = schemas.ORDER.get(name)
@@ -132,25 +133,37 @@ class Store:
     def write(self, name: str, df: DataFrame) -> int:
         """Replaces the whole table; returns the number of the batch."""
         number = self.parts(name)[0] + 1
-        self._commit(name, number, [self._save(name, self._sorted(name, self._typed(name, df)).withColumn("_batch", F.lit(number)))])
+        part = self._save(name, self._sorted(name, self._typed(name, df)).withColumn("_batch", F.lit(number)))
+        self._commit(name, number, [part])
+        self.written[name] = part["rows"]
         return number
 
     def replace(self, name: str, df: DataFrame, gone: DataFrame) -> int:
-        """Adds rows as a batch, and removes the rows of earlier batches whose key is among `gone` (one column)."""
+        """Adds rows as a batch, and removes the rows of earlier batches whose key is among `gone` (one column). Without any
+        of both the table stays as it is."""
         number, parts = self.parts(name)
         number += 1
         new = [self._save(name, self._sorted(name, self._typed(name, df)).withColumn("_batch", F.lit(number)))]
         if parts:
             keys = gone.select(F.col(gone.columns[0]).cast("long").alias("key"), F.lit(number).alias("below")).distinct()
             new.append(self._save(name, keys, gone=True))
-        self._commit(name, number, parts + [p for p in new if p["rows"] or not p["gone"] and not parts])
-        self._tidy(name)
+        self.written[name] = new[0]["rows"]
+        if any(p["rows"] for p in new):
+            self._commit(name, number, parts + [p for p in new if p["rows"]])
+            self._tidy(name)
+        else:
+            for p in new:
+                fs, path = self._fs(f"{self.root}/{name}/{p['path']}")
+                fs.delete(path, True)
         return number
 
     def append(self, name: str, rows: list[tuple], columns: list[str]) -> None:
         """Adds a few rows as a part of their own."""
-        new = self._typed(name, self.spark.createDataFrame(rows, self._empty(name).select(*columns).schema)).coalesce(1)
-        part = None
+        self.extend(name, self.spark.createDataFrame(rows, StructType([self.schema(name)[c] for c in columns])).coalesce(1))
+
+    def extend(self, name: str, df: DataFrame) -> None:
+        """Adds rows as a part of their own."""
+        new, part = self._typed(name, df), None
         while True:
             number, parts = self.parts(name)
             part = part or self._save(name, new.withColumn("_batch", F.lit(number + 1)))

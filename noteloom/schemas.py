@@ -17,7 +17,9 @@ TEXTS = (
     "id long, path string, title string, doc_date date, doc_type string, source_system string, source_id string, tags array<string>, content_hash string, "
     "pinned boolean, text string, attendees array<struct<name:string,email:string,company:string>>"
 )
-POSTINGS = "term string, chunk_id long, col string, tf int, positions array<int>, document_id long"
+REMOVED = "id long, path string, doc_type string, pinned boolean"
+POSTINGS = "term string, chunk_id long, col string, tf int, positions array<int>, document_id long, dl long, block int"
+IMPACTS = "kind string, term string, block int, n long, most double, least long"
 VECTORS = "chunk_id long, document_id long, embedding array<float>"
 LENGTHS = "chunk_id long, document_id long, dl long"
 PROFILES = "id long, name string, entity_type string, profile string, embedding array<float>"
@@ -27,10 +29,10 @@ SUPPRESSIONS = "path string, entity string"
 TABLES = {
     "documents": DOCUMENTS, "chunks": CHUNKS, "entities": ENTITIES, "mentions": MENTIONS, "facts": FACTS, "attendees": ATTENDEES,
     "glossary": GLOSSARY, "access": ACCESS, "suppressions": SUPPRESSIONS, "profiles": PROFILES,
-    "texts": TEXTS, "postings": POSTINGS, "stemmed": POSTINGS, "lengths": LENGTHS, "vectors": VECTORS,
+    "texts": TEXTS, "removed": REMOVED, "impacts": IMPACTS, "postings": POSTINGS, "stemmed": POSTINGS, "lengths": LENGTHS, "vectors": VECTORS,
 }
 
 #: The column that says whose rows a batch replaces.
 KEYS = {"documents": "id", "texts": "id"} | dict.fromkeys(("chunks", "postings", "stemmed", "lengths", "vectors", "mentions", "attendees"), "document_id")
 #: Tables that are stored in an order, so that a look-up reads few row groups.
-ORDER = dict.fromkeys(("postings", "stemmed"), ("term", "chunk_id"))
+ORDER = dict.fromkeys(("postings", "stemmed"), ("term", "block", "chunk_id"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,3 +36,29 @@ def session(name: str = "noteloom", master: str | None = None, **conf: str) -> S
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return ready(builder.getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below the one that driver and executors share (spark.checkpoint.dir). A local session that
+    names none gets a folder of its own; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="noteloom-")
+        logging.getLogger(__name__).info("spark.checkpoint.dir is not set; tables are kept in %s", found)
+        spark.conf.set("spark.checkpoint.dir", found)
+    folder = f"{found.rstrip('/')}/noteloom-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the application's folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
