@@ -15,7 +15,8 @@ from noteloom.operators import chunking, fts, incremental, linking, mentions, ra
 from noteloom.plans import context as ctx
 from noteloom.plans.store import Store
 from noteloom.session import ready
-from noteloom.sources import markdown
+from noteloom.sources import feeds, markdown
+from noteloom.streaming import ingest
 
 
 # Fields of profiles in the order of files, and those that refer to other entities.
@@ -97,6 +98,28 @@ class KnowledgeBase:
         """Brings one file's document up to date, or removes it with its file."""
         return self.index(paths=[path])
 
+    def sync(self, options: dict[str, str], checkpoint: str | None = None) -> dict:
+        """Writes the new and changed notes of feeds (see sources.feeds) as files and indexes those; says how many. A run goes
+        on where the last one ended; notes that did not change are not written again."""
+        done = {"new": 0, "changed": 0}
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch = batch.persist()
+            notes = feeds.documents(feeds.parsed(batch.select("feed", "id", "raw")))
+            paths = []
+            for row in notes.select("path", "text").toLocalIterator():  # files are on the driver's side
+                self._put_file(self.root / row["path"], row["text"])
+                paths.append(row["path"])
+            for r in batch.groupBy("status").count().collect():
+                done[r["status"]] += r["count"]
+            batch.unpersist()
+            if paths:
+                self.index(paths=paths)
+
+        stream = ingest.changed_notes(self.spark, options)
+        ingest.index_stream(stream, write, checkpoint or f"{self.store.root}/sync").awaitTermination()
+        return done
+
     def reindex_stale(self) -> list[str]:
         """Indexes the known files whose content changed; new files wait for index()."""
         stale = self.stale_files()
@@ -463,7 +486,10 @@ class KnowledgeBase:
 
     def write_memory_file(self, relative: str, content: str) -> None:
         """Replaces a file at once."""
-        path = self._file(relative)
+        self._put_file(self._file(relative), content)
+
+    @staticmethod
+    def _put_file(path: Path, content: str) -> None:
         path.parent.mkdir(parents=True, exist_ok=True)
         aside = path.with_name(path.name + ".new")
         aside.write_text(content)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 SEGMENT = "struct<speaker:string,source:string,text:string,start_timestamp:string,end_timestamp:string>"
 
 
-def pages(fetch: Callable[[str | None], dict], since: str | None = None) -> Iterator[dict]:
-    """Notes of a cursor-paged client, those updated at `since` or later. A page that doesn't say whether there are more,
+def pages(fetch: Callable[[str | None], dict], since: str | None = None, newest_first: bool = False) -> Iterator[dict]:
+    """Notes of a cursor-paged client, those updated at `since` or later; if they come newest first, the read ends with the
+    first page that has an older one. A page that doesn't say whether there are more,
     or a cursor that stands still, raises, as what was read would pass for the whole; more without a cursor ends it with a
     warning."""
     cursor = None
@@ -26,7 +27,7 @@ def pages(fetch: Callable[[str | None], dict], since: str | None = None) -> Iter
         if "hasMore" not in page:
             raise ValueError(f"a page without hasMore: {sorted(page)}")
         following = page.get("cursor")
-        if not page["hasMore"]:
+        if not page["hasMore"] or newest_first and since is not None and any((n.get("updated_at") or "") < since for n in page.get("notes", [])):
             return
         if not following:
             warnings.warn("more notes were announced without a cursor; reading ends here", stacklevel=2)

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from noteloom.operators import incremental
+from noteloom.sources import feeds
+from noteloom.streaming import state
 
 
-def markdown_stream(spark: SparkSession, root: str, files_per_batch: int = 500) -> DataFrame:
-    """(path, text) of new files."""
-    raw = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).format("text").schema("value string").load(root)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def index_stream(source: DataFrame, index: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hands each micro-batch of a stream to `index`; a batch that is repeated has the same number."""
+    return source.writeStream.outputMode("update").foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_stream(source: DataFrame, index: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hands each micro-batch of changed documents to `index`; a batch that is repeated has the same number."""
-    return source.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def changed_notes(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """Notes of feeds that are new or changed since the stream's last run, as (id, feed, updated_at, raw, status)."""
+    notes = feeds.register(spark).readStream.format("note_feeds").options(**options).load()
+    keyed = notes.select(F.to_json(F.struct("feed", "id")).alias("key"), F.sha2("raw", 256).alias("hash"), F.col("updated_at").alias("version"), F.col("raw").alias("payload"))
+    seen = state.changed_only(keyed)
+    return seen.select(F.get_json_object("key", "$.id").alias("id"), F.get_json_object("key", "$.feed").alias("feed"), F.col("version").alias("updated_at"), F.col("payload").alias("raw"), "status")
 
 
 def upsert_stream(source: DataFrame, table: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
