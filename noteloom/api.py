@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from noteloom.streaming import ingest
 
 # Fields of profiles in the order of files, and those that refer to other entities.
 PROFILE_FIELDS = {"person": ("email", "role", "team", "reports_to", "company", "pcm_base", "pcm_phase"), "project": ("status", "started", "lead")}
+#: Characters of a hit's content, where whole ones are not asked for.
+CONTENT_CHARS = 2_000
 REFERENCES = ("team", "reports_to", "lead", "company")
 
 
@@ -31,6 +34,7 @@ class KnowledgeBase:
         self.store = Store(spark, data_dir or str(self.root / ".index"))
         self.as_of = as_of or dt.date.today()
         self.embed = embed or (lambda c: vectors.hash_embedding(text.tokens(c), dim))
+        self.last_search: dict = {}
 
     # ------------------------------------------------------------ index
 
@@ -575,14 +579,47 @@ class KnowledgeBase:
     def reset_access(self) -> None:
         self.store.write("access", self.store.read("access").limit(0))
 
-    def search(self, query: str, limit: int = 10, fast: bool = False, recency: bool = True, doc_type=None, from_date=None, to_date=None, tag: str | None = None, sort_by: str = "score",
-               path: str | None = None, hotness: bool = False, dedupe: bool = True, fts_weight: float = 1.0, vector_weight: float = 1.0, stem: bool = True) -> DataFrame:
-        """Ranked hits with their components. Path sets restrict candidates; type, date and tag filter them."""
+    def search(self, query: str, limit: int = 10, fast: bool = False, recency: bool | float = True, doc_type=None, from_date=None, to_date=None, tag: str | None = None, sort_by: str = "score",
+               path: str | None = None, hotness: bool = False, dedupe: bool = True, fts_weight: float = 1.0, vector_weight: float = 1.0, stem: bool = True,
+               hierarchy: bool = True, hierarchy_threshold: float = 0.5, hierarchy_alpha: float = 0.5, snippet_chars: int = 200, full_chunks: bool = False, merge_chunks: bool = False,
+               include_overview: bool = False, highlight: bool = False, explain: bool = False, hook=None) -> DataFrame:
+        """Ranked hits with their components. Path sets restrict candidates; type, date and tag filter them.
+
+        hierarchy: a first pass looks for entities whose profiles are like the query; if some reach the threshold, only
+        documents that mention them are candidates, and the best of their scores is blended in (alpha is the share of the
+        document's own). full_chunks keeps whole contents, merge_chunks joins those of a document's matching chunks;
+        highlight marks the query's words in the snippet; explain adds what made up the score and the words that were
+        found. hook is called with a phase and its seconds as it ends; `last_search` tells them, with the variants that
+        were tried and the blocks that were read."""
+        told: dict = {"phases": {}, "entities": []}
+        clock = [time.perf_counter()]
+
+        def done(phase: str) -> None:
+            now = time.perf_counter()
+            told["phases"][phase], clock[0] = now - clock[0], now
+            if hook:
+                hook(phase, told["phases"][phase])
+
         query, first, last = dates.date_filters(query, self.as_of)
         from_date, to_date = from_date or first, to_date or last
         docs, chunks = self.store.read("documents"), self.store.read("chunks")
         words = set(re.findall(r"[^\W_]+", query.lower()))
         extra = [r["expansion"] for r in self.store.read("glossary").filter(F.lower("term").isin(sorted(words))).collect()]  # of the query's words
+        within, parents = None, None
+        if path is not None:
+            within = relational.list_documents(docs, path=path).select(F.col("id").alias("document_id"))
+        if hierarchy and not fast:
+            matched = [(r["id"], r["score"], r["name"]) for r in self.search_entities(query, 5, threshold=hierarchy_threshold).collect()]
+            if matched:
+                found = self.spark.createDataFrame(matched, "entity_id long, score double, name string")
+                parents = ranking.parent_scores(found, self.store.read("mentions"))
+                if parents.isEmpty():
+                    parents = None
+                else:
+                    told["entities"] = [{"name": n, "score": x} for _, x, n in matched]
+                    of = parents.select("document_id")
+                    within = of if within is None else within.join(of, "document_id", "left_semi")
+            done("entities")
         wanted = query
         if stem:
             from noteloom.functions.stem import stem as porter
@@ -591,35 +628,66 @@ class KnowledgeBase:
         kind = "stemmed" if stem else "postings"
         index, bounds, corpus = self.store.read(kind), None, None
         sizes, known = self.store.read("lengths"), self.store.read("vectors")
-        if path is not None:
-            within = relational.list_documents(docs, path=path).select(F.col("id").alias("document_id"))
-            sizes, known = sizes.join(within, "document_id", "left_semi"), known.join(within, "document_id", "left_semi")
-            index = index.join(sizes.select("chunk_id"), "chunk_id", "left_semi")
+        if within is not None:  # both indexes are cut before anything is scored
+            sizes, known, index = (t.join(within, "document_id", "left_semi") for t in (sizes, known, index))
         else:
             bounds, corpus = self.store.read("impacts").filter(F.col("kind") == kind), self._corpus()
-        hits = fts.search(index, sizes.select("chunk_id", "dl"), wanted, 5 * limit, extra, bounds, corpus)
+        hits = fts.search(index, sizes.select("chunk_id", "dl"), wanted, 5 * limit, extra, bounds, corpus, told)
+        done("fts")
         near = None
         if not fast and not ranking.strong_signal(hits).first()["strong"]:
             q = self.spark.range(1).select(self.embed(F.lit(wanted)).alias("q")).first()["q"]
             near = vectors.top_k(known, list(q), 5 * limit, "chunk_id").select("chunk_id", "score")
         fused = ranking.hybrid(hits.select("chunk_id", "score"), near, fts_weight, vector_weight)
-        meta = docs.select(F.col("id").alias("document_id"), "path", "title", "doc_type", "doc_date", "tags", "abstract")
+        done("vectors")
+        meta = docs.select(F.col("id").alias("document_id"), "path", "title", "doc_type", "doc_date", "tags", "abstract", *(["overview"] if include_overview else []))
         rows = fused.join(chunks.select("chunk_id", "document_id", "chunk_index", "heading", "content"), "chunk_id").join(meta, "document_id")
         if doc_type or from_date or to_date or tag:
             kept = relational.list_documents(docs, doc_type, str(from_date) if from_date else None, str(to_date) if to_date else None, tags=tag.split(",") if tag else [])
             rows = rows.join(kept.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        rows = rows.withColumn("fused", F.col("score"))
         if recency:
-            rows = ranking.with_recency(rows, str(self.as_of))
+            rows = ranking.with_recency(rows, str(self.as_of), *([] if recency is True else [float(recency)]))
         names = self.store.read("mentions").join(self.store.read("entities").select(F.col("id").alias("entity_id"), "name"), "entity_id").groupBy("document_id").agg(F.sort_array(F.collect_set("name")).alias("entities"))
         rows = ranking.with_entity_boost(rows.join(names, "document_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>"))), sorted(words))
         if hotness:
             seen = self.store.read("access").filter("kind = 'document'").groupBy(F.col("id").alias("document_id")).agg(F.count(F.lit(1)).alias("n_access"), F.to_date(F.max("at")).alias("last_access"))
             rows = ranking.with_hotness(rows, seen, str(self.as_of))
+        if parents is not None:
+            rows = ranking.with_hierarchy(rows, parents, hierarchy_alpha)
         rows = rows.withColumn("score", F.round("score", 4))
         top = ranking.best_per_document(rows, limit) if dedupe else rows.orderBy(F.desc("score"), "chunk_id").limit(limit)
-        top = top.withColumn("snippet", snippets.snippet(F.col("content"), fts.clean_query(query).split()))
+        shown = fts.clean_query(query).split()
+        top = top.withColumn("snippet", snippets.snippet(F.col("content"), shown, snippet_chars))
+        if highlight:
+            top = top.withColumn("snippet", snippets.highlighted(F.col("snippet"), shown))
+        if merge_chunks and full_chunks and dedupe:
+            whole = ranking.merged_content(rows.select("document_id", "chunk_index", "chunk_id", "content"))
+            top = top.drop("content").join(whole, "document_id").orderBy(F.desc("score"), "chunk_id")
+        elif not full_chunks:
+            top = top.withColumn("content", F.substring("content", 1, CONTENT_CHARS))
+        if explain:
+            lexical = hits.select("chunk_id", F.col("score").alias("fts_score"), "raw")
+            top = top.join(lexical, "chunk_id", "left")
+            top = top.join(near.withColumnRenamed("score", "vector_score"), "chunk_id", "left") if near is not None else top.withColumn("vector_score", F.lit(None).cast("double"))
+            low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+            found = [F.when(low(F.col("title")).contains(w) | low(F.col("content")).contains(w), F.lit(w)) for w in sorted(words)]
+            top = top.withColumn("matched_terms", F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")).orderBy(F.desc("score"), "chunk_id")
+        done("ranking")
+        self.last_search = told
         return top.orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id") if sort_by == "date" else top
 
+    def why_not(self, query: str, target: str, limit: int = 10, path: str | None = None, **options) -> dict | None:
+        """Why a document is not among the first hits: ranked, below_cutoff, filtered_path or no_match, with its rank among all
+        candidates; None if there is no such document."""
+        docs = self.store.read("documents")
+        doc = relational.find_document(docs, target).select("id").limit(1)
+        found = self.search(query, limit * 20, path=path, dedupe=True, **options)
+        ranks = ranking.ranked(found.select("document_id", "score"), id_col="document_id")
+        allowed = relational.list_documents(docs, path=path, limit=None).select("id") if path is not None else None
+        row = ranking.why_not(doc, ranks, limit, allowed).first()
+        return row.asDict() if row else None
+
     def diagnose(self, query: str, fast: bool = False, filtered: bool = False) -> dict:
         """Why a search has no results: documents of each word, whatever the filters, the three nearest chunks' documents
         (not for fast searches), and what to try."""

@@ -273,6 +273,8 @@ def search(index: DataFrame, sizes: DataFrame, query: str, limit: int = 50, expa
     for mode, leaves in variants(query, list(expansions)):
         if len(pool) >= limit:
             break
+        if told is not None:
+            told.setdefault("variants", []).append(mode)
         if bounds is not None and all(len(w) == 1 and not w[0].endswith("*") for w in leaves.values()):
             hits = top_k(index, bounds, corpus, list(leaves), limit, mode, told=told)
         else:

@@ -398,6 +398,31 @@ def hierarchy_blend(spark, d):
     return ranking.with_hierarchy(_hits(spark, d), ranking.parent_scores(found, mentions)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+_TWO_PASS = f"""{_bm25_sql(_TERM_LEAVES)},
+    places AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, any_value(q.q[i]::DOUBLE) AS q FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) q, generate_series(1, 64) g(i) GROUP BY label, i),
+    found AS (SELECT label, round(sum(x * q) / (sqrt(sum(x * x)) * sqrt(sum(q * q))), 4) AS score FROM places GROUP BY label),
+    best AS (SELECT * FROM found WHERE score >= 0.1 ORDER BY score DESC, label LIMIT 3),
+    parents AS (SELECT vec_id AS document_id, max(score) AS parent FROM embeddings JOIN best USING (label) GROUP BY vec_id),
+    hits AS (SELECT chunk_id, parent, raw FROM scored JOIN parents ON document_id = chunk_id // 1000000),
+    scaled AS (SELECT chunk_id, parent, round((max(raw) OVER () - raw) / (max(raw) OVER () - min(raw) OVER ()), 4) AS score FROM hits)"""
+
+
+@query(f"WITH {_TWO_PASS} SELECT chunk_id, score AS own, parent, round(0.5 * score + 0.5 * parent, 6) AS score FROM scaled")
+def two_pass_search(spark, d):
+    """The first pass finds the labels whose mean vector is like the query's; the second scores the chunks of their documents
+    only, and blends the label's score in."""
+    e, q = _vectors(spark, d)
+    places = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    profiles = places.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+    found = vectors.top_k(profiles, q, 3, "label", 0.1).select(F.col("label").alias("entity_id"), "score")
+    parents = ranking.parent_scores(found, e.select(F.col("label").alias("entity_id"), F.col("vec_id").alias("document_id")))
+    within = b.lengths(spark, d).withColumn("document_id", F.expr(f"chunk_id div {b.LINES}")).join(parents, "document_id", "left_semi")
+    index = b.postings(spark, d).filter(F.col("term").isin(TERMS))
+    scores = fts.bm25(index, b.lengths(spark, d), _BOTH).join(within.select("chunk_id", "document_id"), "chunk_id")
+    own = scores.select("chunk_id", "document_id", F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("own")).withColumn("score", F.col("own"))
+    return ranking.with_hierarchy(own, parents).select("chunk_id", "own", "parent", F.round("score", 6).alias("score"))
+
+
 _VECS = "vq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), vsim AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 4) AS score FROM embeddings, vq)"
 
 

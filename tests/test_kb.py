@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from noteloom.api import KnowledgeBase, inserted_under
+from noteloom.operators import fts
 
 AS_OF = dt.date(2026, 2, 10)
 
@@ -115,8 +116,10 @@ def test_facts_outlive_a_build(kb):
 
 def test_a_search_reads_the_terms_of_its_query(kb):
     found = kb.search("token rotation", limit=3, fast=True)
-    plan = found._jdf.queryExecution().toString()
-    assert "stemmed" in plan and "postings" not in plan and "chunk_id" in plan and "In(term, [" in plan.replace("PushedFilters: [", "") and found.first()["path"] == "notes/mfa.md"
+    assert found.first()["path"] == "notes/mfa.md" and 0 < kb.last_search["read"] <= kb.last_search["blocks"]
+    for terms, pushed in ((["token", "rotat"], "In(term, ["), (["rot*"], "StringStartsWith(term,rot)")):
+        plan = fts.looked_up(kb.store.read("stemmed"), terms)._jdf.queryExecution().toString()
+        assert "stemmed" in plan and pushed in plan.replace("PushedFilters: [", "")
     assert [r["path"] for r in kb.search("rotation", limit=3, fast=True, stem=False, path="notes/*").collect()] == ["notes/mfa.md"]
 
 
@@ -170,3 +173,24 @@ def test_people_of_tables_and_meetings(spark, tmp_path):
     got = {(names[r["entity_id"]], r["mention_type"]) for r in kb.store.read("mentions").filter(f"document_id = {doc}").collect()}
     assert got == {("Kit Larsen", "attendee"), ("Kit Larsen", "participant"), ("Kit Larsen", "source_ref"), ("New Person", "attendee"), ("Atlas Move", "tagged")}
     assert {(r["name"], r["matched_by"]) for r in kb.store.read("attendees").collect()} == {("K. Larsen", "email"), ("New Person", "created")}
+
+
+def test_two_passes_and_the_options_of_search(kb):
+    flat = kb.search("Linnea Holm rotation", hierarchy=False, explain=True, highlight=True, include_overview=True)
+    row = flat.filter("path = 'notes/mfa.md'").first()
+    assert "<mark>rotation</mark>" in row["snippet"] and row["overview"] and {"linnea", "holm", "rotation"} <= set(row["matched_terms"]) and row["fts_score"] is not None and row["fused"] > 0
+    assert kb.last_search["entities"] == [] and {"fts", "vectors", "ranking"} <= set(kb.last_search["phases"]) and kb.last_search["variants"]
+    seen = []
+    near = kb.search("Linnea Holm Engineer", hierarchy_threshold=0.1, hook=lambda phase, seconds: seen.append(phase)).collect()
+    linked = {r["path"] for r in kb.get_entity_timeline("Linnea Holm").collect()} | {"people/linnea-holm.md"}
+    named = {e["name"] for e in kb.last_search["entities"]}
+    assert "Linnea Holm" in named and "entities" in seen and near and all(r["parent"] >= 0.1 for r in near)
+    if named == {"Linnea Holm"}:
+        assert {r["path"] for r in near} <= linked
+    assert [r["path"] for r in kb.search("rotation", hierarchy_threshold=0.999).collect()][0] == "notes/mfa.md"  # none is near enough: as if flat
+    whole = {r["path"]: r["content"] for r in kb.search("the", fast=True, full_chunks=True, merge_chunks=True).collect()}
+    assert "token rotation" in whole["notes/mfa.md"] and "\n\n" in whole["notes/mfa.md"]
+    assert len(kb.search("rotation", fast=True, snippet_chars=20).first()["snippet"]) < 40
+    assert kb.why_not("rotation", "notes/mfa.md", fast=True)["reason"] == "ranked" and kb.why_not("zzzz", "notes/mfa.md", fast=True)["reason"] == "no_match"
+    assert kb.why_not("rotation", "notes/mfa.md", path="projects/*", fast=True)["reason"] == "filtered_path" and kb.why_not("x", "no/such.md") is None
+    assert [r["path"] for r in kb.search("rotat*", fast=True).collect()] == ["notes/mfa.md"]
