@@ -715,8 +715,12 @@ class KnowledgeBase:
         return found.join(self.store.read("chunks").select("chunk_id", "document_id", "content"), "chunk_id").select("chunk_id", "document_id", "content", "score").orderBy(F.desc("score"), "chunk_id")
 
     def context(self, topic: str | None = None, human: bool = False, mention_threshold: int = 1) -> str:
-        blocks = ctx.build(self.store.read("entities"), self.store.read("mentions"), self.store.read("documents"), self.store.read("glossary"), str(self.as_of), topic, mention_threshold)
-        return ctx.rendered(blocks, human)
+        """What there is to know, in short: of everything, or of what a topic is about."""
+        entities, found = self.store.read("entities"), self.store.read("mentions")
+        about = None if topic is None else ctx.topic_entities(entities, found, self.store.read("postings"), self.store.read("lengths"), topic)
+        headings = self.list_pinned_documents().select("id", "headings")
+        blocks = ctx.build(entities, found, self.store.read("documents"), self.store.read("glossary"), str(self.as_of), about, mention_threshold if about is None else 0, headings)
+        return ctx.rendered(blocks, human, topic)
 
 
 def _advice(query: str, hits: list[dict], near: list[dict], fast: bool, filtered: bool) -> list[str]:

@@ -134,9 +134,12 @@ def key_people(people: DataFrame, facts: DataFrame, fields: list[str], least: in
 
 
 def context_ranking(counts: DataFrame, last: DataFrame, as_of, least: int = 1) -> DataFrame:
-    """Entities by mentions times recency, with a freshness badge."""
+    """Entities by mentions times recency, with a freshness badge: those with enough mentions, and pinned ones."""
     day = F.lit(as_of).cast("date")
-    rows = counts.join(last.withColumnRenamed("entity_id", "id"), "id", "left").filter(F.col("mention_count") >= least)
+    enough = F.col("mention_count") >= least
+    if "pinned" in counts.columns:
+        enough = enough | F.coalesce("pinned", F.lit(False))
+    rows = counts.join(last.withColumnRenamed("entity_id", "id"), "id", "left").filter(enough)
     rank = F.round(F.col("mention_count") * scoring.recency_weight(F.col("last_mentioned_at"), day), 4)
     return rows.withColumns({"rank": rank, "badge": scoring.freshness(F.col("last_mentioned_at"), day)}).orderBy(F.desc("rank"), "id")
 

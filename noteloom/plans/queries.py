@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import scoring, snippets, text
 from noteloom.operators import chunking, fts, incremental, linking, mentions, ranking, relational, vectors
 from noteloom.plans import bindings as b
+from noteloom.plans import context
 
 AS_OF = b.AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,6 +424,21 @@ def two_pass_search(spark, d):
     return ranking.with_hierarchy(own, parents).select("chunk_id", "own", "parent", F.round("score", 6).alias("score"))
 
 
+_KINDS = """kinds AS (SELECT lang || ' corpus' AS name, doc_id AS document_id FROM documents WHERE lang IS NOT NULL UNION SELECT source || ' feed', doc_id FROM documents WHERE source IS NOT NULL)"""
+
+
+@query(f"""WITH {CHUNKS}, {TOKENS}, {_KINDS}, about AS (SELECT document_id FROM tokens WHERE term IN ('en', 'la') GROUP BY chunk_id, document_id HAVING count(DISTINCT term) = 2)
+    SELECT DISTINCT name AS entity_id FROM kinds WHERE contains(name, 'en la') OR contains('en la', name) OR document_id IN (SELECT document_id FROM about)""")
+def topic_entities(spark, d):
+    """What a topic of two words is about: by name, and by the documents with a chunk that has both."""
+    docs = b.table(spark, d, "documents")
+    kinds = docs.filter("lang is not null").select(F.concat("lang", F.lit(" corpus")).alias("id"), F.col("doc_id").alias("document_id"))
+    kinds = kinds.unionByName(docs.filter("source is not null").select(F.concat("source", F.lit(" feed")).alias("id"), F.col("doc_id").alias("document_id")))
+    names = kinds.select("id").distinct().select("id", F.col("id").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    owners = b.chunks(spark, d).select("chunk_id", "document_id")
+    return context.topic_entities(names, kinds.withColumnRenamed("id", "entity_id"), b.postings(spark, d), owners, "en la")
+
+
 _VECS = "vq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), vsim AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 4) AS score FROM embeddings, vq)"
 
 

@@ -74,6 +74,10 @@ def test_unlink_and_relink(kb):
 
 
 def test_context(kb):
+    near = kb.context(topic="migrations")
+    assert "Helix Refactor" in near and "Linnea Holm" not in near  # a note about them mentions the project
+    assert "Linnea Holm" in kb.context(topic="what linnea holm wants") and "Linnea Holm" in kb.context(topic="linnea")
+    assert "no entities for 'zzzz'" in kb.context(topic="zzzz") and "# Context" in kb.context(human=True)
     assert "Helix Refactor" in kb.context() and "MFA=multi factor authentication" in kb.context()
 
 
@@ -178,11 +182,13 @@ def test_people_of_tables_and_meetings(spark, tmp_path):
 def test_two_passes_and_the_options_of_search(kb):
     flat = kb.search("Linnea Holm rotation", hierarchy=False, explain=True, highlight=True, include_overview=True)
     row = flat.filter("path = 'notes/mfa.md'").first()
-    assert "<mark>rotation</mark>" in row["snippet"] and row["overview"] and {"linnea", "holm", "rotation"} <= set(row["matched_terms"]) and row["fts_score"] is not None and row["fused"] > 0
+    assert "<mark>rotation</mark>" in row["snippet"] and "overview" in row.asDict() and {"linnea", "holm", "rotation"} <= set(row["matched_terms"]) and row["fts_score"] is not None and row["fused"] > 0
     assert kb.last_search["entities"] == [] and {"fts", "vectors", "ranking"} <= set(kb.last_search["phases"]) and kb.last_search["variants"]
     seen = []
     near = kb.search("Linnea Holm Engineer", hierarchy_threshold=0.1, hook=lambda phase, seconds: seen.append(phase)).collect()
-    linked = {r["path"] for r in kb.get_entity_timeline("Linnea Holm").collect()} | {"people/linnea-holm.md"}
+    key = kb.get_entity("Linnea Holm")["id"]
+    linked = kb.store.read("mentions").filter(f"entity_id = {key}").join(kb.store.read("documents").withColumnRenamed("id", "document_id"), "document_id")
+    linked = {r["path"] for r in linked.collect()}
     named = {e["name"] for e in kb.last_search["entities"]}
     assert "Linnea Holm" in named and "entities" in seen and near and all(r["parent"] >= 0.1 for r in near)
     if named == {"Linnea Holm"}:
