@@ -26,6 +26,8 @@ PIECES = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
 BODY, TITLE, TAG, REFERENCE, ATTENDEE = -1, -2, -3, -4, -5
 #: Most beginnings of source ids that a pattern holds; shorter beginnings are taken beyond it.
 BEGINNINGS = 4096
+#: Names and aliases up to this many are broadcast after they were counted; more are joined by shuffle.
+FEW_NAMES = 100_000
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -72,25 +74,39 @@ def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame
     starts = names.filter(F.col("name").rlike(f"^{WORD}")).withColumn("_p", cut)
     mark = ~F.element_at("_p", -1).rlike(WORD)
     starts = starts.withColumns({"_tail": F.when(mark, F.element_at("_p", -1)).otherwise(""), "_n": F.size("_p") - mark.cast("int")})
-    starts = starts.withColumns({"_core": F.array_join(F.slice("_p", F.lit(1), F.col("_n")), ""), "_first": F.lower(F.get("_p", F.lit(0)))})
+    starts = starts.withColumns({"_core": F.array_join(F.slice("_p", F.lit(1), F.col("_n")), ""), "_l": F.transform("_p", F.lower)})
     starts = starts.withColumn("_gram", F.lower("_core"))
-    sifted = lambda c: F.pmod(F.xxhash64(c), F.lit(linking.SIFT))
-    told = starts.agg(F.collect_set("_n").alias("n"), F.collect_set(sifted(F.col("_first"))).alias("at")).first()  # SIFT at most
-    lengths, begins = sorted(told["n"]), bytearray(linking.SIFT)
-    for slot in told["at"]:
-        begins[slot] = 1
+
+    def slot(first, second, n):
+        """The place in the table of a name's first word, second word and number of pieces."""
+        return F.pmod(F.xxhash64(first, F.when(n >= 3, second).otherwise(""), n), F.lit(linking.SIFT))
+
+    told = starts.agg(
+        F.collect_set("_n").alias("n"), F.count(F.lit(1)).alias("names"),
+        F.collect_set(slot(F.get("_l", F.lit(0)), F.get("_l", F.lit(2)), F.col("_n"))).alias("at")).first()  # SIFT at most
+    lengths, begins = sorted(told["n"]) or [1], bytearray(linking.SIFT)
+    for at in told["at"]:
+        begins[at] = 1
+    # Words and what is between them alternate, so every second piece may begin a name; lengths that no name with these two
+    # words has are left out, so that few runs are made which are no names.
     pieces = texts.select(*key, F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("_t")).filter(F.size("_t") > 0)
-    at = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: F.substring(F.lit(begins), (sifted(F.lower(F.get("_t", i - 1))) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1])))
+    pieces = pieces.withColumn("_l", F.transform("_t", F.lower))
+    odd = F.when(F.get("_t", F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
+    at = F.when(odd <= F.size("_t"), F.sequence(odd, F.size("_t"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+    def known(i, n):
+        there = F.substring(F.lit(begins), (slot(F.get("_l", i - 1), F.get("_l", i + 1), n) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1]))
+        return (i + n - 1 <= F.size("_t")) & there
 
-    def gram(i, n):
-        raw = F.array_join(F.slice("_t", i, n), "")
-        behind = F.coalesce(F.get("_t", i + n - 1), F.lit(""))
-        return F.when(i + n - 1 <= F.size("_t"), F.struct(raw.alias("raw"), behind.alias("behind"), (i + n >= F.size("_t")).alias("last")))
+    def gram(x):
+        raw = F.array_join(F.slice("_t", x["i"], x["n"]), "")
+        return F.struct(raw.alias("raw"), F.coalesce(F.get("_t", x["i"] + x["n"] - 1), F.lit("")).alias("behind"), (x["i"] + x["n"] >= F.size("_t")).alias("last"))
 
-    every = F.flatten(F.transform(at, lambda i: F.array(*[gram(i, F.lit(n)) for n in lengths or [1]])))
-    found = pieces.select(*key, F.explode(F.array_distinct(F.array_compact(every))).alias("_g"))
+    runs = F.flatten(F.transform(at, lambda i: F.filter(F.array(*[F.struct(i.alias("i"), F.lit(n).alias("n")) for n in lengths]), lambda x: known(x["i"], x["n"]))))
+    found = pieces.select(*key, F.explode(F.transform(runs, gram)).alias("_g"))
     found = found.select(*key, F.lower("_g.raw").alias("_gram"), F.col("_g.raw").alias("_raw"), F.col("_g.behind").alias("_behind"), F.col("_g.last").alias("_last"))
-    joined = found.join(starts, "_gram")
+    starts = starts.drop("_l", "_p", "_n")
+    joined = found.join(F.broadcast(starts) if told["names"] <= FEW_NAMES else starts, "_gram")
     longer = (F.length("_behind") > F.length("_tail")) | F.col("_last")
     fits = (F.col("_tail") == "") | (F.lower("_behind").startswith(F.lower("_tail")) & longer)
     written = (F.col("_raw") == F.col("_core")) & F.col("_behind").startswith(F.col("_tail"))

@@ -663,12 +663,15 @@ _CAST = r"""cast_ AS (SELECT item_id AS id, array_to_string(t[1:2 + item_id % 3]
     known AS (SELECT *, count(DISTINCT CASE WHEN bare THEN id END) OVER (PARTITION BY name) >= 2 AS shared FROM marked)"""
 
 
-# Too slow on whole tables to be an oracle; the tests run it on the smallest ones.
 MENTION_FINDER_SQL = rf"""WITH {DOCS}, {_CAST},
     fields AS (SELECT id AS doc, 'discussed' AS kind, -1 AS scope, text FROM docs UNION ALL SELECT id, 'title', -2, title FROM docs
         UNION ALL SELECT id, 'participant', unnest(generate_series(1, len(parts))), trim(unnest(parts)) FROM (SELECT id, regexp_split_to_array(title, '(?i)\s+(?:/|x|&|vs)\s+') AS parts FROM docs)),
     cut AS (SELECT doc, kind, scope, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM fields),
-    grams AS (SELECT DISTINCT doc, kind, scope, lower(array_to_string(p[i:i + n - 1], '')) AS gram, array_to_string(p[i:i + n - 1], '') AS raw FROM (SELECT *, unnest(generate_series(1, len(p) - n + 1)) AS i FROM cut, (VALUES (1), (3), (5), (7)) lengths(n))),
+    pieces AS (SELECT doc, kind, scope, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM cut),
+    ahead AS (SELECT doc, kind, scope, w AS g1, w || lead(w, 1) OVER o || lead(w, 2) OVER o AS g3, w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o || lead(w, 4) OVER o AS g5,
+        w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o || lead(w, 4) OVER o || lead(w, 5) OVER o || lead(w, 6) OVER o AS g7
+        FROM pieces WINDOW o AS (PARTITION BY doc, kind, scope ORDER BY i)),
+    grams AS (SELECT DISTINCT doc, kind, scope, lower(g) AS gram, g AS raw FROM (SELECT doc, kind, scope, unnest([g1, g3, g5, g7]) AS g FROM ahead) WHERE lower(g) IN (SELECT name FROM known)),
     hits AS (SELECT doc, kind, scope, id, place, bare, shared, NOT contains(name, ' ') AS weak FROM grams JOIN known ON gram = name
         WHERE CASE kind WHEN 'title' THEN length(name) > 3 WHEN 'participant' THEN length(name) >= 4 ELSE length(name) >= 2 AND (raw = name OR name NOT IN ('product', 'data', 'design', 'staff', 'security', 'core', 'sources', 'quality', 'applied', 'front', 'incidents', 'machine')) END
         UNION ALL SELECT doc, kind, scope, id, place, bare, shared, false FROM fields JOIN known ON kind = 'participant' AND lower(text) = name),
@@ -680,7 +683,7 @@ MENTION_FINDER_SQL = rf"""WITH {DOCS}, {_CAST},
     SELECT DISTINCT id AS entity_id, doc AS document_id, kind AS mention_type FROM every LEFT JOIN proof USING (doc, id) WHERE f IS NOT NULL OR proof.doc IS NOT NULL"""
 
 
-@query()
+@query(MENTION_FINDER_SQL)
 def mention_finder(spark, d):
     t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     rows = b.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), t.alias("t"))
