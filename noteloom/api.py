@@ -154,7 +154,14 @@ class KnowledgeBase:
         sizes = self._put("lengths", fts.lengths(chunks).join(owner, "chunk_id"), gone, full)
         words = self._put("postings", fts.blocked(fts.postings(chunks), sizes).join(owner, "chunk_id"), gone, full)
         stems = self._put("stemmed", fts.blocked(fts.stemmed(words), sizes).join(owner, "chunk_id"), gone, full)
-        self._put("vectors", chunks.select("chunk_id", "document_id", self.embed(F.col("content")).alias("embedding")), gone, full)
+        hashed = chunks.select("chunk_id", "document_id", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+        before = self.store.read("vectors")
+        before = before.limit(0) if full else before.join(gone.toDF("document_id"), "document_id", "left_semi")
+        before = before.select("hash", F.col("embedding").alias("had")).dropDuplicates(["hash"])
+        known = hashed.join(before, "hash", "left")  # a chunk that its document had before keeps its vector
+        kept = known.filter("had is not null").withColumn("embedding", F.col("had"))
+        new = known.filter("had is null").withColumn("embedding", self.embed(F.col("content")))
+        self._put("vectors", kept.unionByName(new), gone, full)
         come = [fts.impacts(words).withColumn("kind", F.lit("postings")), fts.impacts(stems).withColumn("kind", F.lit("stemmed")), _totals(sizes, 1)]
         change = come[0]
         for part in come[1:] + ([] if full else lost):

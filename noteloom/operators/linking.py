@@ -10,30 +10,40 @@ from noteloom.functions import text as T
 
 #: Bits of the hash of a first token by which places in a text are sifted.
 SIFT = 1 << 16
+#: Names and aliases up to this many are broadcast after they were counted; more are joined by shuffle.
+FEW_NAMES = 100_000
 
 
 def name_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(entity_id, document_id, hits): names, of any number of tokens, that a document's text has.
 
     The text's token n-grams, of the lengths that names have, are joined to names on equality, so that names times
-    documents is never formed. Only places whose token begins a name, by a table of SIFT bytes, are made into n-grams.
+    documents is never formed. Only places whose first tokens and length are a name's, by a table of SIFT bytes, are made into n-grams.
     docs: (id, text); names: (entity_id, name)."""
     wanted = names.select("entity_id", T.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    sifted = lambda token: F.pmod(F.xxhash64(token), F.lit(SIFT))
-    told = wanted.select(F.size("t").alias("n"), sifted(F.get("t", F.lit(0))).alias("at"))
-    lengths = sorted(r["n"] for r in told.select("n").distinct().collect())  # lengths of names
-    begins = bytearray(SIFT)
-    for r in told.select("at").distinct().collect():  # SIFT at most
-        begins[r["at"]] = 1
+    def slot(first, second, n):
+        """The place in the table of a name's first two tokens and its number of tokens."""
+        return F.pmod(F.xxhash64(first, F.when(n >= 2, second).otherwise(""), n), F.lit(SIFT))
+
+    one = F.get("t", F.lit(0)), F.get("t", F.lit(1)), F.size("t")
+    told = wanted.agg(F.collect_set(F.size("t")).alias("n"), F.collect_set(slot(*one)).alias("at"), F.count(F.lit(1)).alias("names")).first()  # SIFT at most
+    lengths, begins = sorted(told["n"]), bytearray(SIFT)
+    for at in told["at"]:
+        begins[at] = 1
     if not lengths:
         return wanted.select("entity_id", F.lit(None).cast(docs.schema["id"].dataType).alias("document_id"), F.lit(0).cast("long").alias("hits")).limit(0)
     wanted = wanted.select("entity_id", F.array_join("t", " ").alias("gram"))
     places = docs.select(F.col("id").alias("document_id"), T.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.substring(F.lit(begins), (sifted(F.get("t", i - 1)) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1])))
-    gram = lambda i, n: F.when(i + n - 1 <= F.size("t"), F.array_join(F.slice("t", i, n), " "))
-    grams = F.flatten(F.transform(starts, lambda i: F.array(*[gram(i, F.lit(n)) for n in lengths])))
-    exploded = places.select("document_id", F.explode(grams).alias("gram")).filter("gram is not null")
-    return exploded.join(wanted, "gram").groupBy("entity_id", "document_id").agg(F.count(F.lit(1)).alias("hits"))
+
+    def known(i, n):
+        there = F.substring(F.lit(begins), (slot(F.get("t", i - 1), F.get("t", i), n) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1]))
+        return (i + n - 1 <= F.size("t")) & there
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.filter(F.array(*[F.struct(i.alias("i"), F.lit(n).alias("n")) for n in lengths]), lambda x: known(x["i"], x["n"]))))
+    exploded = places.select("document_id", F.explode(F.transform(runs, lambda x: F.array_join(F.slice("t", x["i"], x["n"]), " "))).alias("gram"))
+    per_document = exploded.groupBy("document_id", "gram").agg(F.count(F.lit(1)).alias("n"))  # a frequent name is counted before it is shuffled
+    names = F.broadcast(wanted) if told["names"] <= FEW_NAMES else wanted
+    return per_document.join(names, "gram").groupBy("entity_id", "document_id").agg(F.sum("n").alias("hits"))
 
 
 def disambiguated(mentions: DataFrame, names: DataFrame) -> DataFrame:

@@ -26,8 +26,6 @@ PIECES = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
 BODY, TITLE, TAG, REFERENCE, ATTENDEE = -1, -2, -3, -4, -5
 #: Most beginnings of source ids that a pattern holds; shorter beginnings are taken beyond it.
 BEGINNINGS = 4096
-#: Names and aliases up to this many are broadcast after they were counted; more are joined by shuffle.
-FEW_NAMES = 100_000
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -106,7 +104,7 @@ def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame
     found = pieces.select(*key, F.explode(F.transform(runs, gram)).alias("_g"))
     found = found.select(*key, F.lower("_g.raw").alias("_gram"), F.col("_g.raw").alias("_raw"), F.col("_g.behind").alias("_behind"), F.col("_g.last").alias("_last"))
     starts = starts.drop("_l", "_p", "_n")
-    joined = found.join(F.broadcast(starts) if told["names"] <= FEW_NAMES else starts, "_gram")
+    joined = found.join(F.broadcast(starts) if told["names"] <= linking.FEW_NAMES else starts, "_gram")
     longer = (F.length("_behind") > F.length("_tail")) | F.col("_last")
     fits = (F.col("_tail") == "") | (F.lower("_behind").startswith(F.lower("_tail")) & longer)
     written = (F.col("_raw") == F.col("_core")) & F.col("_behind").startswith(F.col("_tail"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,6 +59,24 @@ def top_k_blas(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
     return vectors.select(id_col, "embedding").mapInPandas(scores, f"{id_col} long, score double").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def model_embedding(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32, most: int = 8_000) -> Callable[[Column], Column]:
+    """An embedding by a model, for KnowledgeBase(embed=...): `load` is called once in each worker and gives a function from
+    texts to a matrix of one row each; a text's first `most` characters are read, null as empty. Vectors get unit length."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        model = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            found = np.asarray(model([(t or "")[:most] for t in texts]), float)
+            size = np.linalg.norm(found, axis=1, keepdims=True)
+            return found / np.where(size > 0, size, 1.0)
+
+        return predict
+
+    return predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch)
+
+
 def hash_embedding(tokens: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for a model: signed counts of hashed tokens, unit length."""
     slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)).cast("int"))

@@ -20,7 +20,7 @@ TEXTS = (
 REMOVED = "id long, path string, doc_type string, pinned boolean"
 POSTINGS = "term string, chunk_id long, col string, tf int, positions array<int>, document_id long, dl long, block int"
 IMPACTS = "kind string, term string, block int, n long, most double, least long"
-VECTORS = "chunk_id long, document_id long, embedding array<float>"
+VECTORS = "chunk_id long, document_id long, embedding array<float>, hash string"
 LENGTHS = "chunk_id long, document_id long, dl long"
 PROFILES = "id long, name string, entity_type string, profile string, embedding array<float>"
 ACCESS = "kind string, id long, at timestamp"

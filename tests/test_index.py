@@ -109,3 +109,35 @@ def test_of_two_writers_one_fails(spark, store, monkeypatch):
         store.write("mentions", mentions(spark, (3, 3)))
     monkeypatch.undo()
     assert listed(store) == [(2, 2)]
+
+
+def test_a_model_embeds_only_new_chunks(spark, tmp_path):
+    from noteloom.operators import vectors
+
+    log = str(tmp_path / "log")
+
+    def load():
+        with open(log, "a") as f:
+            f.write("load\n")
+
+        def model(texts):
+            with open(log, "a") as f:
+                f.writelines(f"text {len(t)}\n" for t in texts)
+            return [[len(t), 1.0, t.count("e")] for t in texts]
+
+        return model
+
+    embed = vectors.model_embedding(load, batch=4, most=50)
+    df = spark.createDataFrame([("abc",), ("e" * 80,), (None,)], "t string").coalesce(1)
+    got = [r.v for r in df.select(embed(F.col("t")).alias("v")).collect()]
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-5 and abs(got[1][0] / got[1][1] - 50) < 1e-3 and list(got[2]) == [0.0, 1.0, 0.0]
+    assert open(log).read().count("load") == 1
+
+    put(tmp_path, {"notes/a.md": "---\ntitle: A\n---\n## One\nA first part of this note.\n\n## Two\nA second part of the note.\n", "notes/b.md": "---\ntitle: B\n---\nOther words.\n"})
+    kb = KnowledgeBase(spark, str(tmp_path), as_of=AS_OF, embed=embed)
+    kb.index()
+    open(log, "w").close()
+    put(tmp_path, {"notes/a.md": "---\ntitle: A\n---\n## One\nA first part of this note.\n\n## Two\nAnother second part.\n"})
+    kb.index()
+    lines = [x for x in open(log).read().splitlines() if x != "load"]
+    assert len(lines) == 2 and kb.store.written["vectors"] == 3  # the changed part and the summary, not the first part
