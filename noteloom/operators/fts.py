@@ -203,7 +203,8 @@ def top_k(index: DataFrame, bounds: DataFrame, corpus: tuple[int, float], leaves
         else:
             while stop < len(order) and best[order[stop]] >= least - 1e-6:
                 stop += 1
-        part = index.filter(F.col("term").isin(*leaves) & F.col("block").isin(order[at:stop]))
+        # One expression for all blocks: some thousand numbers at most, and quick to hand over.
+        part = index.filter(F.col("term").isin(*leaves)).filter(f"block in ({', '.join(map(str, order[at:stop]))})")
         found += _scored_blocks(part, idf, avg_dl, leaves, k, mode, gap)
         found = sorted(found, key=lambda h: (round(h[1], 9), h[0]))[:k]
         at, least = stop, -found[-1][1] if len(found) == k else 0.0
