@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import re
+import shlex
 import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom import config
 from noteloom.functions import dates, snippets, text
-from noteloom.operators import chunking, fts, incremental, linking, mentions, ranking, relational, vectors, wikilinks
+from noteloom.operators import chunking, fts, incremental, linking, mentions, metadata as open_metadata, ranking, relational, vectors, wikilinks
 from noteloom.plans import context as ctx
 from noteloom.plans.store import Store
 from noteloom.session import ready
@@ -28,13 +31,20 @@ REFERENCES = ("team", "reports_to", "lead", "company")
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, project_root: str, data_dir: str | None = None, as_of: dt.date | None = None, embed=None, dim: int = 64):
+    def __init__(self, spark: SparkSession, project_root: str, data_dir: str | None = None, as_of: dt.date | None = None, embed=None, dim: int = 64, me: str | None = None):
         self.spark = ready(spark)
         self.root = Path(project_root)
         self.store = Store(spark, data_dir or str(self.root / ".index"))
         self.as_of = as_of or dt.date.today()
         self.embed = embed or (lambda c: vectors.hash_embedding(text.tokens(c), dim))
         self.last_search: dict = {}
+        self.me = me
+
+    @classmethod
+    def from_config(cls, spark: SparkSession, start: str | None = None, **options) -> KnowledgeBase:
+        """A knowledge base as the settings say that are found from a folder on upwards; without any, of that folder."""
+        found = config.find(start)
+        return cls(spark, **(config.settings(found) if found else {"project_root": start or os.getcwd()}) | options)
 
     # ------------------------------------------------------------ index
 
@@ -94,7 +104,7 @@ class KnowledgeBase:
         counts = chunks.filter(F.col("chunk_index") < 1_000_000).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count"))
         listed = new.join(counts, "id", "left").withColumns({
             "abstract": text.first_sentence(F.col("text"), F.col("title")), "overview": text.first_paragraph(F.col("text")),
-            "indexed_at": F.lit(dt.datetime.combine(self.as_of, dt.time()))})
+            "indexed_at": F.current_timestamp()})
         self._put("documents", listed, gone, full)  # last, so that a build that broke off is done again
         return {"new": n_texts - n_changed, "changed": n_changed, "indexed": n_texts}
 
@@ -237,7 +247,8 @@ class KnowledgeBase:
         ids = new.select(F.lower("name").alias("low"), F.col("id").alias("new_id"))
         attended = matched.withColumn("low", F.lower("name")).join(ids, "low", "left").withColumn("entity_id", F.coalesce("entity_id", "new_id"))
         self.store.write("attendees", attended)
-        self.store.write("entities", seeds.unionByName(new.withColumn("pinned", F.coalesce("_pin", F.lit(False))).drop("low", "_pin"), allowMissingColumns=True))
+        found = seeds.unionByName(new.withColumn("pinned", F.coalesce("_pin", F.lit(False))).drop("low", "_pin"), allowMissingColumns=True)
+        self.store.write("entities", found.withColumn("attributes", F.coalesce("attributes", open_metadata.from_map(F.col("metadata")))))
         named = lambda e: e.select("id", "name", "entity_type", "aliases")
         now = named(self.store.read("entities"))
         return not (now.exceptAll(named(old)).isEmpty() and named(old).exceptAll(now).isEmpty())
@@ -277,17 +288,21 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------ entities and facts
 
-    def list_entities(self, entity_type: str | None = None) -> DataFrame:
+    def list_entities(self, entity_type: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         entities = self.store.read("entities")
         if entity_type:
             entities = entities.filter(F.col("entity_type") == entity_type)
-        return relational.mention_counts(entities, self.store.read("mentions")).orderBy("name")
+        rows = relational.mention_counts(entities, self.store.read("mentions")).orderBy("name", "id")
+        rows = rows.offset(offset) if offset else rows
+        return rows if limit is None else rows.limit(limit)
 
     def find_entities(self, name: str) -> DataFrame:
         found = relational.resolve(self.store.read("entities"), name, folded=True)
         return relational.mention_counts(found, self.store.read("mentions")).orderBy("name")
 
     def _entity_id(self, name: str) -> int:
+        """The entity of a name; `me` is the user that was named, if any."""
+        name = self.me if self.me and name.lower() == "me" else name
         row = relational.resolve(self.store.read("entities"), name, folded=True).orderBy("id").first()
         if row is None:
             raise KeyError(name)
@@ -298,7 +313,48 @@ class KnowledgeBase:
         row = self.store.read("entities").filter(F.col("id") == key).first().asDict()
         self.touch("entity", key)
         facts = self.store.read("facts").filter(F.col("entity_id") == key).orderBy("seq").collect()
-        return row | {"mention_count": self.store.read("mentions").filter(F.col("entity_id") == key).count(), "facts": [f.asDict() for f in facts]}
+        told = {} if row["attributes"] is None else json.loads(row["attributes"].toJson())
+        return row | {"attributes": told, "mention_count": self.store.read("mentions").filter(F.col("entity_id") == key).select("document_id").distinct().count(), "facts": [f.asDict() for f in facts]}
+
+    def get_entity_profile(self, name: str) -> dict:
+        """An entity in short: facts by number, days, its documents' number, and the commands that tell more."""
+        row = self.get_entity(name)
+        kind, quoted = row["entity_type"], shlex.quote(row["name"])
+        recent = (self.as_of - dt.timedelta(days=30)).isoformat()
+        if kind in ("person", "project"):
+            more = {"timeline": f"{kind}-timeline {quoted} --limit 20", "recent": f"{kind}-timeline {quoted} --from-date {recent}"}
+        else:
+            more = {"search": f"search {quoted} --limit 20"}
+        if row["source_path"]:
+            more["profile"] = f"view {row['source_path']}"
+        kept = ("id", "name", "entity_type", "aliases", "metadata", "attributes", "updated_at", "last_mentioned_at", "source_path")
+        facts = [{"seq": f["seq"], "text": f["fact_text"], "date": f["fact_date"]} for f in row["facts"]]
+        return {k: row[k] for k in kept} | {"facts": facts, "document_count": row["mention_count"], "breadcrumbs": more}
+
+    def entities_where(self, conditions: dict, entity_type: str | None = None) -> DataFrame:
+        """Entities whose metadata fit conditions on paths, such as {"budget.amount": (">=", 1000), "sources[*].type": "wiki"}."""
+        return open_metadata.where(self.list_entities(entity_type), conditions)
+
+    def metadata_paths(self, entity_type: str | None = None) -> DataFrame:
+        """(path, kind, n_values, least, most): what is told of entities, and as what."""
+        entities = self.store.read("entities")
+        if entity_type:
+            entities = entities.filter(F.col("entity_type") == entity_type)
+        return open_metadata.inventory(entities).orderBy("path", "kind")
+
+    def set_metadata(self, name: str, path: str, value) -> None:
+        """Writes one value into the head of an entity's file, wherever it stands there; None takes it away. All else
+        keeps its value and type."""
+        source = self._profile(self._entity_id(name))
+        if source is None:
+            raise ValueError(f"{name!r} has no file")
+        first = open_metadata.steps(path)[0]
+        if first in ("aliases", "pinned"):
+            raise ValueError(f"{first} is no metadata")
+        row = self.get_entity(name)
+        before = markdown.frontmatter(self.read_memory_file(source)) or row["attributes"]
+        after = open_metadata.changed({k: v for k, v in before.items() if k not in ("aliases", "pinned")}, path, value)
+        self.edit_entity(name, metadata={first: after.get(first)})
 
     def get_entity_timeline(self, name: str, limit: int = 10, from_date=None, to_date=None, doc_type=None) -> DataFrame:
         key = self._entity_id(name)
@@ -381,7 +437,7 @@ class KnowledgeBase:
     def _head(kind: str, aliases: list[str], metadata: dict, pinned: bool) -> dict:
         """Fields of a profile in the order of files; references to other entities are links."""
         order = PROFILE_FIELDS[kind]
-        shown = lambda k: f"[[{metadata[k]}]]" if k in REFERENCES and "[[" not in str(metadata[k]) else metadata[k]
+        shown = lambda k: f"[[{metadata[k]}]]" if k in REFERENCES and isinstance(metadata[k], str) and "[[" not in metadata[k] else metadata[k]
         given = {k: shown(k) for k in order if metadata.get(k)}
         return {"aliases": aliases} | given | {"pinned": pinned} | {k: v for k, v in metadata.items() if k not in order}
 
@@ -455,8 +511,12 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------ documents, notes, files
 
-    def list_documents(self, doc_type=None, from_date=None, to_date=None, limit: int = 50) -> DataFrame:
-        return relational.list_documents(self.store.read("documents"), doc_type, from_date, to_date, limit=limit)
+    def list_documents(self, doc_type=None, from_date=None, to_date=None, limit: int = 50, since_hours: float | None = None) -> DataFrame:
+        """Documents, newest first; since_hours keeps those that were indexed that recently."""
+        docs = self.store.read("documents")
+        if since_hours is not None:
+            docs = docs.filter(F.col("indexed_at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(since_hours * 3600)))
+        return relational.list_documents(docs, doc_type, from_date, to_date, limit=limit)
 
     def count_documents(self) -> int:
         return self.store.read("documents").count()
@@ -512,7 +572,9 @@ class KnowledgeBase:
             notes = notes.filter("pinned")
         return relational.list_documents(notes, tags=tag.split(",") if tag else [], ignore_case=True, limit=limit)
 
-    def add_note(self, title: str, body: str = "", tags: list[str] = (), pin: bool = False, date: str | None = None) -> str:
+    def add_note(self, title: str, body: str = "", tags: list[str] = (), pin: bool = False, date: str | None = None, entity: str | None = None) -> str:
+        """Writes and indexes a note; an entity that it is about is linked with it."""
+        about = self._entity_id(entity) if entity else None
         slug = re.sub(r"-+", "-", re.sub(r"[^a-z0-9]+", "-", text.fold(title))).strip("-")[:60] or "note"
         name, n = f"notes/{slug}.md", 1
         while self._file(name).exists():
@@ -521,11 +583,21 @@ class KnowledgeBase:
         head = ["---", f"title: {title}", f"date: {date or self.as_of}", f"tags: [{', '.join(tags)}]", *(["pinned: true"] if pin else []), "---", ""]
         self.write_memory_file(name, "\n".join(head) + body + "\n")
         self.index(paths=[name])
+        if about is not None:
+            row = relational.find_document(self.store.read("documents"), name).first()
+            self.store.append("mentions", [(about, row["id"], "tagged")], ["entity_id", "document_id", "mention_type"])
         return name
 
-    def edit_note(self, target: str, body: str | None = None, append: str | None = None, insert_under: tuple[str, str] | None = None) -> None:
+    def edit_note(self, target: str, body: str | None = None, append: str | None = None, insert_under: tuple[str, str] | None = None, tags: list[str] | None = None, pin: bool | None = None) -> None:
+        """Changes a note's text, tags or pin; other lines of its head stay as they are. No change at all raises."""
+        if all(x is None for x in (body, append, insert_under, tags, pin)):
+            raise ValueError("nothing to change")
         old = self.read_memory_file(target)
         head, rest = old[: len(old) - len(_body(old))], _body(old)
+        if tags is not None:
+            head = _with_line(head, "tags", f"[{', '.join(tags)}]")
+        if pin is not None:
+            head = _with_line(head, "pinned", "true" if pin else "false")
         if body is not None:
             rest = body + "\n"
         if append:
@@ -533,6 +605,8 @@ class KnowledgeBase:
         if insert_under:
             rest = inserted_under(rest, *insert_under)
         self.write_memory_file(target, head + rest)
+        if pin is not None:
+            self.store.write("documents", self.store.read("documents").withColumn("pinned", F.when(F.col("path") == target, F.lit(pin)).otherwise(F.col("pinned"))))
         self.index(paths=[target])
 
     def delete_note(self, path: str) -> None:
@@ -554,10 +628,23 @@ class KnowledgeBase:
         self.index(paths=["glossary.md"])
         return known
 
-    def correct_term(self, term: str, replacement: str, apply: bool = False, scope: str | None = None, word_boundary: bool = False, ignore_case: bool = True) -> list[dict]:
-        """Files with a term; with `apply`, all are rewritten or, if one fails, all put back."""
+    def delete_glossary_term(self, term: str) -> None:
+        """Takes a term's rows out of the table, case ignored; an unknown term raises."""
+        old = self.read_memory_file("glossary.md") if self._file("glossary.md").exists() else ""
+        new = re.sub(rf"(?mi)^\|\s*(?:\*\*)?{re.escape(term)}(?:\*\*)?\s*\|[^\n]*\n?", "", old)
+        if new == old:
+            raise ValueError(f"no such term: {term!r}")
+        self.write_memory_file("glossary.md", new)
+        self.index(paths=["glossary.md"])
+
+    def correct_term(self, term: str, replacement: str | None = None, apply: bool = False, scope: str | None = None, word_boundary: bool = False, ignore_case: bool = True,
+                     file_type: str | None = None) -> list[dict]:
+        """Files with a term; with `apply`, all are rewritten or, if one fails, all put back. file_type is a part of the
+        files' names."""
+        if apply and replacement is None:
+            raise ValueError("nothing to put in its place")
         tree = markdown.files(self.spark, str(self.root / "memory"))
-        hits = linking.correction_scan(tree, term, word_boundary, ignore_case, scope)
+        hits = linking.correction_scan(tree, term, word_boundary, ignore_case, scope, file_type)
         found = [r.asDict() for r in hits.orderBy("path").collect()]
         if apply and found:
             wanted = tree.join(F.broadcast(hits.select("path")), "path", "left_semi")
@@ -712,14 +799,31 @@ class KnowledgeBase:
             near = [{"title": r["title"], "path": r["path"], "similarity": round(r["score"], 3)} for r in rows]
         return {"term_hits": hits, "near_misses": near, "suggestions": _advice(query, hits, near, fast, filtered)}
 
-    def memory_similar(self, query: str, threshold: float = 0.85, limit: int = 5, path: str | None = None) -> DataFrame:
+    def memory_similar(self, query: str, threshold: float = 0.85, limit: int = 5, path: str | None = None, entity: str | None = None) -> DataFrame:
+        """What is told already that is like a text, best first: among an entity's facts, a document's chunks or all chunks.
+
+        (match_type, content, score, path, entity_name, fact_seq, fact_date, chunk_id, document_id). Both scopes at once,
+        or one that isn't known, raise ValueError."""
+        if entity is not None and path is not None:
+            raise ValueError("entity and path exclude each other")
+        q = list(self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"])
+        if entity is not None:
+            try:
+                key = self._entity_id(entity)
+            except KeyError as e:
+                raise ValueError(f"no such entity: {entity!r}") from e
+            owner = self.store.read("entities").filter(F.col("id") == key).select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("source_path").alias("path"))
+            return similar_facts(self.store.read("facts").filter(F.col("entity_id") == key), owner, self.embed, q, threshold, limit)
         known = self.store.read("vectors")
-        if path:
-            ids = relational.find_document(self.store.read("documents"), path).select(F.col("id").alias("document_id"))
-            known = known.join(ids, "document_id", "left_semi")
-        q = self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"]
-        found = vectors.top_k(known, list(q), limit, "chunk_id", threshold).select("chunk_id", "score")
-        return found.join(self.store.read("chunks").select("chunk_id", "document_id", "content"), "chunk_id").select("chunk_id", "document_id", "content", "score").orderBy(F.desc("score"), "chunk_id")
+        docs = self.store.read("documents").select(F.col("id").alias("document_id"), "path")
+        if path is not None:
+            row = relational.find_document(self.store.read("documents"), path).first()
+            if row is None:
+                raise ValueError(f"no such document: {path!r}")
+            known = known.filter(F.col("document_id") == row["id"])
+        found = vectors.top_k(known, q, limit, "chunk_id", threshold).select("chunk_id", "score")
+        rows = found.join(self.store.read("chunks").select("chunk_id", "document_id", "content"), "chunk_id").join(docs, "document_id", "left")
+        return _similar(rows.withColumn("match_type", F.lit("chunk"))).orderBy(F.desc("score"), "chunk_id")
 
     def context(self, topic: str | None = None, human: bool = False, mention_threshold: int = 1) -> str:
         """What there is to know, in short: of everything, or of what a topic is about."""
@@ -754,6 +858,36 @@ def _totals(sizes: DataFrame, sign: int) -> DataFrame:
     return sizes.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("least")).withColumn("kind", F.lit("corpus"))
 
 
+#: What a search for similar things returns.
+SIMILAR = ("match_type string", "content string", "score double", "path string", "entity_name string", "fact_seq int", "fact_date date", "chunk_id long", "document_id long")
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """The columns of SIMILAR; those that aren't there are null."""
+    kinds = dict(c.split(" ") for c in SIMILAR)
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+def similar_facts(facts: DataFrame, owners: DataFrame, embed, query: list[float], threshold: float, limit: int) -> DataFrame:
+    """Facts most like a query vector, embedded as they are read; equal scores by number. owners: (entity_id, entity_name,
+    path)."""
+    known = facts.filter("fact_text is not null").withColumn("embedding", embed(F.col("fact_text")))
+    near = vectors.top_k(known, query, limit, "seq", threshold).join(owners, "entity_id", "left")
+    named = near.withColumns({"match_type": F.lit("fact"), "content": F.col("fact_text"), "fact_seq": F.col("seq")})
+    return _similar(named).orderBy(F.desc("score"), "fact_seq")
+
+
+def _with_line(head: str, key: str, value: str) -> str:
+    """Front matter with a `key: value` line, in place of the one that is there (and the list below it) or as its last."""
+    line = f"{key}: {value}"
+    if not head:
+        return f"---\n{line}\n---\n"
+    shape = re.compile(rf"(?m)^{key}:[^\n]*(?:\n[ \t]*-[ \t][^\n]*)*$")
+    if shape.search(head):
+        return shape.sub(lambda m: line, head, count=1)
+    return head.removesuffix("---\n") + f"{line}\n---\n"
+
+
 def _fact_key():
     """The id of a fact: of its entity, day and text."""
     return F.xxhash64("entity_id", "fact_date", "fact_text").bitwiseAND(F.lit((1 << 62) - 1))

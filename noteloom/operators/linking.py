@@ -92,8 +92,12 @@ def match_tasks(tasks: DataFrame, projects: DataFrame, min_keyword_len: int = 4)
     return tier1.unionByName(tier2)
 
 
-def correction_scan(files: DataFrame, term: str, word_boundary: bool = False, ignore_case: bool = True, scope: str | None = None) -> DataFrame:
-    """(path, hits, lines): files that have a term, how often, and all lines with it. files: (path, text)."""
+def correction_scan(files: DataFrame, term: str, word_boundary: bool = False, ignore_case: bool = True, scope: str | None = None, file_type: str | None = None) -> DataFrame:
+    """(path, hits, lines): files that have a term, how often, and all lines with it. files: (path, text).
+
+    scope is a pattern of paths, file_type a part of the file's name."""
+    if file_type:
+        files = files.filter(F.element_at(F.split("path", "/"), -1).contains(file_type))
     if scope is not None:
         files = files.filter(F.col("path").ilike(T.glob_pattern(scope)))
     pattern = T.literal_pattern(term, word_boundary, ignore_case)

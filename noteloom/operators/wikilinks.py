@@ -58,7 +58,7 @@ def yaml_head(name: str, fields: dict) -> str:
     """A head in YAML with a title below it; fields without a value are left out."""
     import yaml
 
-    kept = {k: v for k, v in fields.items() if v not in (None, "", [], False)}
+    kept = {k: v for k, v in fields.items() if v is not None and v != "" and v != [] and not (k == "pinned" and v is False)}
     shown = yaml.dump(kept, default_flow_style=False, allow_unicode=True, sort_keys=False) if kept else ""
     return f"---\n{shown}---\n# {name}\n\n"
 

@@ -50,6 +50,19 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, entity_type, attributes): open metadata of the entities, with nested values and values of several types."""
+    key = F.col("c_custkey")
+    k = key.cast("string")
+    cents = F.round(F.col("c_acctbal") * 100).cast("long").cast("string")
+    budget = F.concat(F.lit('"budget":{"amount":'), cents, F.lit(',"rate":'), (key % 100).cast("string"), F.lit(".5}"))
+    sources = F.concat(F.lit('"sources":[{"type":"wiki","id":'), k, F.lit("}"), F.when(key % 3 == 0, F.concat(F.lit(',{"type":"tracker","id":"T-'), k, F.lit('"}'))).otherwise(""), F.lit("]"))
+    level = F.concat(F.lit('"level":'), F.when(key % 3 == 0, k).when(key % 3 == 1, F.concat(F.lit('"L'), k, F.lit('"'))).otherwise("null"))
+    parts = F.array_compact(F.array(budget, F.when(key % 5 != 0, sources), level, F.when(key % 2 == 0, F.lit('"active":true')), F.lit('"tags":[]'), F.concat(F.lit('"a.b":"'), "c_mktsegment", F.lit('"'))))
+    found = F.when(key % 7 != 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_mktsegment").alias("entity_type"), F.try_parse_json(found).alias("attributes"))
+
+
 def orders_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("note "), (F.col("o_orderkey") % 7).cast("string")).alias("title"), F.to_date("o_orderdate").alias("doc_date"), F.col("o_orderstatus").alias("doc_type"))

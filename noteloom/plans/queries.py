@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import scoring, snippets, text
-from noteloom.operators import chunking, fts, incremental, linking, mentions, ranking, relational, vectors
+from noteloom.operators import chunking, fts, incremental, linking, mentions, metadata, ranking, relational, vectors
 from noteloom.plans import bindings as b
 from noteloom.plans import context
 
@@ -37,6 +37,12 @@ ENTITIES = """entities AS (
     SELECT c_custkey AS id, c_name AS name, c_mktsegment AS entity_type, ['cust-' || c_custkey, lower(c_name)] AS aliases,
         CASE WHEN c_acctbal > 0 THEN c_nationkey END AS team, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS role,
         CASE WHEN c_custkey % 4 = 0 THEN DATE '1999-01-01' + (c_custkey % 700)::INT END AS updated_at FROM customer)"""
+ATTRIBUTES = """attributes AS (
+    SELECT c_custkey AS id, c_mktsegment AS entity_type, CASE WHEN c_custkey % 7 <> 0 THEN ('{' || array_to_string(list_filter([
+        '"budget":{"amount":' || round(c_acctbal * 100)::BIGINT || ',"rate":' || c_custkey % 100 || '.5}',
+        CASE WHEN c_custkey % 5 <> 0 THEN '"sources":[{"type":"wiki","id":' || c_custkey || '}' || CASE WHEN c_custkey % 3 = 0 THEN ',{"type":"tracker","id":"T-' || c_custkey || '"}' ELSE '' END || ']' END,
+        '"level":' || CASE c_custkey % 3 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN '"L' || c_custkey || '"' ELSE 'null' END,
+        CASE WHEN c_custkey % 2 = 0 THEN '"active":true' END, '"tags":[]', '"a.b":"' || c_mktsegment || '"'], lambda x: x IS NOT NULL), ',') || '}')::JSON END AS j FROM customer)"""
 ODOCS = """odocs AS (SELECT o_orderkey AS id, 'note ' || (o_orderkey % 7) AS title, o_orderdate::DATE AS doc_date, o_orderstatus AS doc_type FROM orders)"""
 MENTIONS = """mentions AS (SELECT o_custkey AS entity_id, o_orderkey AS document_id, o_orderpriority AS mention_type FROM orders)"""
 FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS entity_id, l_returnflag AS fact_text, l_shipdate::DATE AS fact_date FROM lineitem)"""
@@ -699,6 +705,37 @@ def key_values(spark, d):
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(snippets.key_values(raw), F.lit("brand")).alias("brand"), snippets.shortened(F.col("p_name")).alias("short"))
 
 
+# ---------------------------------------------------------------- open metadata
+
+
+@query(f"""WITH {ATTRIBUTES} SELECT id, (j->'$.budget.amount')::BIGINT AS amount, (j->'$.budget.rate')::DOUBLE AS rate, j->>'$.sources[1].id' AS tracker, json_extract_string(j, '$."a.b"') AS dotted
+    FROM attributes WHERE (j->'$.budget.amount')::BIGINT >= 100000 AND list_contains(json_extract_string(j, '$.sources[*].type'), 'tracker')""")
+def metadata_where(spark, d):
+    found = metadata.where(b.attributes(spark, d), {"budget.amount": (">=", 100_000), "sources[*].type": "tracker"})
+    at = lambda path, kind: metadata.value(F.col("attributes"), path, kind)
+    return found.select("id", at("budget.amount", "long").alias("amount"), at("budget.rate", "double").alias("rate"), at("sources[1].id", "string").alias("tracker"), at('["a.b"]', "string").alias("dotted"))
+
+
+@query(f"""WITH {ATTRIBUTES} SELECT id, coalesce(json_type(j, '$.level') IN ('UBIGINT', 'BIGINT') AND TRY_CAST(j->>'$.level' AS DOUBLE) > 50, false) AS number_above,
+        coalesce(json_type(j, '$.level') = 'VARCHAR' AND j->>'$.level' ILIKE '%l1%', false) AS text_has, coalesce(json_type(j, '$.level') = 'NULL', false) AS is_null,
+        NOT coalesce(json_exists(j, '$.sources'), false) AS no_sources, NOT coalesce(json_type(j, '$.active') = 'BOOLEAN' AND j->>'$.active' = 'true', false) AS not_active,
+        coalesce(j->>'$."a.b"' IN ('BUILDING', 'MACHINERY'), false) AS one_of,
+        CASE json_type(j, '$.level') WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'UBIGINT' THEN 'number' END AS level_kind FROM attributes""")
+def metadata_conditions(spark, d):
+    is_so = lambda path, op, x=None: metadata.condition(F.col("attributes"), path, op, x)
+    told = metadata.kind(F.try_variant_get("attributes", "$.level", "variant"))
+    return b.attributes(spark, d).select("id", is_so("level", ">", 50).alias("number_above"), is_so("level", "~", "l1").alias("text_has"), is_so("level", "type", "null").alias("is_null"), is_so("sources", "missing").alias("no_sources"),
+                                         is_so("active", "!=", True).alias("not_active"), is_so('["a.b"]', "in", ["BUILDING", "MACHINERY"]).alias("one_of"), told.alias("level_kind"))
+
+
+@query(f"""WITH {ATTRIBUTES}, t AS (SELECT replace(replace(regexp_replace(regexp_replace(fullkey, '\\[\\d+\\]', '[*]', 'g'), '^\\$\\.?', ''), '"a.b"', '["a.b"]'), ' ', '') AS path, type, value FROM attributes, json_tree(j) WHERE j IS NOT NULL)
+    SELECT path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind, count(*) AS n_values,
+        min(CASE WHEN type NOT IN ('NULL', 'ARRAY') THEN value->>'$' END) AS least, max(CASE WHEN type NOT IN ('NULL', 'ARRAY') THEN value->>'$' END) AS most
+    FROM t WHERE type <> 'OBJECT' AND (type <> 'ARRAY' OR json_array_length(value) = 0) GROUP BY ALL""")
+def metadata_paths(spark, d):
+    return metadata.inventory(b.attributes(spark, d))
+
+
 # ---------------------------------------------------------------- incremental, chunking, transcripts
 
 

@@ -7,7 +7,7 @@ DOCUMENTS = (
 CHUNKS = "chunk_id long, document_id long, chunk_index int, heading string, content string, metadata_prefix string"
 ENTITIES = (
     "id long, name string, entity_type string, aliases array<string>, metadata map<string,string>, source_path string, pinned boolean, "
-    "updated_at timestamp, last_mentioned_at date"
+    "updated_at timestamp, last_mentioned_at date, attributes variant"
 )
 MENTIONS = "entity_id long, document_id long, mention_type string"
 FACTS = "id long, entity_id long, fact_text string, fact_date date, created_at timestamp, seq int"

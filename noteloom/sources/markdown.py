@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import snippets
 from noteloom.functions import text as T
+from noteloom.operators import metadata as open_metadata
 from noteloom.session import ready
 
 # File suffixes of meetings, and types of the memory folders.
@@ -123,7 +123,7 @@ def glossary_chunks(terms: DataFrame) -> DataFrame:
     return terms.select("path", "line_no", F.col("term").alias("heading"), content.alias("content"))
 
 
-PROFILE = "aliases array<string>, pinned boolean, metadata map<string,string>"
+PROFILE = "aliases array<string>, pinned boolean, metadata map<string,string>, attributes string"
 # Keys of a profile that are no metadata, what its other names stand under, the heads of sections and tables.
 PROFILE_KEYS = ("aliases", "pinned", "also known as", "codename/also called")
 ALSO = {"memory_person": "also known as", "memory_project": "codename/also called"}
@@ -131,18 +131,18 @@ TEAMS_MARK = "Teams (from Linear)"
 PEOPLE_HEAD = "| Who | Role |"
 
 
-def _yaml_profile(found: dict) -> tuple[list[str], bool, dict[str, str]]:
-    """Aliases, pin and metadata of a YAML head; lists and mappings are kept as JSON, and ids of sources are aliases."""
+def _yaml_profile(found: dict) -> tuple[list[str], bool, dict[str, str], str]:
+    """Aliases, pin, metadata as texts and as JSON of a YAML head; ids of sources are aliases."""
     given = found.get("aliases") or []
     aliases = [str(a).strip() for a in (given if isinstance(given, list) else [given])]
     kept = {str(k): v for k, v in found.items() if k not in ("aliases", "pinned") and v is not None}
-    plain = {k: json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v).strip() for k, v in kept.items()}
+    plain = {k: open_metadata.as_json(v) if isinstance(v, (list, dict)) else str(v).strip() for k, v in kept.items()}
     ids = [f"src:{x}" for x in snippets.source_ids(found)]
-    return aliases + ids, bool(found.get("pinned", False)), {k: v for k, v in plain.items() if v}
+    return aliases + ids, bool(found.get("pinned", False)), {k: v for k, v in plain.items() if v}, open_metadata.as_json(kept)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(name, aliases, metadata, pinned, path) of people and projects, from a YAML head or, without one, from
+    """(name, aliases, metadata, attributes, pinned, path) of people and projects, from a YAML head or, without one, from
     `**Key:** value` lines. The file name is an alias, and so is a person's first name. docs: (path, title, doc_type, text)."""
     ready(docs.sparkSession)
 
@@ -150,7 +150,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     def head(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [frontmatter(t) for t in batch]
-            yield pd.DataFrame([_yaml_profile(f) if f else (None, None, None) for f in found], columns=["aliases", "pinned", "metadata"])
+            yield pd.DataFrame([_yaml_profile(f) if f else (None, None, None, None) for f in found], columns=["aliases", "pinned", "metadata", "attributes"])
 
     lines = T.fields(F.col("text"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
@@ -164,7 +164,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     aliases = F.array_distinct(F.array_compact(F.concat(F.coalesce("h.aliases", "listed"), F.array(first, F.col("stem")))))
     old = F.map_filter("l", lambda k, v: ~k.isin(*PROFILE_KEYS))
     pinned = F.coalesce("h.pinned", F.lower(F.element_at("l", F.lit("pinned"))).isin("true", "yes", "1"), F.lit(False))
-    return rows.select("name", F.array_remove(aliases, F.col("name")).alias("aliases"), F.coalesce("h.metadata", old).alias("metadata"), pinned.alias("pinned"), "path")
+    return rows.select("name", F.array_remove(aliases, F.col("name")).alias("aliases"), F.coalesce("h.metadata", old).alias("metadata"), F.coalesce(F.try_parse_json("h.attributes"), open_metadata.from_map(old)).alias("attributes"), pinned.alias("pinned"), "path")
 
 
 def _lines(tree: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def test_every_command_has_an_action():
 
     kb = Any()
     p = cli.parser()
-    needs = {"search": ["q"], "view": ["t"], "entity-unlink": ["a", "b"], "entity-relink": ["a", "b"], "fact-add": ["a", "b"], "fact-edit": ["a", "1"], "fact-delete": ["a", "1"], "note-add": ["t"], "note-delete": ["p"], "similar": ["t"], "pin": ["p"], "glossary-edit": ["a", "b"], "correct": ["a", "b"]}
+    needs = {"search": ["q"], "view": ["t"], "entity-unlink": ["a", "b"], "entity-relink": ["a", "b"], "fact-add": ["a", "b"], "fact-edit": ["a", "1"], "fact-delete": ["a", "1"], "note-add": ["t"], "note-delete": ["p"], "similar": ["t"], "pin": ["p"], "glossary-edit": ["a", "b"], "glossary-delete": ["t"], "correct": ["a"], "note-edit": ["p"], "entity-where": ["a=1"], "entity-set": ["a", "b", "1"]}
     for name in next(x for x in p._actions if x.choices and "search" in x.choices).choices:
         args = needs.get(name, ["n"] if name.startswith(("person-", "project-")) and not name.endswith("list") else [])
         if name != "index-compact":
