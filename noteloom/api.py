@@ -36,6 +36,8 @@ class KnowledgeBase:
         self.root = Path(project_root)
         self.store = Store(spark, data_dir or str(self.root / ".index"))
         self.as_of = as_of or dt.date.today()
+        #: The time of what is done now; a given day stands still at its beginning.
+        self._now = F.lit(dt.datetime.combine(as_of, dt.time())) if as_of else F.current_timestamp()
         self.embed = embed or (lambda c: vectors.hash_embedding(text.tokens(c), dim))
         self.last_search: dict = {}
         self.me = me
@@ -104,7 +106,7 @@ class KnowledgeBase:
         counts = chunks.filter(F.col("chunk_index") < 1_000_000).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count"))
         listed = new.join(counts, "id", "left").withColumns({
             "abstract": text.first_sentence(F.col("text"), F.col("title")), "overview": text.first_paragraph(F.col("text")),
-            "indexed_at": F.current_timestamp()})
+            "indexed_at": self._now})
         self._put("documents", listed, gone, full)  # last, so that a build that broke off is done again
         return {"new": n_texts - n_changed, "changed": n_changed, "indexed": n_texts}
 
@@ -515,7 +517,7 @@ class KnowledgeBase:
         """Documents, newest first; since_hours keeps those that were indexed that recently."""
         docs = self.store.read("documents")
         if since_hours is not None:
-            docs = docs.filter(F.col("indexed_at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(since_hours * 3600)))
+            docs = docs.filter(F.col("indexed_at") >= self._now - F.make_dt_interval(secs=F.lit(since_hours * 3600)))
         return relational.list_documents(docs, doc_type, from_date, to_date, limit=limit)
 
     def count_documents(self) -> int:
