@@ -141,25 +141,33 @@ def bounded(labelled: DataFrame, per_label: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def _windows(texts: DataFrame, distance: Distance | None, most: int = SAMPLE_WINDOWS) -> list[bytes]:
-    """About `most` windows of the texts, chosen by their hash; with a distance, only of texts that it tells nothing of."""
-    import zlib
+    """About `most` windows of the (doc_id, text) rows, in a random order that reruns repeat; with a distance, only of
+    texts that it tells nothing of. They are chosen by a hash of id and place, so that a passage that many documents share
+    comes in proportion, not in all its copies."""
+    import xxhash
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, most * STEP / max(1, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("text").to_pylist()
+            ids, found = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            ranks: list[int] = []
             out: list[bytes] = []
             for s in common.slices(found):
                 far = distance(found[s]) if distance else [None] * (s.stop - s.start)
-                for text, x in zip(found[s], far):
+                for name, text, x in zip(ids[s], found[s], far):
                     if x is None or not ((hot := int((x >= GAIN).sum())) >= 2 and hot >= TOLD * len(x)):
-                        out += [w for w in cut(normal(text)) if zlib.crc32(w) < share * 2**32]
-            yield pa.RecordBatch.from_pydict({"w": pa.array(out, pa.binary())})
-
-    found = texts.select("text").mapInArrow(run, "w binary").toArrow()["w"].to_pylist()  # `most`, about
-    return sorted(found, key=lambda w: (zlib.crc32(w[::-1]), w))
+                        for k, w in enumerate(cut(normal(text))):
+                            rank = xxhash.xxh32_intdigest(name, k)
+                            if rank < share * 2**32:
+                                ranks.append(rank)
+                                out.append(w)
+            yield pa.RecordBatch.from_pydict({"rank": pa.array(ranks, pa.int64()), "w": pa.array(out, pa.binary())})
+
+    named = texts.select(F.col("doc_id").cast("string").alias("id"), "text")
+    found = named.mapInArrow(run, "rank long, w binary").toArrow().to_pylist()  # `most`, about
+    return [r["w"] for r in sorted(found, key=lambda r: (r["rank"], r["w"]))]
 
 
 def _trained(size: int, windows: list[bytes], segment: int) -> bytes | None:

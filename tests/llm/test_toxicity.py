@@ -61,3 +61,18 @@ def test_repeated_ids_and_labels(spark):
     got = toxicity.judge(docs, labels).collect()
     assert len(got) == 403 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     assert len({r["score"] for r in got if r["doc_id"] == 0}) == 2
+
+
+def test_a_line_of_all_documents_comes_in_proportion(spark):
+    line = "the very same line that every single document has at its beginning and which is long enough to be many windows "
+    rows = [(i, line * 3 + text, y) for i, text, y in corpus(3000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").filter("toxic = 0")
+    cuts = [toxicity.cut(toxicity.normal(text)) for _, text, y in rows if not y]
+    first, every = cuts[0][2], sum(map(len, cuts))
+    size = sum(len(text.encode()) for _, text, y in rows if not y)
+    for most in (5000, 20_000):
+        got = toxicity._windows(docs, None, most)
+        share = most * toxicity.STEP / size
+        assert 0.9 * share * every < len(got) < 1.1 * share * every
+        assert 0.7 * share * len(cuts) < sum(w == first for w in got) < 1.3 * share * len(cuts)
+        assert got == toxicity._windows(docs.repartition(5), None, most)
