@@ -215,12 +215,12 @@ class Model:
         ahead, back = np.zeros((n + 1, m, len(self.langs))), np.zeros((n + 1, m, len(self.langs)))
         ahead[0] = back[n] = 1.0
         log_ahead, log_back = np.zeros((n + 1, m, 1)), np.zeros((n + 1, m, 1))
-        at: dict[tuple[int, int], np.ndarray] = {}
+        at = np.empty((n, self.longest, m), np.int32)  # the piece from i to j at [i, j - i - 1]: 4 bytes a place and length
 
         def chance(i: int, j: int) -> np.ndarray:
-            p = self.p[at[i, j]]
+            p = self.p[at[i, j - i - 1]]
             if j == i + 1:
-                p[at[i, j] == len(self.keys) - 1] = UNKNOWN
+                p[at[i, 0] == len(self.keys) - 1] = UNKNOWN
             return p
 
         for i in range(n + 1):
@@ -230,7 +230,7 @@ class Model:
             h = np.zeros(m, np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = (h ^ codes[:, j - 1]) * _PRIME
-                at[i, j] = self._pieces(h)
+                at[i, j - i - 1] = self._pieces(h)
                 ahead[j] += ahead[i] * chance(i, j)
         for j in range(n, -1, -1):
             top = back[j].max(axis=1, keepdims=True)
@@ -240,9 +240,12 @@ class Model:
             for i in range(first, j):
                 back[i] += back[j] * chance(i, j)
         total = np.log(np.maximum(ahead[n], 1e-300)) + log_ahead[n]
-        for i, j in at:
-            share = ahead[i] * chance(i, j) * back[j] * np.exp(log_ahead[i] + log_back[j] - total)
-            np.add.at(out, at[i, j], share * weights)
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                # A share is 1 at most; where a language's sums vanish in a long word, the bound stands in for it.
+                scale = np.exp(np.minimum(log_ahead[i] + log_back[j] - total, 700.0))
+                share = np.minimum(ahead[i] * chance(i, j) * back[j] * scale, 1.0)
+                np.add.at(out, at[i, j - i - 1], share * weights)
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its posterior probability, all being as likely before."""

@@ -259,3 +259,18 @@ def test_expected_counts_against_brute_force():
                     want[pieces.index(x)] += n * q / total
     assert np.allclose(m.expected(words, weights), want)
     assert np.isfinite(m.expected(["ab" * 400], np.ones((1, 2)))).all()
+
+
+def test_expected_counts_of_very_long_words():
+    """Pieces that one language almost never has: its sums vanish, and yet no count overflows or exceeds the places."""
+    import numpy as np
+
+    from noteloom.llm import language_id
+
+    pieces = ["", "\u2581", "a", "b", "ab", "ba"]
+    m = language_id.Model(["x", "y"], np.array([[0, 9, 900, 1, 1, 1], [0, 9, 1e-9, 900, 1, 1]], float), pieces)
+    with np.errstate(over="raise", invalid="raise"):
+        for word in ("a" * 10_000 + "b" * 10_000, "ab" * 50_000):
+            got = m.expected([word], np.ones((1, 2)))
+            assert np.isfinite(got).all() and (got >= 0).all() and (got <= len(word) + 1).all()
+            assert got[:, 0].sum() > 0
