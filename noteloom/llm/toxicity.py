@@ -37,7 +37,7 @@ WINDOW, STEP = 48, 24
 LEVEL = 3
 #: Bytes of the ordinary dictionary and of what a round trains; the trainer's segment lengths, and its unit.
 ORDINARY_BYTES, ROUND_BYTES = 32_000, 16_384
-ORDINARY_SEGMENT, SEGMENT, UNIT = 32, 10, 6
+ORDINARY_SEGMENT, SEGMENT, UNIT = 32, 14, 6
 #: A round trains on this share of its windows, those that the ordinary dictionary compresses worst.
 HARD = 0.3
 ROUNDS = 4
