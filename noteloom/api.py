@@ -164,8 +164,8 @@ class KnowledgeBase:
         lost = [fts.impacts(self.store.read(t).join(gone.toDF("document_id"), "document_id", "left_semi")).withColumn("kind", F.lit(t)).withColumn("n", -F.col("n")) for t in ("postings", "stemmed")]
         lost.append(_totals(self.store.read("lengths").join(gone.toDF("document_id"), "document_id", "left_semi"), -1))
         sizes = self._put("lengths", fts.lengths(chunks).join(owner, "chunk_id"), gone, full)
-        words = self._put("postings", fts.blocked(fts.postings(chunks), sizes).join(owner, "chunk_id"), gone, full)
-        stems = self._put("stemmed", fts.blocked(fts.stemmed(words), sizes).join(owner, "chunk_id"), gone, full)
+        words = self._put("postings", fts.blocked(fts.postings(chunks, sized=True)).join(owner, "chunk_id"), gone, full)
+        stems = self._put("stemmed", fts.blocked(fts.stemmed(words)).join(owner, "chunk_id"), gone, full)
         hashed = chunks.select("chunk_id", "document_id", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
         before = self.store.read("vectors")
         before = before.limit(0) if full else before.join(gone.toDF("document_id"), "document_id", "left_semi")

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,19 +44,31 @@ def looked_up(index: DataFrame, terms: list[str]) -> DataFrame:
     return found
 
 
-def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading); of some terms only, if given,
-    for a query on text that has no stored index: these are sought in each text's tokens, and nothing is shuffled."""
+def postings(chunks: DataFrame, terms: list[str] | None = None, sized: bool = False) -> DataFrame:
+    """(term, chunk_id, col, tf, positions) of chunks (chunk_id, content, heading); of some terms only, if given, for a
+    query on text that has no stored index. With sized also dl, the tokens of both columns. A chunk is one row, so its
+    tokens are grouped where they are, and nothing is shuffled."""
+    if terms is not None:  # texts that lack the letters of every term are not cut into tokens
+        low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS]
+        chunks = chunks.filter(reduce(or_, [x.contains(t.rstrip("*")) for t in terms for x in low], F.lit(False)))
+    size = sum((F.size(T.tokens(F.col(c))) for c in WEIGHTS), F.lit(0)).cast("long").alias("dl")
     columns = F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in WEIGHTS])
-    texts = chunks.select("chunk_id", F.explode(columns).alias("c"))
-    if terms is not None:
-        hits = F.filter(F.transform("c.tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda h: _any_of(h["term"], terms))
-        found = texts.select("chunk_id", "c.col", hits.alias("hits")).filter(F.size("hits") > 0)
-        found = found.withColumn("term", F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))))
-        found = found.withColumn("positions", F.transform(F.filter("hits", lambda h: h["term"] == F.col("term")), lambda h: h["at"]))
-        return found.select("term", "chunk_id", "col", F.size("positions").alias("tf"), "positions")
-    places = texts.select("chunk_id", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
-    return places.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    own = ["chunk_id", *["dl"] * sized]
+    texts = chunks.select("chunk_id", *[size] * sized, F.explode(columns).alias("c")).filter(F.size("c.tokens") > 0).select(*own, "c.col", "c.tokens")
+    places = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    texts = texts.withColumn("hits", F.sort_array(places if terms is None else F.filter(places, lambda h: _any_of(h["term"], terms))))
+    last = F.size("hits") - 1
+    begins = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("hits", i)["term"] != F.get("hits", i - 1)["term"])))
+    texts = texts.select(*own, "col", "hits", begins.alias("begins"))
+    run = lambda at, k: F.slice("hits", at + 1, F.coalesce(F.get("begins", k + 1), F.size("hits")) - at)
+    groups = F.transform("begins", lambda at, k: F.struct(F.get("hits", at)["term"].alias("term"), F.transform(run(at, k), lambda h: h["at"]).alias("positions")))
+    found = texts.select(*own, "col", F.explode(groups).alias("g"))
+    return found.select("g.term", "chunk_id", "col", F.size("g.positions").alias("tf"), "g.positions", *own[1:])
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(term) of all chunks; a task sends each of its terms once."""
+    return chunks.select(F.explode(F.concat(*[F.array_distinct(T.tokens(F.col(c))) for c in WEIGHTS])).alias("term")).distinct()
 
 
 def query_terms(query: str, expansions: list[str] = ()) -> list[str]:
@@ -62,19 +76,29 @@ def query_terms(query: str, expansions: list[str] = ()) -> list[str]:
     return sorted({w for _, leaves in variants(query, list(expansions)) for words in leaves.values() for w in words})
 
 
-def stemmed(index: DataFrame) -> DataFrame:
-    """The index on stems and folded letters; each distinct term is stemmed once."""
+def _stems(words: DataFrame) -> DataFrame:
+    """(term, stem) of distinct terms, with folded letters."""
     from noteloom.functions.stem import stem
 
-    ready(index.sparkSession)
+    ready(words.sparkSession)
 
     @F.pandas_udf("string")
     def stems(s: pd.Series) -> pd.Series:
         return s.map(lambda t: stem(T.fold(t) or t))
 
-    vocabulary = index.select("term").distinct().withColumn("stem", stems("term"))
-    joined = index.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), "chunk_id", "col")
-    return joined.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return words.withColumn("stem", stems("term"))
+
+
+def stemmed(index: DataFrame) -> DataFrame:
+    """The index on stems and folded letters, with the lengths that it has; each distinct term is stemmed once."""
+    sized = [F.first("dl").alias("dl")] * ("dl" in index.columns)
+    joined = index.join(_stems(index.select("term").distinct()), "term").groupBy(F.col("stem").alias("term"), "chunk_id", "col")
+    return joined.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), *sized)
+
+
+def words_of(words: DataFrame, stems: list[str]) -> list[str]:
+    """The words of a vocabulary (term) that have one of some stems: the forms of a query's words."""
+    return sorted(r["term"] for r in _stems(words).filter(F.col("stem").isin(*stems)).select("term").collect())
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -95,9 +119,14 @@ def leaf_frequencies(index: DataFrame, leaves: dict[str, list[str]]) -> DataFram
     rows = [(leaf, i, t, len(tokens)) for leaf, tokens in leaves.items() for i, t in enumerate(tokens)]
     wanted = F.broadcast(spark.createDataFrame(rows, "leaf string, at int, term string, n int"))  # the query's words
     index = looked_up(index, sorted({r[2] for r in rows}))
-    places = index.join(wanted, "term").select("leaf", "n", "chunk_id", "col", "at", F.explode("positions").alias("p"))
-    starts = places.groupBy("leaf", "n", "chunk_id", "col", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("matched"))
-    found = starts.filter("matched = n").groupBy("leaf", "chunk_id", "col").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("start")).alias("starts"))
+    matched = index.join(wanted, "term")
+    # A term alone is found where its row says; only phrases bring rows together.
+    found = matched.filter("n = 1").select("leaf", "chunk_id", "col", F.size("positions").cast("long").alias("hits"), F.col("positions").alias("starts"))
+    if any(len(tokens) > 1 for tokens in leaves.values()):
+        places = matched.filter("n > 1").select("leaf", "n", "chunk_id", "col", "at", F.explode("positions").alias("p"))
+        starts = places.groupBy("leaf", "n", "chunk_id", "col", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("matched"))
+        phrases = starts.filter("matched = n").groupBy("leaf", "chunk_id", "col").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("start")).alias("starts"))
+        found = found.unionByName(phrases)
     weight = F.when(F.col("col") == "heading", WEIGHTS["heading"]).otherwise(WEIGHTS["content"])
     return found.withColumn("f", F.col("hits") * weight)
 
@@ -132,8 +161,9 @@ def _near(per_column: DataFrame, leaves: dict[str, list[str]], gap: int) -> Data
     the occurrences of a column in order: the nearest of another leaf is the last before or the first behind."""
     size = F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (k, len(v))])
     own = per_column.select("leaf", "chunk_id", "col", F.explode("starts").alias("s")).withColumn("e", F.col("s") + size[F.col("leaf")])
-    w = Window.partitionBy("chunk_id", "col").orderBy("s", "leaf")
-    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("chunk_id", "col")
+    # What is behind is what came before in the other direction: frames that only grow, each row is looked at once.
+    before, behind = [w.orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (("s", "leaf"), (F.desc("s"), F.desc("leaf")))]
     together = F.lit(True)
     for k, leaf in enumerate(leaves):
         is_leaf = F.col("leaf") == leaf
@@ -155,9 +185,10 @@ def block_of(chunk_id, dl):
     return (F.floor(4 * F.log2(dl + 1)) * SPREAD + F.pmod(F.xxhash64(chunk_id), F.lit(SPREAD))).cast("int")
 
 
-def blocked(index: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The index with the length and the block of each row's chunk."""
-    return index.join(sizes.select("chunk_id", "dl"), "chunk_id").withColumn("block", block_of(F.col("chunk_id"), F.col("dl")))
+def blocked(index: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The index with the length and the block of each row's chunk; sizes are for an index without lengths."""
+    index = index.select("chunk_id", "term", "col", "tf", "positions", "dl") if sizes is None else index.join(sizes.select("chunk_id", "dl"), "chunk_id")
+    return index.withColumn("block", block_of(F.col("chunk_id"), F.col("dl")))
 
 
 def impacts(index: DataFrame) -> DataFrame:

@@ -294,17 +294,18 @@ def entity_profiles(spark, d):
 
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT t.term, coalesce(n, 0) AS n_docs FROM (VALUES ('with'), ('from'), ('idiot'), ('zzzz')) t(term) LEFT JOIN (SELECT term, count(DISTINCT document_id) AS n FROM tokens GROUP BY term) USING (term)")
 def term_doc_freq(spark, d):
-    c = b.chunks(spark, d)
-    return fts.document_frequency(b.postings(spark, d), c, ["with", "from", "idiot", "zzzz"])
+    c, wanted = b.chunks(spark, d), ["with", "from", "idiot", "zzzz"]
+    return fts.document_frequency(b.postings(spark, d, wanted), c, wanted)
 
 
 @query(f"WITH {CHUNKS}, {TOKENS} SELECT term, count(DISTINCT chunk_id) AS df FROM tokens WHERE starts_with(term, 'stu') GROUP BY term")
 def prefix_terms(spark, d):
-    return fts.expand_prefix(b.postings(spark, d), "stu")
+    return fts.expand_prefix(b.postings(spark, d, ["stu*"]), "stu")
 
 
 def _bm25(spark, d, leaves, mode="or"):
-    return fts.bm25(b.postings(spark, d), b.lengths(spark, d), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
+    words = [t for tokens in leaves.values() for t in tokens]
+    return fts.bm25(b.postings(spark, d, words), b.lengths(spark, d), leaves, mode).select("chunk_id", F.round("raw", 6).alias("raw"))
 
 
 _BOTH = {t: [t] for t in TERMS}
@@ -342,7 +343,7 @@ def bm25_near(spark, d):
 
 @query(f"WITH {_bm25_sql(_TERM_LEAVES)} SELECT chunk_id, round(CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 1.0 ELSE (max(raw) OVER () - raw) / (max(raw) OVER () - min(raw) OVER ()) END, 4) AS score FROM scored")
 def bm25_minmax(spark, d):
-    raw = fts.bm25(b.postings(spark, d), b.lengths(spark, d), _BOTH)
+    raw = fts.bm25(b.postings(spark, d, TERMS), b.lengths(spark, d), _BOTH)
     return raw.select("chunk_id", F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
 
@@ -352,7 +353,7 @@ _HITS = f"""{_bm25_sql(_TERM_LEAVES)}, pool AS (SELECT * FROM scored ORDER BY ro
 
 def _hits(spark, d):
     """The 50 best chunks for the terms, with scaled scores."""
-    found = fts.top_k(b.postings(spark, d), b.bounds(spark, d), b.corpus(spark, d), TERMS, 50)
+    found = fts.top_k(b.postings(spark, d, TERMS), b.bounds(spark, d, TERMS), b.corpus(spark, d), TERMS, 50)
     top = spark.createDataFrame(found, "chunk_id long, raw double")
     return top.select("chunk_id", F.expr(f"chunk_id div {b.LINES}").alias("document_id"), F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("score"))
 
@@ -424,8 +425,7 @@ def two_pass_search(spark, d):
     found = vectors.top_k(profiles, q, 3, "label", 0.1).select(F.col("label").alias("entity_id"), "score")
     parents = ranking.parent_scores(found, e.select(F.col("label").alias("entity_id"), F.col("vec_id").alias("document_id")))
     within = b.lengths(spark, d).withColumn("document_id", F.expr(f"chunk_id div {b.LINES}")).join(parents, "document_id", "left_semi")
-    index = b.postings(spark, d).filter(F.col("term").isin(TERMS))
-    scores = fts.bm25(index, b.lengths(spark, d), _BOTH).join(within.select("chunk_id", "document_id"), "chunk_id")
+    scores = fts.bm25(b.postings(spark, d, TERMS), b.lengths(spark, d), _BOTH).join(within.select("chunk_id", "document_id"), "chunk_id")
     own = scores.select("chunk_id", "document_id", F.round(scoring.minmax_bm25(F.col("raw")), 4).alias("own")).withColumn("score", F.col("own"))
     return ranking.with_hierarchy(own, parents).select("chunk_id", "own", "parent", F.round("score", 6).alias("score"))
 
@@ -442,7 +442,7 @@ def topic_entities(spark, d):
     kinds = kinds.unionByName(docs.filter("source is not null").select(F.concat("source", F.lit(" feed")).alias("id"), F.col("doc_id").alias("document_id")))
     names = kinds.select("id").distinct().select("id", F.col("id").alias("name"), F.array().cast("array<string>").alias("aliases"))
     owners = b.chunks(spark, d).select("chunk_id", "document_id")
-    return context.topic_entities(names, kinds.withColumnRenamed("id", "entity_id"), b.postings(spark, d), owners, "en la")
+    return context.topic_entities(names, kinds.withColumnRenamed("id", "entity_id"), b.postings(spark, d, fts.query_terms("en la")), owners, "en la")
 
 
 _VECS = "vq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), vsim AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 4) AS score FROM embeddings, vq)"
@@ -541,7 +541,7 @@ def bm25_prefix(spark, d):
 @query(f"WITH {_bm25_sql(_TERM_LEAVES, 'count(*) = 2')} SELECT chunk_id, round(raw, 6) AS raw FROM scored ORDER BY round(scored.raw, 9), chunk_id LIMIT 30")
 def bm25_top_blocks(spark, d):
     """The best chunks that have both terms, without reading the blocks that cannot have them."""
-    found = fts.top_k(b.postings(spark, d), b.bounds(spark, d), b.corpus(spark, d), TERMS, 30, "and")
+    found = fts.top_k(b.postings(spark, d, TERMS), b.bounds(spark, d, TERMS), b.corpus(spark, d), TERMS, 30, "and")
     return spark.createDataFrame(found, "chunk_id long, raw double").withColumn("raw", F.round("raw", 6))
 
 
@@ -570,13 +570,15 @@ def _variants_sql(words: list[str], limit: int) -> str:
 
 @query(_variants_sql(["from", "the", "with"], 50))
 def search_variants(spark, d):
-    found = fts.search(b.postings(spark, d), b.lengths(spark, d), "from the with", 50, bounds=b.bounds(spark, d), corpus=b.corpus(spark, d))
+    words = fts.query_terms("from the with")
+    found = fts.search(b.postings(spark, d, words), b.lengths(spark, d), "from the with", 50, bounds=b.bounds(spark, d, words), corpus=b.corpus(spark, d))
     return found.select("chunk_id", F.round("raw", 6).alias("raw"), F.round("score", 4).alias("score"))
 
 
 @query()
 def search_stemmed(spark, d):
-    return fts.search(b.stemmed(spark, d), b.lengths(spark, d), "thing", 50, bounds=b.bounds(spark, d, "stemmed"), corpus=b.corpus(spark, d))
+    stems = fts.query_terms("thing")
+    return fts.search(b.stemmed(spark, d, stems), b.lengths(spark, d), "thing", 50, bounds=b.bounds(spark, d, stems, "stemmed"), corpus=b.corpus(spark, d))
 
 
 # ---------------------------------------------------------------- linking

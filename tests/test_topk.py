@@ -104,3 +104,32 @@ def test_a_variant_runs_only_if_needed(index, monkeypatch):
     corpus = tuple(sizes.agg(F.count(F.lit(1)), F.avg("dl")).first())
     bounded = fts.search(index, sizes, "elm cedar", 590, bounds=fts.impacts(index), corpus=corpus).collect()
     assert [(r.chunk_id, round(r.raw, 8)) for r in bounded] == [(r.chunk_id, round(r.raw, 8)) for r in many]
+
+
+def test_an_index_is_made_where_its_texts_are(spark, texts):
+    """Postings need no shuffle, of all terms or of some, and have every place; near looks at each place once."""
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string, heading string")
+    want, sizes = {}, {}
+    for chunk, *columns in texts:
+        for col, text in zip(("content", "heading"), columns):
+            for i, t in enumerate((text or "").split()):
+                want.setdefault((t, chunk, col), []).append(i)
+                sizes[chunk] = sizes.get(chunk, 0) + 1
+    for terms in (None, ["elm", "bir*"]):
+        found = fts.postings(chunks, terms, sized=True)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+        assert all(r.tf == len(r.positions) and r.dl == sizes[r.chunk_id] for r in rows)
+        kept = {k: v for k, v in want.items() if terms is None or k[0] == "elm" or k[0].startswith("bir")}
+        assert {(r.term, r.chunk_id, r.col): list(r.positions) for r in rows} == kept and len(rows) == len(kept)
+    one = fts.leaf_frequencies(fts.postings(chunks), {"elm": ["elm"]})
+    assert "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in fts._near(one, {"elm": ["elm"], "ash": ["ash"]}, 3)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_forms_of_a_stem_are_looked_up(spark):
+    chunks = spark.createDataFrame([(1, "Running runs run ran", "run"), (2, "ash", None), (3, None, "Rúns")], "chunk_id long, content string, heading string")
+    words = fts.words_of(fts.vocabulary(chunks), ["run"])
+    assert words == ["run", "running", "runs", "rúns"]
+    index = {(r.term, r.chunk_id, r.col): (r.tf, list(r.positions), r.dl) for r in fts.stemmed(fts.postings(chunks, words, sized=True)).collect()}
+    assert index == {("run", 1, "content"): (3, [0, 1, 2], 5), ("run", 1, "heading"): (1, [0], 5), ("run", 3, "heading"): (1, [0], 1)}
