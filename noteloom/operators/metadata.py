@@ -9,10 +9,14 @@ import datetime as dt
 import json
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.session import ready
+
 _STEP = re.compile(r"""\.?([\w-]+)|\[(\d+)\]|\[(\*)\]|\[(?:"([^"]*)"|'([^']*)')\]""")
 _CONDITION = re.compile(r"(.+?)\s*(!=|>=|<=|=|>|<|~)\s*(.*)", re.DOTALL)
 EVERY = None
@@ -144,8 +148,24 @@ def leaves(rows: DataFrame, column: str = "attributes", levels: int | None = Non
 
 def inventory(rows: DataFrame, column: str = "attributes", levels: int | None = None) -> DataFrame:
     """(path, kind, n_values, least, most): what paths there are, of what kinds; the least and greatest value as texts."""
-    found = leaves(rows.select(column), column, levels)
-    return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n_values"), F.min("text").alias("least"), F.max("text").alias("most"))
+    ready(rows.sparkSession)
+    found = leaves(rows.select(column), column, levels).select("path", "kind", "text")
+    # Spark aggregates least and greatest texts by sorting, which would hold all values of a task; of each batch a row for a
+    # path and kind is left before that.
+    parts = found.mapInArrow(_told, "path string, kind string, n_values long, least string, most string")
+    return parts.groupBy("path", "kind").agg(F.sum("n_values").alias("n_values"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, kind, n_values, least, most) of each batch of (path, kind, text); texts compare by their bytes, as Spark's do."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table.set_column(2, "text", table["text"].cast(pa.binary()))
+        told = table.group_by(["path", "kind"]).aggregate([([], "count_all"), ("text", "min"), ("text", "max")])
+        told = told.select(["path", "kind", "count_all", "text_min", "text_max"]).rename_columns(["path", "kind", "n_values", "least", "most"])
+        for i in (3, 4):
+            told = told.set_column(i, told.column_names[i], told.column(i).cast(pa.string()))
+        yield from told.to_batches()
 
 
 # ---------------------------------------------------------------- values of one file or row

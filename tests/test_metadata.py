@@ -237,3 +237,14 @@ def test_settings(tmp_path, monkeypatch):
     near.write_text("user = 1\n")
     with pytest.raises(ValueError):
         config.settings(near)
+
+
+def test_an_inventory_sorts_no_values(spark):
+    """Only a row for each path and kind of a batch is aggregated by sorting, not every value."""
+    rows = spark.range(5000).selectExpr("""try_parse_json(concat('{"a":"', id, '","b":{"é":', id, '},"c":[', if(id % 2 = 0, 'null', '"Zoë"'), '],"d":{}}')) as attributes""")
+    found = m.inventory(rows, levels=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > max(plan.index("SortAggregate"), plan.rindex("Sort "))
+    got = {tuple(r) for r in found.collect()}
+    want = {("a", "string", 5000, "0", "999"), ('b["é"]', "number", 5000, "0", "999"), ("c[*]", "null", 2500, None, None), ("c[*]", "string", 2500, "Zoë", "Zoë"), ("d", "object", 5000, None, None)}
+    assert got == want
