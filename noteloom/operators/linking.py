@@ -14,11 +14,29 @@ SIFT = 1 << 16
 FEW_NAMES = 100_000
 
 
+def first_slot(first):
+    """The place in a table of names' first tokens alone, by which most places of a text are passed over."""
+    return F.pmod(F.xxhash64(first), F.lit(SIFT))
+
+
+def table_of(places: list[int]) -> bytearray:
+    """SIFT bytes, 1 at some places."""
+    found = bytearray(SIFT)
+    for at in places:
+        found[at] = 1
+    return found
+
+
+def in_table(table: bytearray, slot):
+    return F.substring(F.lit(table), (slot + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1]))
+
+
 def name_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(entity_id, document_id, hits): names, of any number of tokens, that a document's text has.
 
     The text's token n-grams, of the lengths that names have, are joined to names on equality, so that names times
-    documents is never formed. Only places whose first tokens and length are a name's, by a table of SIFT bytes, are made into n-grams.
+    documents is never formed. Only places whose first token is a name's, and whose first tokens and length are, by tables of
+    SIFT bytes, are made into n-grams.
     docs: (id, text); names: (entity_id, name)."""
     wanted = names.select("entity_id", T.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
     def slot(first, second, n):
@@ -26,20 +44,18 @@ def name_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
         return F.pmod(F.xxhash64(first, F.when(n >= 2, second).otherwise(""), n), F.lit(SIFT))
 
     one = F.get("t", F.lit(0)), F.get("t", F.lit(1)), F.size("t")
-    told = wanted.agg(F.collect_set(F.size("t")).alias("n"), F.collect_set(slot(*one)).alias("at"), F.count(F.lit(1)).alias("names")).first()  # SIFT at most
-    lengths, begins = sorted(told["n"]), bytearray(SIFT)
-    for at in told["at"]:
-        begins[at] = 1
+    told = wanted.agg(F.collect_set(F.size("t")).alias("n"), F.collect_set(slot(*one)).alias("at"), F.collect_set(first_slot(one[0])).alias("first"), F.count(F.lit(1)).alias("names")).first()  # SIFT at most
+    lengths, begins, firsts = sorted(told["n"]), table_of(told["at"]), table_of(told["first"])
     if not lengths:
         return wanted.select("entity_id", F.lit(None).cast(docs.schema["id"].dataType).alias("document_id"), F.lit(0).cast("long").alias("hits")).limit(0)
     wanted = wanted.select("entity_id", F.array_join("t", " ").alias("gram"))
-    places = docs.select(F.col("id").alias("document_id"), T.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    places = docs.select(F.col("id").alias("document_id"), T.tokens(F.col("text")).alias("t"))  # a filter on the tokens would cut every text twice
 
     def known(i, n):
-        there = F.substring(F.lit(begins), (slot(F.get("t", i - 1), F.get("t", i), n) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1]))
-        return (i + n - 1 <= F.size("t")) & there
+        return (i + n - 1 <= F.size("t")) & in_table(begins, slot(F.get("t", i - 1), F.get("t", i), n))
 
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.filter(F.array(*[F.struct(i.alias("i"), F.lit(n).alias("n")) for n in lengths]), lambda x: known(x["i"], x["n"]))))
+    at = F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: in_table(firsts, first_slot(F.get("t", i - 1)))))
+    runs = F.flatten(F.transform(at, lambda i: F.filter(F.array(*[F.struct(i.alias("i"), F.lit(n).alias("n")) for n in lengths]), lambda x: known(x["i"], x["n"]))))
     exploded = places.select("document_id", F.explode(F.transform(runs, lambda x: F.array_join(F.slice("t", x["i"], x["n"]), " "))).alias("gram"))
     per_document = exploded.groupBy("document_id", "gram").agg(F.count(F.lit(1)).alias("n"))  # a frequent name is counted before it is shuffled
     names = F.broadcast(wanted) if told["names"] <= FEW_NAMES else wanted
@@ -81,14 +97,17 @@ def match_tasks(tasks: DataFrame, projects: DataFrame, min_keyword_len: int = 4)
     lead = 4
     named = projects.select("project_id", F.lower("name").alias("pname")).filter("pname <> ''").distinct()
     explicit = tasks.withColumn("link", T.project_link(F.col("description")))
-    tier1 = explicit.filter("link is not null").join(named, F.col("link") == F.col("pname")).select("task_id", "project_id", F.lit(1).alias("tier"))
+    # Names are told often and are few, which their size as planned does not show; it must never be the titles' pieces that are
+    # broadcast. More names than that are joined by shuffle.
+    near = F.broadcast if named.count() <= FEW_NAMES else lambda names: names.hint("merge")
+    tier1 = explicit.filter("link is not null").join(near(named), F.col("link") == F.col("pname")).select("task_id", "project_id", F.lit(1).alias("tier"))
     titles = explicit.filter("link is null").select("task_id", F.lower(F.coalesce("title", F.lit(""))).alias("title")).filter("title <> ''")
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda n: F.substring(F.col("title"), i, n))))
     cut = titles.select("task_id", "title", F.explode(F.array_distinct(pieces)).alias("key"))
     keyed = named.withColumn("key", F.substring("pname", 1, lead))
     quoted = F.concat(F.lit("\\b\\Q"), F.col("pname"), F.lit("\\E\\b"))
     there = F.when(F.length("pname") < min_keyword_len, F.regexp_like("title", quoted)).otherwise(F.contains("title", F.col("pname")))
-    tier2 = cut.join(keyed, "key").filter(there).select("task_id", "project_id", F.lit(2).alias("tier")).distinct()
+    tier2 = cut.join(near(keyed), "key").filter(there).select("task_id", "project_id", F.lit(2).alias("tier")).distinct()
     return tier1.unionByName(tier2)
 
 

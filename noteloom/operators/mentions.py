@@ -81,20 +81,19 @@ def occurrences(texts: DataFrame, names: DataFrame, key: list[str]) -> DataFrame
 
     told = starts.agg(
         F.collect_set("_n").alias("n"), F.count(F.lit(1)).alias("names"),
-        F.collect_set(slot(F.get("_l", F.lit(0)), F.get("_l", F.lit(2)), F.col("_n"))).alias("at")).first()  # SIFT at most
-    lengths, begins = sorted(told["n"]) or [1], bytearray(linking.SIFT)
-    for at in told["at"]:
-        begins[at] = 1
+        F.collect_set(slot(F.get("_l", F.lit(0)), F.get("_l", F.lit(2)), F.col("_n"))).alias("at"),
+        F.collect_set(linking.first_slot(F.get("_l", F.lit(0)))).alias("first")).first()  # SIFT at most
+    lengths, begins, firsts = sorted(told["n"]) or [1], linking.table_of(told["at"]), linking.table_of(told["first"])
     # Words and what is between them alternate, so every second piece may begin a name; lengths that no name with these two
     # words has are left out, so that few runs are made which are no names.
-    pieces = texts.select(*key, F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("_t")).filter(F.size("_t") > 0)
-    pieces = pieces.withColumn("_l", F.transform("_t", F.lower))
+    pieces = texts.select(*key, F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("_t"))  # a filter on the pieces would cut every text twice
     odd = F.when(F.get("_t", F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
-    at = F.when(odd <= F.size("_t"), F.sequence(odd, F.size("_t"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    at = F.when(odd <= F.size("_t"), F.sequence(odd, F.size("_t"), F.lit(2)))
+    low = lambda i: F.lower(F.get("_t", i))
+    at = F.filter(at, lambda i: linking.in_table(firsts, linking.first_slot(low(i - 1))))
 
     def known(i, n):
-        there = F.substring(F.lit(begins), (slot(F.get("_l", i - 1), F.get("_l", i + 1), n) + 1).cast("int"), F.lit(1)) == F.lit(bytearray([1]))
-        return (i + n - 1 <= F.size("_t")) & there
+        return (i + n - 1 <= F.size("_t")) & linking.in_table(begins, slot(low(i - 1), low(i + 1), n))
 
     def gram(x):
         raw = F.array_join(F.slice("_t", x["i"], x["n"]), "")

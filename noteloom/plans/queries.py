@@ -595,8 +595,9 @@ def _names(spark, d):
 
 
 def _linked(spark, d):
+    """Stored at first use in an application: who asks twice does not have the texts looked through twice."""
     docs = b.documents(spark, d).select("id", "text")
-    return linking.name_mentions(docs, _names(spark, d))
+    return b.once(spark, d, "linked", lambda: linking.name_mentions(docs, _names(spark, d)))
 
 
 @query(f"WITH {_GRAMS} SELECT entity_id, doc_id AS document_id, count(*) AS hits FROM grams JOIN names USING (gram) GROUP BY entity_id, doc_id")
